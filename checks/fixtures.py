@@ -26,7 +26,7 @@ VIEWS = {
                     WHEN 2 THEN '1 month' WHEN 3 THEN '12 hours'
                     WHEN 4 THEN '1 year' ELSE '90 minutes' END AS period,
                CASE WHEN c.c_custkey % 5 = 0 THEN {NTZ} '2001-03-01 00:00:00' END AS end_time,
-               o.last_run AS next_run_time,
+               CASE WHEN c.c_acctbal >= 0 THEN o.last_run END AS next_run_time,
                c.c_custkey % 2 = 0 AS backfill,
                CASE c.c_custkey % 4
                     WHEN 1 THEN concat('owner', c.c_custkey, '@example.com')
@@ -146,7 +146,7 @@ VIEWS = {
         FROM {customer}""",
     "fx_names": """
         SELECT concat('df-', o_orderkey) AS aws_id, concat('sp_', o_custkey) AS pipeline_name
-        FROM {orders}""",
+        FROM {orders} WHERE o_orderpriority = '2-HIGH'""",
     "fx_activations": """
         SELECT concat('sp_', o_custkey) AS pipeline_name, max(o_totalprice) > 200000 AS activated
         FROM {orders} WHERE o_orderstatus = 'O' GROUP BY o_custkey""",

@@ -63,6 +63,16 @@ def floor_to(ts: Column, micros: int) -> Column:
     return plus_micros(epoch, since - F.pmod(since, F.lit(micros)))
 
 
+def to_instant(ts: Column) -> Column:
+    """The instant at which UTC clocks show ``ts``."""
+    return F.timestamp_micros(micros_between(as_timestamp("1970-01-01 00:00:00"), ts))
+
+
+def from_instant(instant: Column) -> Column:
+    """What UTC clocks show at ``instant``."""
+    return plus_micros(as_timestamp("1970-01-01 00:00:00"), F.unix_micros(instant))
+
+
 def start_of_day(ts: Column) -> Column:
     return ts.cast("date").cast("timestamp_ntz")
 
@@ -81,8 +91,7 @@ def format_local(ts: Column) -> Column:
 def parse_offset(text: Column) -> Column:
     """ISO date-time with an offset to UTC wall clock; null unless it is one."""
     iso = text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})$")
-    instant = F.try_to_timestamp(F.when(iso, text))
-    return plus_micros(as_timestamp("1970-01-01 00:00:00"), F.unix_micros(instant))
+    return from_instant(F.try_to_timestamp(F.when(iso, text)))
 
 
 def parse_local(text: Column) -> Column:

@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from fleetmill.functions import times
 from fleetmill.operators.metrics import METRIC, moment_aggregates, statistic_aggregates
 
 LATENESS = "1 hour"
 
 
-def _per_interval(samples: DataFrame, interval: str, lateness: str):
-    return samples.withWatermark("ts", lateness).groupBy(
+def _per_interval(samples: DataFrame, interval: str, lateness: str) -> GroupedData:
+    """Samples grouped by metric and interval. Watermarks need an instant, so ``ts`` becomes the
+    one it is in UTC, whatever the session's zone."""
+    instants = samples.withColumn("ts", times.to_instant(F.col("ts")))
+    return instants.withWatermark("ts", lateness).groupBy(
         F.window("ts", interval).alias("w"), *METRIC
     )
 
 
+def _report_time() -> Column:
+    return times.from_instant(F.col("w.end")).alias("report_time")
+
+
 def stream_counter_deltas(
     samples: DataFrame, interval: str, lateness: str = LATENESS
 ) -> DataFrame:
@@ -26,7 +34,7 @@ def stream_counter_deltas(
     be remembered beyond the open intervals. Samples later than ``lateness`` are dropped.
     """
     counted = _per_interval(samples, interval, lateness).agg(F.count(F.lit(1)).alias("delta"))
-    return counted.select(F.col("w.end").alias("report_time"), *METRIC, "delta")
+    return counted.select(_report_time(), *METRIC, "delta")
 
 
 def stream_metric_report(
@@ -37,7 +45,7 @@ def stream_metric_report(
         *statistic_aggregates(factor), *moment_aggregates(factor)
     )
     return figures.select(
-        F.col("w.end").alias("report_time"),
+        _report_time(),
         *METRIC,
         "sum",
         "sample_count",
