@@ -11,16 +11,13 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MICROS_PER_SECOND = 1_000_000
 MICROS_PER_HOUR = 3600 * MICROS_PER_SECOND
 MICROS_PER_DAY = 24 * MICROS_PER_HOUR
 
-#: Longest accepted period, in years: the timestamp range ends with year 9999.
-MAX_PERIOD_YEARS = 10_000
-
 # What one of each unit is worth.
 UNIT_MONTHS = {"year": 12, "month": 1}
 UNIT_MICROS = {
@@ -100,26 +97,36 @@ def parse_local(text: Column) -> Column:
     return F.when(iso, text).try_cast("timestamp_ntz")
 
 
+# A positive number of at most so many digits that the period stays in the timestamp range.
+USABLE_PERIOD = (
+    r"^ *0*[1-9](\d{0,3} +year|\d{0,5} +month|\d{0,5} +week|\d{0,6} +day|\d{0,7} +hour"
+    r"|\d{0,9} +minute)s? *$"
+)
+
+
+def is_usable_period(text: Column) -> Column:
+    """True for an ``N unit`` or ``N units`` text with a positive N."""
+    return F.lower(text).rlike(USABLE_PERIOD)
+
+
 def period_months(text: Column) -> Column:
     """Months of an ``N unit`` text, null for fixed-length or unusable ones."""
-    return _period(text, UNIT_MONTHS, 12 * MAX_PERIOD_YEARS).cast("int")
+    return _period(text, UNIT_MONTHS).cast("int")
 
 
 def period_micros(text: Column) -> Column:
     """Microseconds of an ``N unit`` text, null for calendar or unusable ones."""
-    return _period(text, UNIT_MICROS, MAX_PERIOD_YEARS * 365 * MICROS_PER_DAY)
+    return _period(text, UNIT_MICROS)
 
 
-def _period(text: Column, units: dict[str, int], longest: int) -> Column:
-    pattern = F.lit(r"^ *(\d+) +(year|month|week|day|hour|minute)s? *$")
-    lowered = F.lower(text)
-    amount = F.regexp_extract(lowered, r"^ *(\d+) +(year|month|week|day|hour|minute)s? *$", 1)
-    unit = F.regexp_extract(lowered, r"^ *(\d+) +(year|month|week|day|hour|minute)s? *$", 2)
+def _period(text: Column, units: dict[str, int]) -> Column:
+    amount = F.regexp_extract(text, r"\d+", 0).cast("bigint")
     size = F.lit(None).cast("bigint")
     for name, worth in units.items():
-        size = F.when(unit == name, F.lit(worth).cast("bigint")).otherwise(size)
-    total = F.try_multiply(amount.try_cast("bigint"), size)
-    return F.when(F.regexp(lowered, pattern) & total.between(1, longest), total)
+        size = F.when(F.contains(F.lower(text), F.lit(name)), F.lit(worth).cast("bigint")).otherwise(
+            size
+        )
+    return F.when(is_usable_period(text), amount * size)
 
 
 def _month_number(ts: Column) -> Column:
@@ -155,25 +162,31 @@ def steps_until(start: Column, until: Column, months: Column, micros: Column) ->
     return F.when(start < until, steps).when(start >= until, F.lit(0).cast("bigint"))
 
 
+def steps_back(start: Column, now: Column, months: Column, micros: Column) -> Column:
+    """Number of steps backward from ``start`` to the first iterate that is not after ``now``."""
+    distance = F.greatest(F.lit(0), micros_between(now, start))
+    fixed = _exact_div(distance + micros - 1, micros)
+    whole = _exact_div(
+        F.greatest(F.lit(0), _month_number(start) - _month_number(now)).cast("bigint"), months
+    )
+    calendar = whole + (calendar_step(start, -months, whole) > now).cast("bigint")
+    steps = F.when(micros.isNotNull(), fixed).otherwise(calendar)
+    return F.when(start > now, steps).when(start <= now, F.lit(0).cast("bigint"))
+
+
 def step_at(start: Column, k: Column, months: Column, micros: Column) -> Column:
-    """The k-th iterate of ``start``."""
+    """``start`` after ``k`` steps, backward for a negative ``k``."""
+    direction = F.when(k < 0, -months).otherwise(months)
     return F.when(micros.isNotNull(), plus_micros(start, k * micros)).otherwise(
-        calendar_step(start, months, k)
+        calendar_step(start, direction, F.abs(k))
     )
 
 
-def first_not_before(start: Column, until: Column, months: Column, micros: Column) -> Column:
-    """``start`` stepped forward until it is not before ``until``."""
-    return step_at(start, steps_until(start, until, months, micros), months, micros)
-
+def with_steps(table: DataFrame, start: str, steps: Column, out: str) -> DataFrame:
+    """Adds ``start`` after ``steps`` steps of the row's ``period_months`` or ``period_micros``.
 
-def last_not_after(start: Column, now: Column, months: Column, micros: Column) -> Column:
-    """``start`` stepped backward until it is not after ``now``."""
-    distance = F.greatest(F.lit(0), micros_between(now, start))
-    fixed = plus_micros(start, -_exact_div(distance + micros - 1, micros) * micros)
-    whole = _exact_div(
-        F.greatest(F.lit(0), _month_number(start) - _month_number(now)).cast("bigint"), months
-    )
-    back = whole + (calendar_step(start, -months, whole) > now).cast("bigint")
-    stepped = F.when(micros.isNotNull(), fixed).otherwise(calendar_step(start, -months, back))
-    return F.when(start <= now, start).when(start > now, stepped)
+    The number of steps is a column of its own first, so that it is computed once per row.
+    """
+    period = (F.col("period_months"), F.col("period_micros"))
+    counted = table.withColumn("_steps", steps)
+    return counted.withColumn(out, step_at(F.col(start), F.col("_steps"), *period)).drop("_steps")

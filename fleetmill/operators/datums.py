@@ -118,20 +118,18 @@ def decode_dimensions(samples: DataFrame, name: str = "metric") -> DataFrame:
 def global_dimensions(datums: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
     """Adds ``name=value`` dimensions and the data point's type to ``dimensions``.
 
-    The order is global, type, own; of a repeated name the last value counts.
+    Of a repeated name the data point's own value counts, then the type, then the last given.
     """
-    pairs = [tuple(p.strip() for p in d.split("=")[:2]) for d in dimensions]
-    if any(len(p) < 2 for p in pairs):
+    pairs = dict(tuple(p.strip() for p in (*d.split("=")[:2], "")[:2]) for d in dimensions)
+    if any("=" not in d for d in dimensions):
         raise ValueError("a dimension is written name=value")
-    given = [
-        F.struct(F.lit(n).alias("name"), F.lit(v).alias("value")) for n, v in pairs
-    ] + [F.struct(F.lit(TYPE).alias("name"), F.col("datum_type").alias("value"))]
-    own = F.transform(
-        F.map_entries("dimensions"),
-        lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")),
+    pairs.pop(TYPE, None)
+    given = F.create_map(
+        *[F.lit(text) for pair in pairs.items() for text in pair], F.lit(TYPE), F.col("datum_type")
     )
-    merged = F.map_from_entries(_last_of_each_name(F.concat(F.array(*given), own)))
-    return datums.withColumn("dimensions", merged)
+    own = F.col("dimensions")
+    kept = F.map_filter(given, lambda name, _: ~F.map_contains_key(own, name))
+    return datums.withColumn("dimensions", F.map_concat(kept, own))
 
 
 def sendable(value: Column) -> Column:
@@ -159,14 +157,16 @@ def _type_labels(settings: ReportSettings) -> tuple[str, str]:
     return per, f" [in-{settings.duration_unit}]"
 
 
-def stage_datums(figures: DataFrame, settings: ReportSettings, as_of: Column) -> DataFrame:
+def stage_datums(
+    figures: DataFrame, settings: ReportSettings, as_of: Column, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """One row per data point from one row of figures per metric.
 
     ``figures`` has per (kind, metric): ``gauge``, ``count``, ``quantile_values``, ``mean``,
     ``std_dev``, ``sum``, ``sample_count``, ``minimum``, ``maximum``, ``rate_1m``, ``rate_5m``,
     ``rate_15m`` and ``mean_rate``, with durations and rates in their units. Figures that are
     null, switched off or not above zero (unless zero values are sent) give no data point; a
-    statistic set is sent whenever there are samples.
+    statistic set is sent whenever there are samples. Columns in ``carry`` are taken along.
     """
     per, inside = _type_labels(settings)
     is_timer = F.col("kind") == "timer"
@@ -228,11 +228,13 @@ def stage_datums(figures: DataFrame, settings: ReportSettings, as_of: Column) ->
     return figures.select(
         kind_rank.alias("kind_rank"),
         *METRIC,
+        *carry,
         F.explode(F.array_compact(F.array(*points))).alias("point"),
     ).select(
         as_of.alias("ts"),
         "kind_rank",
         *METRIC,
+        *carry,
         "point.*",
         F.lit(settings.resolution).alias("resolution"),
     )

@@ -28,8 +28,8 @@ def parse_periods(table: DataFrame) -> tuple[DataFrame, DataFrame]:
             "period_micros": times.period_micros(F.col("period")),
         }
     )
-    usable = F.col("period_months").isNotNull() | F.col("period_micros").isNotNull()
-    return parsed.where(usable), parsed.where(~usable).select(*table.columns)
+    usable = F.coalesce(times.is_usable_period(F.col("period")), F.lit(False))
+    return parsed.where(usable), table.where(~usable)
 
 
 def run_counts(table: DataFrame, start: str, until: Column, out: str = "run_count") -> DataFrame:
@@ -41,13 +41,14 @@ def advance_next_run(
     table: DataFrame, start: str, until: Column, out: str = "advanced"
 ) -> DataFrame:
     """``start`` stepped forward until it is not before ``until``."""
-    stepped = table.withColumn("_k", times.steps_until(F.col(start), until, *_period()))
-    return stepped.withColumn(out, times.step_at(F.col(start), F.col("_k"), *_period())).drop("_k")
+    steps = times.steps_until(F.col(start), until, *_period())
+    return times.with_steps(table, start, steps, out)
 
 
 def previous_run(table: DataFrame, start: str, now: Column, out: str = "previous") -> DataFrame:
     """T4: ``start`` stepped backward until it is not after ``now``."""
-    return table.withColumn(out, times.last_not_after(F.col(start), now, *_period()))
+    steps = times.steps_back(F.col(start), now, *_period())
+    return times.with_steps(table, start, -steps, out)
 
 
 def _period() -> tuple[Column, Column]:

@@ -73,15 +73,18 @@ def resolve_schedules(submissions: DataFrame, definitions: DataFrame, now: Colum
             "period": F.coalesce("frequency", "_period"),
         }
     )
-    months, micros = times.period_months(F.col("period")), times.period_micros(F.col("period"))
-    parsed = resolved.withColumns({"_months": months, "_micros": micros})
-    step = (F.col("start_time"), now, F.col("_months"), F.col("_micros"))
-    usable = F.col("_months").isNotNull() | F.col("_micros").isNotNull()
-    following = F.when(F.col("start_now"), times.last_not_after(*step)).otherwise(
-        times.first_not_before(*step)
+    parsed = resolved.withColumns(
+        {
+            "period_months": times.period_months(F.col("period")),
+            "period_micros": times.period_micros(F.col("period")),
+        }
     )
-    return parsed.withColumn("next_run_time", F.when(usable, following)).drop(
-        "_start", "_period", "_months", "_micros"
+    period = (F.col("period_months"), F.col("period_micros"))
+    steps = F.when(
+        F.col("start_now"), -times.steps_back(F.col("start_time"), now, *period)
+    ).otherwise(times.steps_until(F.col("start_time"), now, *period))
+    return times.with_steps(parsed, "start_time", steps, "next_run_time").drop(
+        "_start", "_period", "period_months", "period_micros"
     )
 
 

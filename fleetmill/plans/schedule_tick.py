@@ -92,17 +92,17 @@ def apply_dispatch_results(
         .withColumns(
             {
                 "_n": F.coalesce("_n", F.lit(0)),
-                "_months": times.period_months(F.col("period")),
-                "_micros": times.period_micros(F.col("period")),
+                "period_months": times.period_months(F.col("period")),
+                "period_micros": times.period_micros(F.col("period")),
             }
         )
     )
-    step = (F.col("next_run_time"), tick_end, F.col("_months"), F.col("_micros"))
+    period = (F.col("period_months"), F.col("period_micros"))
+    steps = F.when(ok, times.steps_until(F.col("next_run_time"), tick_end, *period)).otherwise(0)
+    state = times.with_steps(state, "next_run_time", steps, "_next")
     gives_up = ~ok & (F.col("_n") >= max_failures)
     changed = {
-        "next_run_time": F.when(ok, times.first_not_before(*step)).otherwise(
-            F.col("next_run_time")
-        ),
+        "next_run_time": F.when(ok, F.col("_next")).otherwise(F.col("next_run_time")),
         "is_active": F.when(gives_up, False).otherwise(F.col("is_active")),
     }
     next_pipelines = state.select(*[changed.get(c, F.col(c)).alias(c) for c in pipelines.columns])

@@ -130,7 +130,8 @@ def apply_submissions(resolved: DataFrame, pipelines: DataFrame) -> Submitted:
     class stay. Dry runs are checked and reported and write nothing. Of several requests for one
     object the last accepted one decides each field.
     """
-    outcomes = materialize(request_outcomes(resolved, pipelines))
+    # read several times each: once here would mean joining definitions and pipelines again
+    outcomes = materialize(request_outcomes(materialize(resolved), pipelines))
     writes = _final_writes(outcomes)
     fields = ("_rescheduled", "_whole", "_jar", "_active")
     given = F.struct("pipeline_object", *fields)
