@@ -41,8 +41,23 @@ def as_timestamp(value: datetime | str | Column) -> Column:
     return F.lit(value).cast("timestamp_ntz")
 
 
+def wall_micros(ts: Column) -> Column:
+    """Microseconds from 1970 to ``ts`` on the wall clock.
+
+    Put together from the fields of ``ts``. ``timestamp_diff`` would take it to the session's
+    time zone first, where a clock reading may not exist.
+    """
+    of_second = (F.date_part(F.lit("SECOND"), ts) * MICROS_PER_SECOND).cast("bigint")
+    return (
+        F.unix_date(ts.cast("date")) * F.lit(MICROS_PER_DAY).cast("bigint")
+        + F.hour(ts) * F.lit(MICROS_PER_HOUR).cast("bigint")
+        + F.minute(ts) * F.lit(60 * MICROS_PER_SECOND).cast("bigint")
+        + of_second
+    )
+
+
 def micros_between(start: Column, end: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", start, end)
+    return wall_micros(end) - wall_micros(start)
 
 
 def plus_micros(ts: Column, micros: Column) -> Column:
@@ -56,13 +71,13 @@ def plus_months(ts: Column, months: Column) -> Column:
 def floor_to(ts: Column, micros: int) -> Column:
     """Start of the ``micros``-long interval, counted from the epoch, that holds ``ts``."""
     epoch = as_timestamp("1970-01-01 00:00:00")
-    since = micros_between(epoch, ts)
+    since = wall_micros(ts)
     return plus_micros(epoch, since - F.pmod(since, F.lit(micros)))
 
 
 def to_instant(ts: Column) -> Column:
     """The instant at which UTC clocks show ``ts``."""
-    return F.timestamp_micros(micros_between(as_timestamp("1970-01-01 00:00:00"), ts))
+    return F.timestamp_micros(wall_micros(ts))
 
 
 def from_instant(instant: Column) -> Column:

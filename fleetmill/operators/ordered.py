@@ -70,7 +70,7 @@ def cut_slices(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def _join_slice_totals(rows: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
     columns = [*keys, "_slice"]
-    renamed = totals.select(*[F.col(c).alias(f"_r_{c}") for c in columns], "_before")
+    renamed = totals.select(*[F.col(c).alias(f"_r_{c}") for c in columns], "_earlier")
     condition = F.lit(True)
     for c in columns:
         condition = condition & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
@@ -94,15 +94,15 @@ def running(
     totals = (
         rows.groupBy(*keys, "_slice")
         .agg(fold("_value").alias("_total"))
-        .withColumn("_before", fold("_total").over(earlier))
+        .withColumn("_earlier", fold("_total").over(earlier))
     )
     local = rows.withColumn("_local", fold("_value").over(inside))
     joined = _join_slice_totals(local, totals, keys)
     if how == "sum":
-        combined = F.coalesce("_local", F.lit(0)) + F.coalesce("_before", F.lit(0))
+        combined = F.coalesce("_local", F.lit(0)) + F.coalesce("_earlier", F.lit(0))
     else:
-        combined = F.greatest("_local", "_before")
-    return joined.withColumn(out, combined).drop("_value", "_local", "_before")
+        combined = F.greatest("_local", "_earlier")
+    return joined.withColumn(out, combined).drop("_value", "_local", "_earlier")
 
 
 def previous(
@@ -114,15 +114,15 @@ def previous(
     totals = (
         rows.groupBy(*keys, "_slice")
         .agg(F.max_by(F.col(value), F.struct(*order)).alias("_last"))
-        .withColumn("_before", F.lag("_last").over(earlier))
+        .withColumn("_earlier", F.lag("_last").over(earlier))
     )
     local = rows.withColumn("_local", F.lag(value).over(inside)).withColumn(
         "_first", F.row_number().over(inside) == 1
     )
     joined = _join_slice_totals(local, totals, keys)
     return joined.withColumn(
-        out, F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_local"))
-    ).drop("_local", "_first", "_before")
+        out, F.when(F.col("_first"), F.col("_earlier")).otherwise(F.col("_local"))
+    ).drop("_local", "_first", "_earlier")
 
 
 def per_group(

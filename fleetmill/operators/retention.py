@@ -109,8 +109,7 @@ def _rank_starts(starts: DataFrame, largest: int, heavy_rows: int) -> DataFrame:
 
     if largest <= SMALL_RETENTION:
         return ordinary(starts).where(F.col("_rank") <= largest)
-    epoch = times.as_timestamp("1970-01-01 00:00:00")
-    aged = starts.withColumn("_age", times.micros_between(F.col("actual_start"), epoch))
+    aged = starts.withColumn("_age", -times.wall_micros(F.col("actual_start")))
     one = F.lit(1).cast("bigint")
     return per_group(
         aged,
