@@ -835,7 +835,7 @@ STREAKS = """
                     + CASE WHEN streak = 0 THEN COALESCE(c.failure_count, 0) ELSE 0 END AS f
         FROM numbered n LEFT JOIN {fx_counters} c ON c.pipeline_id = n.pipeline_id)
     SELECT attempt_id, pipeline_id, attempt_time, ok, log,
-           CASE WHEN NOT ok THEN CAST(f AS BIGINT) END AS failure_number,
+           CASE WHEN NOT ok THEN CAST(least(f, 4) AS BIGINT) END AS failure_number,
            CAST(CASE WHEN ok THEN 0 ELSE least(f, 3) END AS INT) AS counter,
            CASE WHEN ok THEN 'cleared' WHEN f > 3 THEN 'deactivated'
                 ELSE 'failed_to_schedule' END AS event

@@ -26,8 +26,9 @@ def failure_streaks(
     """Each attempt with its place in a run of failures and what follows from it.
 
     A success clears the counter. The f-th failure in a row is reported while f is at most
-    ``max_failures`` and deactivates the pipeline beyond; the counter stays at the maximum then.
-    Failures before the first success continue from the pipeline's recorded counter.
+    ``max_failures`` and deactivates the pipeline beyond; the counter stays at the maximum then,
+    and further failures have the same number. Failures before the first success continue from
+    the pipeline's recorded counter.
 
     The number of failures so far minus that number at the last success is the place in the run.
     Both are running aggregates, so a pipeline of any size can be cut into slices.
@@ -53,7 +54,8 @@ def failure_streaks(
 
     placed = per_group(attempts, _KEYS, _ORDER, ordinary, sliced, heavy_rows)
     start = F.coalesce(F.col("_cleared"), -F.col("_prior"), F.lit(0))
-    number = F.when(~F.col("ok"), F.col("_fails") - start)
+    most = F.lit(max_failures + 1).cast("bigint")
+    number = F.when(~F.col("ok"), F.least(F.col("_fails") - start, most))
     return placed.withColumn("failure_number", number).select(
         "attempt_id",
         "pipeline_id",
