@@ -23,19 +23,24 @@ def pk_violations(table: DataFrame, key: list[str]) -> DataFrame:
 
 
 def domain_violations(table: DataFrame, spec: TableSpec) -> DataFrame:
-    """K2: one row per violated column rule: null where required, or longer than its limit."""
-    rules = [
-        F.when(F.col(c).isNull(), F.struct(F.lit(c).alias("column"), F.lit("null").alias("rule")))
-        for c in spec.required
-    ] + [
-        F.when(
-            F.length(c) > limit,
-            F.struct(F.lit(c).alias("column"), F.lit("too long").alias("rule")),
-        )
-        for c, limit in spec.max_length.items()
+    """K2: one row per violated column rule: null where required, or longer than its limit.
+
+    Rows that keep all rules, the usual ones, are filtered out before rules are listed.
+    """
+    rules = [(F.col(c).isNull(), c, "null") for c in spec.required] + [
+        (F.length(c) > limit, c, "too long") for c, limit in spec.max_length.items()
+    ]
+    broken = F.lit(False)
+    for violated, _, _ in rules:
+        broken = broken | violated
+    listed = [
+        F.when(violated, F.struct(F.lit(c).alias("column_name"), F.lit(rule).alias("rule")))
+        for violated, c, rule in rules
     ]
-    return table.select(*spec.key, F.explode(F.array_compact(F.array(*rules))).alias("v")).select(
-        *spec.key, F.col("v.column").alias("column_name"), F.col("v.rule").alias("rule")
+    return (
+        table.where(broken)
+        .select(*spec.key, F.explode(F.array_compact(F.array(*listed))).alias("v"))
+        .select(*spec.key, "v.column_name", "v.rule")
     )
 
 

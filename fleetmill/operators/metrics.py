@@ -23,6 +23,9 @@ from fleetmill.operators.ordered import (
     split_heavy,
 )
 
+#: The built-in exact percentile holds a group's distinct values in memory, without spilling.
+HEAVY_METRIC_ROWS = 500_000
+
 METRIC = ["kind", "metric"]
 
 # The percentiles that can be reported, with their labels.
@@ -97,7 +100,8 @@ def percentile_arrays(
     samples: DataFrame,
     quantiles: tuple[float, ...] = DEFAULT_PERCENTILES,
     approx: bool = False,
-    heavy_rows: int = HEAVY_GROUP_ROWS,
+    heavy_rows: int = HEAVY_METRIC_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """``quantile_values`` per metric, in the order of ``quantiles``.
 
@@ -105,6 +109,7 @@ def percentile_arrays(
     distinct values of a metric in one buffer, so it is given ordinary metrics only. For a heavy
     one the (metric, value) counts are put in order by range partitioning, and the samples at
     the wanted positions are picked by their running count. ``approx`` uses a bounded digest.
+    ``sizes(kind, metric, count)`` saves counting the samples once more.
     """
     present = samples.where(F.col("value").isNotNull()).select(*METRIC, "value")
     wanted = F.array(*[F.lit(q) for q in quantiles])
@@ -112,7 +117,7 @@ def percentile_arrays(
         return present.groupBy(*METRIC).agg(
             F.percentile_approx("value", list(quantiles), 10_000).alias("quantile_values")
         )
-    light, heavy = split_heavy(present, METRIC, heavy_rows)
+    light, heavy = split_heavy(present, METRIC, heavy_rows, sizes)
     result = light.groupBy(*METRIC).agg(F.percentile("value", wanted).alias("quantile_values"))
     if heavy is None:
         return result
@@ -125,8 +130,7 @@ def _heavy_percentiles(samples: DataFrame, quantiles: tuple[float, ...]) -> Data
         cut_slices(counted, METRIC, ["value"]), METRIC, ["value"], F.col("_n"), "_end"
     )
     totals = placed.groupBy(*METRIC).agg((F.max("_end") - 1).alias("_last"))
-    # one row per heavy metric
-    ranged = placed.join(F.broadcast(totals), METRIC)
+    ranged = placed.join(totals, METRIC)
 
     def sample_at(position: Column) -> Column:
         here = (position < F.col("_end")) & (position >= F.col("_end") - F.col("_n"))
@@ -153,7 +157,7 @@ def metric_percentiles(
     samples: DataFrame,
     quantiles: tuple[float, ...] = DEFAULT_PERCENTILES,
     approx: bool = False,
-    heavy_rows: int = HEAVY_GROUP_ROWS,
+    heavy_rows: int = HEAVY_METRIC_ROWS,
 ) -> DataFrame:
     """One row per metric and percentile, labelled ``50%`` to ``99.9%``."""
     unknown = [q for q in quantiles if q not in PERCENTILES]

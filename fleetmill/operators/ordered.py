@@ -20,7 +20,7 @@ from fleetmill.session import materialize, shuffle_partitions
 #: A group with more rows than this is not given to one task.
 HEAVY_GROUP_ROWS = 4_000_000
 
-#: Most rows a table may have to be broadcast by this module.
+#: Most rows of keys and totals that are broadcast; above it Spark picks the join.
 BROADCAST_ROWS = 200_000
 
 _UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
@@ -34,23 +34,31 @@ def _same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
     return condition
 
 
+def _sized(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` written out, with its row count; marked for broadcast only if that is small."""
+    written = materialize(df)
+    n = written.count()
+    return (F.broadcast(written) if n <= BROADCAST_ROWS else written), n
+
+
 def heavy_groups(
-    df: DataFrame, keys: list[str], limit: int = HEAVY_GROUP_ROWS
+    df: DataFrame, keys: list[str], limit: int = HEAVY_GROUP_ROWS, sizes: DataFrame | None = None
 ) -> DataFrame | None:
-    """Keys with more than ``limit`` rows, or None. There are at most rows / limit of them."""
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    heavy = materialize(counted.where(F.col("_rows") > limit).select(*keys))
-    n = heavy.count()
-    if n == 0:
-        return None
-    return F.broadcast(heavy) if n <= BROADCAST_ROWS else heavy
+    """Keys with more than ``limit`` rows, or None. There are at most rows / limit of them.
+
+    ``sizes(keys…, count)`` saves the count where it is known already.
+    """
+    if sizes is None:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
+    heavy, n = _sized(sizes.where(F.col("count") > limit).select(*keys))
+    return heavy if n else None
 
 
 def split_heavy(
-    df: DataFrame, keys: list[str], limit: int = HEAVY_GROUP_ROWS
+    df: DataFrame, keys: list[str], limit: int = HEAVY_GROUP_ROWS, sizes: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame | None]:
     """(rows of ordinary groups, rows of heavy groups or None when there are none)."""
-    heavy = heavy_groups(df, keys, limit)
+    heavy = heavy_groups(df, keys, limit, sizes)
     if heavy is None:
         return df, None
     same = _same(df, heavy, keys)
@@ -70,12 +78,12 @@ def cut_slices(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def _join_slice_totals(rows: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
     columns = [*keys, "_slice"]
-    renamed = totals.select(*[F.col(c).alias(f"_r_{c}") for c in columns], "_earlier")
+    # at most (heavy groups + slices) rows
+    renamed, _ = _sized(totals.select(*[F.col(c).alias(f"_r_{c}") for c in columns], "_earlier"))
     condition = F.lit(True)
     for c in columns:
         condition = condition & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
-    # at most (heavy groups + slices) rows
-    return rows.join(F.broadcast(renamed), condition, "left").drop(*[f"_r_{c}" for c in columns])
+    return rows.join(renamed, condition, "left").drop(*[f"_r_{c}" for c in columns])
 
 
 def running(

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from fleetmill.operators import datums as points
 from fleetmill.operators import metrics
 from fleetmill.operators.datums import UNIT_SECONDS, ReportSettings
-from fleetmill.operators.ordered import HEAVY_GROUP_ROWS
+from fleetmill.operators.metrics import HEAVY_METRIC_ROWS
+from fleetmill.session import materialize
 
 
 def metric_figures(
@@ -16,25 +17,29 @@ def metric_figures(
     as_of: Column,
     settings: ReportSettings,
     reported: DataFrame | None = None,
-    heavy_rows: int = HEAVY_GROUP_ROWS,
+    heavy_rows: int = HEAVY_METRIC_ROWS,
 ) -> DataFrame:
     """All figures of each metric in one row.
 
-    One aggregation gives what combines; percentiles and moving rates are aggregated on their
-    own and joined per metric. Only the kinds that have them are read for them.
+    One aggregation gives what combines, and is written out: its counts also tell which metrics
+    are too heavy for the built-in percentile. Percentiles and moving rates are aggregated on
+    their own and joined per metric. Only the kinds that have them are read for them.
     """
     known = samples.where(F.col("ts") <= as_of)
     timer = F.col("kind") == "timer"
     factor = F.when(timer, settings.duration_factor).otherwise(1.0)
     unit_seconds = UNIT_SECONDS[settings.rate_unit]
     key = metrics.METRIC
-    base = known.groupBy(*key).agg(
-        F.max_by("value", F.struct("ts", "event_id")).alias("gauge"),
-        F.count(F.lit(1)).alias("count"),
-        *metrics.statistic_aggregates(factor),
-        *metrics.moment_aggregates(factor),
-        F.min("ts").alias("_first"),
+    base = materialize(
+        known.groupBy(*key).agg(
+            F.max_by("value", F.struct("ts", "event_id")).alias("gauge"),
+            F.count(F.lit(1)).alias("count"),
+            *metrics.statistic_aggregates(factor),
+            *metrics.moment_aggregates(factor),
+            F.min("ts").alias("_first"),
+        )
     )
+    sizes = base.where(F.col("kind").isin("histogram", "timer")).select(*key, "count")
     base = base.withColumn(
         "mean_rate", metrics.mean_rate(F.col("count"), F.col("_first"), as_of, unit_seconds)
     )
@@ -48,6 +53,7 @@ def metric_figures(
             known.where(F.col("kind").isin("histogram", "timer")),
             settings.percentiles,
             heavy_rows=heavy_rows,
+            sizes=sizes,
         )
         scaled = F.transform("quantile_values", lambda v: v * factor)
         figures = figures.join(quantiles, key, "left").withColumn("quantile_values", scaled)
@@ -64,7 +70,7 @@ def metric_report(
     as_of: Column,
     settings: ReportSettings = points.SERVICE_SETTINGS,
     reported: DataFrame | None = None,
-    heavy_rows: int = HEAVY_GROUP_ROWS,
+    heavy_rows: int = HEAVY_METRIC_ROWS,
 ) -> DataFrame:
     """The data points of one report, cleaned, with dimensions and batch numbers.
 

@@ -63,3 +63,12 @@ def save_catalog(catalog: Catalog, path: str) -> None:
     """Writes each table to a new folder below ``path``; one version of the catalog per path."""
     for name, df in catalog.items():
         conform(df, name).write.mode("errorifexists").parquet(f"{path}/{name}")
+
+
+def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
+    """Saves a metastore table bucketed and sorted by ``key``.
+
+    Run log, recorded failures and inventory status saved with the same number of buckets by
+    ``aws_id`` are joined on it without a shuffle.
+    """
+    df.write.bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table)

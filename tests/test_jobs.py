@@ -293,3 +293,25 @@ def test_hourly_cycle(spark):
                 done.catalog["schedule_failure_counters"].collect()}
     assert counters == {2: 3, 3: 1}
     assert done.catalog["scheduler_metrics"].first().pipeline_count == 3
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    n = 400
+    runs = catalog_of(spark, runs=[run(f"df-{i}", i % 7, T) for i in range(n)])["scheduled_pipelines"]
+    status = spark.createDataFrame(
+        [(f"df-{i}", "n", None, "FINISHED", None) for i in range(0, n, 2)], STATUS
+    )
+    tables = {"bucketed_runs": runs, "bucketed_status": status}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for name, df in tables.items():
+            catalogs.save_bucketed(df, name, "aws_id", 4)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = retention.runs_with_status(spark.table("bucketed_runs"), spark.table("bucketed_status"))
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert joined.where("in_inventory").count() == n // 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in tables:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
