@@ -95,12 +95,14 @@ def latest_starts(runs: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _rank_starts(starts: DataFrame, largest: int, heavy_rows: int) -> DataFrame:
+def _rank_starts(starts: DataFrame, settings: DataFrame, heavy_rows: int) -> DataFrame:
     """Ranks distinct starts, newest first, up to the largest retention.
 
     While that is small, the rank limit leaves few rows per pipeline before the shuffle. A large
-    one ("keep for good") leaves all of them, and pipelines with very many are then sliced.
+    one ("keep for good") leaves all of them. Pipelines with very many are then sliced, and of all
+    ranks only those that equal the retention go on.
     """
+    largest = settings.agg(F.max("retention")).first()[0] or 0
     keys = ["pipeline_id", "failed"]
     newest = Window.partitionBy(*keys).orderBy(F.desc("actual_start"))
 
@@ -111,7 +113,7 @@ def _rank_starts(starts: DataFrame, largest: int, heavy_rows: int) -> DataFrame:
         return ordinary(starts).where(F.col("_rank") <= largest)
     aged = starts.withColumn("_age", -times.wall_micros(F.col("actual_start")))
     one = F.lit(1).cast("bigint")
-    return per_group(
+    ranked = per_group(
         aged,
         keys,
         ["_age"],
@@ -119,6 +121,8 @@ def _rank_starts(starts: DataFrame, largest: int, heavy_rows: int) -> DataFrame:
         lambda rows: running(rows, keys, ["_age"], one, "_rank"),
         heavy_rows,
     )
+    cuts = settings.select("pipeline_id", F.col("retention").cast("bigint").alias("_rank"))
+    return ranked.join(cuts, ["pipeline_id", "_rank"], "left_semi")
 
 
 def retention_cuts(
@@ -133,18 +137,16 @@ def retention_cuts(
     starts = finished.select(
         "pipeline_id", is_failed().alias("failed"), "actual_start"
     ).distinct()
-    largest = pipelines.agg(F.max("retention")).first()[0] or 0
-    ranked = _rank_starts(starts, largest, heavy_rows)
-    cuts = (
-        ranked.join(settings, "pipeline_id")
-        .where(F.col("_rank") == F.col("retention"))
-        .groupBy("pipeline_id")
+    ranked = _rank_starts(starts, settings, heavy_rows)
+    at_cut = F.col("_rank") == F.col("retention")
+    return (
+        settings.join(ranked, "pipeline_id", "left")
+        .groupBy("pipeline_id", "retention")
         .agg(
-            F.max(F.when(~F.col("failed"), F.col("actual_start"))).alias("healthy_cut"),
-            F.max(F.when(F.col("failed"), F.col("actual_start"))).alias("failed_cut"),
+            F.max(F.when(at_cut & ~F.col("failed"), F.col("actual_start"))).alias("healthy_cut"),
+            F.max(F.when(at_cut & F.col("failed"), F.col("actual_start"))).alias("failed_cut"),
         )
     )
-    return settings.join(cuts, "pipeline_id", "left")
 
 
 def is_beyond_retention(cut: str) -> Column:

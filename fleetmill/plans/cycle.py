@@ -56,8 +56,9 @@ def hourly_cycle(
 ) -> Cycle:
     """C1, C2 and C3 over one catalog.
 
-    ``results(pipeline_id, ok, log)`` tells how each launch went. Each step's result is written
-    out before the next one reads it, so no step is computed twice and lineage stays short.
+    ``results(pipeline_id, ok, log)`` tells how each launch went. What a step decides is written
+    out before the next one reads it: launches, new runs, attempts, actions. Those are small. The
+    tables themselves are not copied in between.
     """
     tick = schedule_tick(catalog, tick_end, now, prefix, max_pipelines)
     launches = materialize(tick.launches)
@@ -71,9 +72,8 @@ def hourly_cycle(
         deployed, inventory_names, activations, tick_start, now
     )
     attempts = launch_attempts(launches, results, missing)
-    dispatched = apply_dispatch_results(catalog, attempts, new_runs, tick_end, now)
-    after = {name: materialize(df) for name, df in dispatched.catalog.items()}
-    cleaned = cleanup_existing(after, status, now)
+    dispatched = apply_dispatch_results(catalog, attempts, materialize(new_runs), tick_end, now)
+    cleaned = cleanup_existing(dispatched.catalog, status, now)
     metrics = append_rows(cleaned.catalog["scheduler_metrics"], tick.metrics)
     return Cycle(
         {**cleaned.catalog, "scheduler_metrics": metrics},

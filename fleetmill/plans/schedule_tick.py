@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetmill.functions import times
 from fleetmill.operators import schedule, streaks
+from fleetmill.session import materialize
 from fleetmill.sources.catalog import Catalog
 from fleetmill.sources.changes import append_rows
 
@@ -66,64 +67,77 @@ def apply_dispatch_results(
 ) -> DispatchResult:
     """Success moves the next run on and clears the counter; failure counts up or deactivates.
 
-    One attempt per pipeline counts, the one with the lowest id; the others are returned as
-    rejected. The next run is moved past the tick's end even if the pipeline ends earlier. After
-    a failure it stays, so the next tick owes a longer backfill. The counter row stays when a
-    pipeline is deactivated: once re-activated, its next failure deactivates it again.
+    One attempt per pipeline counts, the one with the lowest id. The others, and attempts without
+    a pipeline, are returned as rejected. The next run is moved past the tick's end even if the
+    pipeline ends earlier. After a failure it stays, so the next tick owes a longer backfill. The
+    counter row stays when a pipeline is deactivated: once re-activated, its next failure
+    deactivates it again.
+
+    The attempted pipelines are joined once with their table and counters and written out; every
+    result is made of that small table.
     """
     pipelines, counters = catalog["pipelines"], catalog["schedule_failure_counters"]
     taken = attempts.groupBy("pipeline_id").agg(
         F.min("attempt_id").alias("_taken"),
         F.min_by(F.struct("ok", "log"), "attempt_id").alias("_attempt"),
     )
-    rejected = (
-        attempts.join(taken.select("pipeline_id", "_taken"), "pipeline_id")
-        .where(F.col("attempt_id") > F.col("_taken"))
-        .select(*attempts.columns)
-    )
-    ok = F.col("_attempt.ok")
-    state = (
-        pipelines.join(taken.select(F.col("pipeline_id").alias("id"), "_attempt"), "id", "left")
-        .join(
-            counters.select(F.col("pipeline_id").alias("id"), F.col("failure_count").alias("_n")),
-            "id",
-            "left",
-        )
-        .withColumns(
-            {
-                "_n": F.coalesce("_n", F.lit(0)),
-                "period_months": times.period_months(F.col("period")),
-                "period_micros": times.period_micros(F.col("period")),
-            }
+    known = pipelines.select(F.col("id").alias("pipeline_id"), "next_run_time", "period")
+    counted = counters.select("pipeline_id", F.col("failure_count").alias("_n"))
+    attempted = (
+        taken.join(known, "pipeline_id")
+        .join(counted, "pipeline_id", "left")
+        .select(
+            "pipeline_id",
+            "_taken",
+            F.col("_attempt.ok").alias("_ok"),
+            F.col("_attempt.log").alias("log"),
+            F.coalesce("_n", F.lit(0)).alias("_n"),
+            "next_run_time",
+            times.period_months(F.col("period")).alias("period_months"),
+            times.period_micros(F.col("period")).alias("period_micros"),
         )
     )
     period = (F.col("period_months"), F.col("period_micros"))
-    steps = F.when(ok, times.steps_until(F.col("next_run_time"), tick_end, *period)).otherwise(0)
-    state = times.with_steps(state, "next_run_time", steps, "_next")
-    gives_up = ~ok & (F.col("_n") >= max_failures)
+    steps = F.when(
+        F.col("_ok"), times.steps_until(F.col("next_run_time"), tick_end, *period)
+    ).otherwise(0)
+    attempted = materialize(
+        times.with_steps(attempted, "next_run_time", steps, "_next")
+        .withColumn("_gives_up", ~F.col("_ok") & (F.col("_n") >= max_failures))
+        .select("pipeline_id", "_taken", "_ok", "log", "_n", "_next", "_gives_up")
+    )
+
+    first = attempted.select("pipeline_id", "_taken")
+    rejected = (
+        attempts.join(first, "pipeline_id", "left")
+        .where(F.col("_taken").isNull() | (F.col("attempt_id") > F.col("_taken")))
+        .select(*attempts.columns)
+    )
+    result = attempted.select(F.col("pipeline_id").alias("id"), "_ok", "_next", "_gives_up")
     changed = {
-        "next_run_time": F.when(ok, F.col("_next")).otherwise(F.col("next_run_time")),
-        "is_active": F.when(gives_up, False).otherwise(F.col("is_active")),
+        "next_run_time": F.when(F.col("_ok"), F.col("_next")).otherwise(F.col("next_run_time")),
+        "is_active": F.when(F.col("_gives_up"), False).otherwise(F.col("is_active")),
     }
-    next_pipelines = state.select(*[changed.get(c, F.col(c)).alias(c) for c in pipelines.columns])
-
-    failing = state.where(~ok)
-    events = failing.select(
-        F.col("id").alias("pipeline_id"),
-        F.when(gives_up, streaks.DEACTIVATED).otherwise(streaks.FAILED).alias("event"),
+    next_pipelines = pipelines.join(result, "id", "left").select(
+        *[changed.get(c, F.col(c)).alias(c) for c in pipelines.columns]
+    )
+    failed = attempted.where(~F.col("_ok"))
+    events = failed.select(
+        "pipeline_id",
+        F.when(F.col("_gives_up"), streaks.DEACTIVATED).otherwise(streaks.FAILED).alias("event"),
         (F.col("_n") + 1).alias("failure_number"),
-        F.col("_attempt.log").alias("log"),
+        "log",
     )
-    counted = failing.where(~gives_up).select(
-        F.col("id").alias("pipeline_id"),
+    replaced = attempted.where(~F.col("_gives_up")).select("pipeline_id")
+    counted_up = failed.where(~F.col("_gives_up")).select(
+        "pipeline_id",
         (F.col("_n") + 1).cast("int").alias("failure_count"),
         now.alias("updated_at"),
     )
-    replaced = taken.where(ok).select("pipeline_id").unionByName(counted.select("pipeline_id"))
     next_counters = counters.join(replaced, "pipeline_id", "left_anti").unionByName(
-        counted.select(*counters.columns)
+        counted_up.select(*counters.columns)
     )
-    launched = taken.where(ok).select("pipeline_id")
+    launched = attempted.where("_ok").select("pipeline_id")
     runs = append_rows(
         catalog["scheduled_pipelines"], new_runs.join(launched, "pipeline_id", "left_semi")
     )

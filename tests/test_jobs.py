@@ -12,7 +12,7 @@ from fleetmill.plans import cleanup, cycle
 from fleetmill.plans.schedule_tick import apply_dispatch_results, schedule_tick
 from fleetmill.schema import TABLES
 from fleetmill.sources import catalog as catalogs
-from fleetmill.sources import changes, inventory
+from fleetmill.sources import changes, inventory, run_log
 
 T = datetime(2001, 6, 1)
 ts = times.as_timestamp
@@ -108,7 +108,7 @@ def test_dispatch_results(spark):
     assert [r.aws_id for r in done.catalog["scheduled_pipelines"].collect()] == ["df-1"]
     events = {r.pipeline_id: (r.event, r.failure_number) for r in done.events.collect()}
     assert events == {2: ("failed_to_schedule", 3), 3: ("deactivated", 4)}
-    assert [r.attempt_id for r in done.rejected.collect()] == [9]
+    assert {r.attempt_id for r in done.rejected.collect()} == {9, 10}
 
 
 def test_cleanup_quarantines_what_it_cannot_judge(spark):
@@ -315,3 +315,28 @@ def test_bucketed_tables_join_without_a_shuffle(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         for name in tables:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_run_log_rewrites_live_runs_only(spark, tmp_path):
+    path = str(tmp_path / "log")
+    first = [run(f"df-{i}", 1, T, i % 2 == 0) for i in range(6)]
+    schema = catalog_of(spark)["scheduled_pipelines"].schema
+    run_log.save_tick(spark.createDataFrame(first, schema), path, "2001-06-01")
+    before = run_log.load_runs(spark, path, "2001-06-01")
+    assert sorted(map(tuple, before.collect())) == sorted(first)
+
+    live = retention.in_console_runs(before)
+    plan = live._jdf.queryExecution().executedPlan().toString()
+    assert "console" in plan.split("PartitionFilters: ")[1].split("]")[0]
+    now = live.withColumn("in_console", F.col("aws_id") != "df-2").unionByName(
+        spark.createDataFrame([run("df-9", 1, T)], schema)
+    )
+    for _ in range(2):  # a repeated tick changes nothing
+        run_log.save_tick(now, path, "2001-06-02")
+    after = {r.aws_id: r.in_console for r in run_log.load_runs(spark, path, "2001-06-02").collect()}
+    assert after == {"df-0": True, "df-1": False, "df-2": False, "df-3": False, "df-4": True,
+                     "df-5": False, "df-9": True}
+    assert run_log.load_runs(spark, path, "2001-06-02").count() == 7
+    assert sorted(map(tuple, run_log.load_runs(spark, path, "2001-06-01").collect())) == sorted(first)
+    with pytest.raises(ValueError):
+        run_log.save_tick(now, path, "01:00")
