@@ -30,6 +30,11 @@ def id_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select("aws_id").subtract(right.select("aws_id"))
 
 
+def default_cutoff(now: Column) -> Column:
+    """Start of the day two months before ``now``."""
+    return times.start_of_day(times.plus_months(now, F.lit(-2)))
+
+
 def deletable_unmanaged(
     status: DataFrame,
     exclude_prefixes: list[str],

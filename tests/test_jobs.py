@@ -169,6 +169,14 @@ def test_deletable_unmanaged(spark, zone, prefixes, force, expected):
     assert {r.aws_id for r in found.collect()} == expected
 
 
+def test_default_cutoff(spark):
+    row = spark.range(1).select(
+        unmanaged.default_cutoff(ts("2001-04-30 13:00:00")).alias("a"),
+        unmanaged.default_cutoff(ts("2001-01-15 00:00:00")).alias("b"),
+    ).first()
+    assert (row.a, row.b) == (datetime(2001, 2, 28), datetime(2000, 11, 15))
+
+
 @pytest.mark.parametrize("options", [{"exclude_prefixes": [" "]}, {"state": "PROMOTED"}])
 def test_invalid_unmanaged_options(spark, options):
     status = spark.createDataFrame([], STATUS)
