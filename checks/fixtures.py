@@ -19,7 +19,7 @@ VIEWS = {
         SELECT c.c_custkey AS id, c.c_name AS name,
                concat('s3://jars/', lower(c.c_mktsegment), '.jar') AS jar,
                concat('com.example.P', c.c_custkey) AS class_name,
-               c.c_custkey % 10 <> 3 AS is_active,
+               c.c_nationkey NOT IN (3, 17) AS is_active,
                CAST(1 + c.c_custkey % 3 AS INT) AS retention,
                o.first_run AS start_time,
                CASE c.c_custkey % 6 WHEN 0 THEN '1 day' WHEN 1 THEN '1 week'
@@ -43,7 +43,7 @@ VIEWS = {
                    AS actual_start,
                o_orderdate + INTERVAL '1' HOUR AS deployed_time,
                CASE WHEN o_orderkey % 13 = 0 THEN 'fail' ELSE 'success' END AS status,
-               o_orderkey % 3 <> 0 AS in_console
+               o_totalprice >= 150000 AS in_console
         FROM {orders}""",
     "fx_status": """
         SELECT concat('df-', o_orderkey) AS aws_id,

@@ -28,7 +28,7 @@ def failure_streaks(
     A success clears the counter. The f-th failure in a row is reported while f is at most
     ``max_failures`` and deactivates the pipeline beyond; the counter stays at the maximum then,
     and further failures have the same number. Failures before the first success continue from
-    the pipeline's recorded counter.
+    the pipeline's recorded counter. An attempt without a result is a failure.
 
     The number of failures so far minus that number at the last success is the place in the run.
     Both are running aggregates, so a pipeline of any size can be cut into slices.
@@ -40,6 +40,7 @@ def failure_streaks(
         .orderBy(*_ORDER)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    attempts = attempts.withColumn("ok", F.coalesce("ok", F.lit(False)))
     prior = counters.select("pipeline_id", F.col("failure_count").alias("_prior"))
 
     def ordinary(rows: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ def apply_dispatch_results(
         .select(
             "pipeline_id",
             "_taken",
-            F.col("_attempt.ok").alias("_ok"),
+            F.coalesce("_attempt.ok", F.lit(False)).alias("_ok"),
             F.col("_attempt.log").alias("log"),
             F.coalesce("_n", F.lit(0)).alias("_n"),
             "next_run_time",
