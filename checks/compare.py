@@ -79,7 +79,8 @@ def main(sf_dir: str, prefixes: list[str]) -> int:
         except Exception as error:  # report and go on with the next query
             found, rows = f"{type(error).__name__}: {str(error)[:1500]}", -1
         bad += found is not None
-        print(f"{name:32} {rows:9} rows {time.time() - began:6.1f} s  {found or 'same'}", flush=True)
+        took = time.time() - began
+        print(f"{name:32} {rows:9} rows {took:6.1f} s  {found or 'same'}", flush=True)
     print(f"{bad} differ")
     return bad
 

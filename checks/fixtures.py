@@ -139,7 +139,8 @@ VIEWS = {
         SELECT class_name AS pipeline_object, start_time, period FROM {fx_pipelines}""",
     "fx_locations": """
         SELECT jar, concat('/cache/', substr(jar, 11)) AS location
-        FROM (SELECT DISTINCT jar FROM {fx_pipelines}) AS j WHERE jar <> 's3://jars/furniture.jar'""",
+        FROM (SELECT DISTINCT jar FROM {fx_pipelines}) AS j
+        WHERE jar <> 's3://jars/furniture.jar'""",
     "fx_deployed": """
         SELECT c_custkey AS pipeline_id, concat('sp_', c_custkey) AS pipeline_name,
                {NTZ} '2001-06-01 00:10:00' AS deployed_time

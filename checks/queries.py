@@ -667,7 +667,7 @@ def _(t: Inputs) -> DataFrame:
 
 @check(
     "a7_scheduler_run_stats",
-    """SELECT CAST(start_time AS DATE) AS run_date, count(*) AS runs,
+    """SELECT CAST(CAST(start_time AS DATE) AS VARCHAR) AS run_date, count(*) AS runs,
               count(end_time) AS finished_runs, CAST(sum(pipeline_count) AS BIGINT) AS pipelines,
               min(d) AS shortest_seconds, round(avg(d), 9) AS average_seconds,
               max(d) AS longest_seconds
@@ -677,7 +677,12 @@ def _(t: Inputs) -> DataFrame:
 )
 def _(t: Inputs) -> DataFrame:
     stats = counts.scheduler_run_stats(t["fx_scheduler_metrics"])
-    return stats.withColumn("average_seconds", F.round("average_seconds", DIGITS))
+    return stats.withColumns(
+        {
+            "run_date": F.col("run_date").cast("string"),
+            "average_seconds": F.round("average_seconds", DIGITS),
+        }
+    )
 
 
 @check(
@@ -1312,13 +1317,14 @@ def _(t: Inputs) -> DataFrame:
 @check(
     "s9_write_datums",
     f"""WITH {figures_sql(1.0)}, points AS ({SERVICE_POINTS})
-        SELECT kind, metric, datum_type, {POINT_VALUES}, unit, DATE '2024-01-30' AS report_date
+        SELECT kind, metric, datum_type, {POINT_VALUES}, unit, '2024-01-30' AS report_date
         FROM points""",
 )
 def _(t: Inputs) -> DataFrame:
     path = scratch_path(t.spark, "datums")
     datum_sink.write_datums(service_datums(t), path)
     stored = point_values(t.spark.read.parquet(path))
+    stored = stored.withColumn("report_date", F.col("report_date").cast("string"))
     return stored.drop("ts", "kind_rank", "datum_rank", "resolution")
 
 
@@ -1731,6 +1737,8 @@ def described(catalog: dict[str, DataFrame]) -> DataFrame:
     return merged
 
 
+MOVED_ON = forward("p.next_run_time", f"TIMESTAMP '{TICK_END}'").replace("period", "p.period")
+
 # Launches fail for some nations' pipelines, and furniture launches leave no inventory entry. Of
 # the entries that came up, those of pipelines with retention 1 are gone again at clean-up.
 CYCLE = f"""
@@ -1745,8 +1753,8 @@ CYCLE = f"""
     "c9_hourly_cycle",
     f"""WITH {CYCLE}
         SELECT 'pipelines' AS table_name, CAST(p.id AS VARCHAR) AS row_key,
-               COALESCE(CAST(CASE WHEN t.came_up THEN {forward("p.next_run_time", f"TIMESTAMP '{TICK_END}'").replace("period", "p.period")}
-                                  ELSE p.next_run_time END AS VARCHAR), '-') || ' '
+               COALESCE(CAST(CASE WHEN t.came_up THEN {MOVED_ON} ELSE p.next_run_time END
+                             AS VARCHAR), '-') || ' '
                    || CASE WHEN NOT t.came_up AND t.n >= 3 THEN FALSE ELSE p.is_active END
                    AS row_state
         FROM {{fx_pipelines}} p LEFT JOIN tried t ON t.id = p.id

@@ -138,9 +138,8 @@ def _period(text: Column, units: dict[str, int]) -> Column:
     amount = F.regexp_extract(text, r"\d+", 0).cast("bigint")
     size = F.lit(None).cast("bigint")
     for name, worth in units.items():
-        size = F.when(F.contains(F.lower(text), F.lit(name)), F.lit(worth).cast("bigint")).otherwise(
-            size
-        )
+        named = F.contains(F.lower(text), F.lit(name))
+        size = F.when(named, F.lit(worth).cast("bigint")).otherwise(size)
     return F.when(is_usable_period(text), amount * size)
 
 

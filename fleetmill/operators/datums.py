@@ -23,7 +23,11 @@ DATUMS_PER_REQUEST = 20
 # How a name carries dimensions, and what a data point's type is called.
 DIMENSIONED_NAME = r"([\w.-]+)\[([\w\W]+)]"
 TYPE = "Type"
-STANDARD_UNITS = {"seconds": "Seconds", "milliseconds": "Milliseconds", "microseconds": "Microseconds"}
+STANDARD_UNITS = {
+    "seconds": "Seconds",
+    "milliseconds": "Milliseconds",
+    "microseconds": "Microseconds",
+}
 UNIT_SECONDS = {"seconds": 1.0, "milliseconds": 1e-3, "microseconds": 1e-6}
 
 # The order in which the kinds are reported.

@@ -70,7 +70,8 @@ def failure_streaks(
 
 
 def counter_after(failure_number: Column, max_failures: int) -> Column:
-    return F.when(failure_number.isNull(), 0).otherwise(F.least(failure_number, F.lit(max_failures)))
+    most = F.least(failure_number, F.lit(max_failures))
+    return F.when(failure_number.isNull(), 0).otherwise(most)
 
 
 def event_of(failure_number: Column, max_failures: int) -> Column:

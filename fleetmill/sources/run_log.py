@@ -2,8 +2,8 @@
 
 Runs leave the console for good, and nearly all of a long run log has left it. A tick therefore
 reads and rewrites live runs only: ``<path>/console=in/tick=…`` holds all live runs as of a tick,
-``<path>/console=out/tick=…`` the runs that left in it. Both folders of a tick are replaced when the
-tick is written again, so a tick that failed half way can simply be repeated.
+``<path>/console=out/tick=…`` the runs that left in it. Both folders of a tick are replaced when
+the tick is written again, so a tick that failed half way can simply be repeated.
 """
 
 from __future__ import annotations

@@ -25,7 +25,9 @@ def skewed_attempts(n=6000, seed=3):
     return rows
 
 
-ATTEMPTS = "attempt_id bigint, pipeline_id bigint, attempt_time timestamp_ntz, ok boolean, log string"
+ATTEMPTS = (
+    "attempt_id bigint, pipeline_id bigint, attempt_time timestamp_ntz, ok boolean, log string"
+)
 COUNTERS = "pipeline_id bigint, failure_count int, updated_at timestamp_ntz"
 
 

@@ -40,7 +40,9 @@ def run(aws_id, pipeline_id, start, in_console=True):
     return (aws_id, pipeline_id, "n", start, start, start, "success", in_console)
 
 
-STATUS = "aws_id string, name string, health_status string, pipeline_state string, creation_time string"
+STATUS = (
+    "aws_id string, name string, health_status string, pipeline_state string, creation_time string"
+)
 
 
 def test_tick(spark):
@@ -100,7 +102,9 @@ def test_dispatch_results(spark):
     done = apply_dispatch_results(catalog, attempts, new_runs, ts(T), ts(T))
     after = {r.id: r for r in done.catalog["pipelines"].collect()}
     still = datetime(2001, 5, 30)
-    assert {i: after[i].next_run_time for i in after} == {1: T, 2: still, 3: still, 4: T, 5: T, 6: still}
+    assert {i: after[i].next_run_time for i in after} == {
+        1: T, 2: still, 3: still, 4: T, 5: T, 6: still,
+    }
     assert [i for i in after if not after[i].is_active] == [3]
     left = {r.pipeline_id: r.failure_count for r in
             done.catalog["schedule_failure_counters"].collect()}
@@ -285,7 +289,8 @@ def test_hourly_cycle(spark):
         STATUS,
     )
     done = cycle.hourly_cycle(
-        catalog, ts(T - timedelta(hours=1)), ts(T), ts(T), "sp_", results, names, activations, status
+        catalog, ts(T - timedelta(hours=1)), ts(T), ts(T), "sp_", results, names, activations,
+        status,
     )
     assert {r.pipeline_id: r.times for r in done.launches.collect()} == {1: 2, 2: 2, 3: 2}
     events = {r.pipeline_id: (r.event, r.log) for r in done.events.collect()}
@@ -305,7 +310,8 @@ def test_hourly_cycle(spark):
 
 def test_bucketed_tables_join_without_a_shuffle(spark):
     n = 400
-    runs = catalog_of(spark, runs=[run(f"df-{i}", i % 7, T) for i in range(n)])["scheduled_pipelines"]
+    rows = [run(f"df-{i}", i % 7, T) for i in range(n)]
+    runs = catalog_of(spark, runs=rows)["scheduled_pipelines"]
     status = spark.createDataFrame(
         [(f"df-{i}", "n", None, "FINISHED", None) for i in range(0, n, 2)], STATUS
     )
@@ -315,7 +321,7 @@ def test_bucketed_tables_join_without_a_shuffle(spark):
         for name, df in tables.items():
             catalogs.save_bucketed(df, name, "aws_id", 4)
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        joined = retention.runs_with_status(spark.table("bucketed_runs"), spark.table("bucketed_status"))
+        joined = retention.runs_with_status(*[spark.table(name) for name in tables])
         plan = joined._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Exchange" not in plan
         assert joined.where("in_inventory").count() == n // 2
@@ -341,10 +347,11 @@ def test_run_log_rewrites_live_runs_only(spark, tmp_path):
     )
     for _ in range(2):  # a repeated tick changes nothing
         run_log.save_tick(now, path, "2001-06-02")
-    after = {r.aws_id: r.in_console for r in run_log.load_runs(spark, path, "2001-06-02").collect()}
-    assert after == {"df-0": True, "df-1": False, "df-2": False, "df-3": False, "df-4": True,
+    second = run_log.load_runs(spark, path, "2001-06-02")
+    assert {r.aws_id: r.in_console for r in second.collect()} == {"df-0": True, "df-1": False, "df-2": False, "df-3": False, "df-4": True,
                      "df-5": False, "df-9": True}
-    assert run_log.load_runs(spark, path, "2001-06-02").count() == 7
-    assert sorted(map(tuple, run_log.load_runs(spark, path, "2001-06-01").collect())) == sorted(first)
+    assert second.count() == 7
+    again = run_log.load_runs(spark, path, "2001-06-01")
+    assert sorted(map(tuple, again.collect())) == sorted(first)
     with pytest.raises(ValueError):
         run_log.save_tick(now, path, "01:00")

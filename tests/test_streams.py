@@ -10,7 +10,9 @@ from fleetmill.streaming.reports import append_to, stream_counter_deltas, stream
 from fleetmill.streaming.streaks import stream_failure_streaks
 
 T0 = datetime(2024, 1, 1)
-ATTEMPTS = "attempt_id bigint, pipeline_id bigint, attempt_time timestamp_ntz, ok boolean, log string"
+ATTEMPTS = (
+    "attempt_id bigint, pipeline_id bigint, attempt_time timestamp_ntz, ok boolean, log string"
+)
 COUNTERS = "pipeline_id bigint, failure_count int, updated_at timestamp_ntz"
 SAMPLES = "event_id bigint, ts timestamp_ntz, kind string, metric string, value double"
 
