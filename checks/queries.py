@@ -875,8 +875,8 @@ def _(t: Inputs) -> DataFrame:
     "o2_latest_starts",
     """SELECT pipeline_id, actual_start, run_count, start_rank FROM (
            SELECT pipeline_id, actual_start, count(*) AS run_count,
-                  CAST(row_number() OVER (PARTITION BY pipeline_id ORDER BY actual_start DESC)
-                       AS INT) AS start_rank
+                  row_number() OVER (PARTITION BY pipeline_id ORDER BY actual_start DESC)
+                       AS start_rank
            FROM {fx_runs} GROUP BY pipeline_id, actual_start) AS ranked
        WHERE start_rank <= 3""",
 )

@@ -80,37 +80,28 @@ def split_by_health(finished: DataFrame) -> tuple[DataFrame, DataFrame]:
     return finished.where(is_failed()), finished.where(~is_failed())
 
 
-def latest_starts(runs: DataFrame, k: int) -> DataFrame:
-    """O2: the newest ``k`` distinct starts of each pipeline, with the runs that share each.
-
-    Runs are first aggregated to distinct starts; the rank limit is then applied before the
-    shuffle as well as after it.
-    """
+def latest_starts(runs: DataFrame, k: int, heavy_rows: int = HEAVY_GROUP_ROWS) -> DataFrame:
+    """O2: the newest ``k`` distinct starts of each pipeline, with the runs that share each."""
     starts = runs.groupBy("pipeline_id", "actual_start").agg(
         F.count(F.lit(1)).alias("run_count")
     )
-    newest = Window.partitionBy("pipeline_id").orderBy(F.desc("actual_start"))
-    return starts.withColumn("start_rank", F.row_number().over(newest)).where(
-        F.col("start_rank") <= k
-    )
+    ranked = _rank_starts(starts, ["pipeline_id"], k, heavy_rows)
+    return ranked.withColumnRenamed("_rank", "start_rank")
 
 
-def _rank_starts(starts: DataFrame, settings: DataFrame, heavy_rows: int) -> DataFrame:
-    """Ranks distinct starts, newest first, up to the largest retention.
+def _rank_starts(starts: DataFrame, keys: list[str], most: int, heavy_rows: int) -> DataFrame:
+    """Adds ``_rank`` to distinct starts, newest first, and keeps ranks up to ``most``.
 
-    While that is small, the rank limit leaves few rows per pipeline before the shuffle. A large
-    one ("keep for good") leaves all of them. Pipelines with very many are then sliced, and of all
-    ranks only those that equal the retention go on.
+    While ``most`` is small, the rank limit leaves few rows per group before the shuffle already.
+    A large one leaves all of them, and groups with very many are then sliced.
     """
-    largest = settings.agg(F.max("retention")).first()[0] or 0
-    keys = ["pipeline_id", "failed"]
     newest = Window.partitionBy(*keys).orderBy(F.desc("actual_start"))
 
     def ordinary(rows: DataFrame) -> DataFrame:
         return rows.withColumn("_rank", F.row_number().over(newest).cast("bigint"))
 
-    if largest <= SMALL_RETENTION:
-        return ordinary(starts).where(F.col("_rank") <= largest)
+    if most <= SMALL_RETENTION:
+        return ordinary(starts).where(F.col("_rank") <= most)
     aged = starts.withColumn("_age", -times.wall_micros(F.col("actual_start")))
     one = F.lit(1).cast("bigint")
     ranked = per_group(
@@ -121,8 +112,7 @@ def _rank_starts(starts: DataFrame, settings: DataFrame, heavy_rows: int) -> Dat
         lambda rows: running(rows, keys, ["_age"], one, "_rank"),
         heavy_rows,
     )
-    cuts = settings.select("pipeline_id", F.col("retention").cast("bigint").alias("_rank"))
-    return ranked.join(cuts, ["pipeline_id", "_rank"], "left_semi")
+    return ranked.where(F.col("_rank") <= most).drop("_age")
 
 
 def retention_cuts(
@@ -137,7 +127,12 @@ def retention_cuts(
     starts = finished.select(
         "pipeline_id", is_failed().alias("failed"), "actual_start"
     ).distinct()
-    ranked = _rank_starts(starts, settings, heavy_rows)
+    largest = settings.agg(F.max("retention")).first()[0] or 0
+    ranked = _rank_starts(starts, ["pipeline_id", "failed"], largest, heavy_rows)
+    if largest > SMALL_RETENTION:
+        # spread over tasks by rank as well, only the ranks that equal a retention go on
+        wanted = settings.select("pipeline_id", F.col("retention").cast("bigint").alias("_rank"))
+        ranked = ranked.join(wanted, ["pipeline_id", "_rank"], "left_semi")
     at_cut = F.col("_rank") == F.col("retention")
     return (
         settings.join(ranked, "pipeline_id", "left")

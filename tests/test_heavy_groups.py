@@ -217,3 +217,15 @@ def test_latest_starts_limits_ranks_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan
     found = {(r.pipeline_id, r.start_rank): r.actual_start for r in newest.collect()}
     assert found[0, 1] > found[0, 2] and len(found) == 6
+
+
+@pytest.mark.parametrize("heavy_rows", [10**9, 10])
+def test_latest_starts_with_a_large_k(spark, heavy_rows):
+    rows = [(f"df-{i}", i % 3, T0 + timedelta(days=i % 50), None) for i in range(600)]
+    runs = spark.createDataFrame(rows, RUNS)
+    found = retention.latest_starts(runs, 20_000, heavy_rows).collect()
+    expected = set()
+    for p in range(3):
+        days = sorted({r[2] for r in rows if r[1] == p}, reverse=True)
+        expected |= {(p, day, rank + 1) for rank, day in enumerate(days)}
+    assert {(r.pipeline_id, r.actual_start, r.start_rank) for r in found} == expected
