@@ -42,6 +42,8 @@ class ReportSettings:
     """Which figures are reported and how; the default reports counts and percentiles only."""
 
     percentiles: tuple[float, ...] = DEFAULT_PERCENTILES
+    #: Percentiles from a bounded digest, in one aggregation however large a metric is.
+    approximate: bool = False
     one_minute_rate: bool = False
     five_minute_rate: bool = False
     fifteen_minute_rate: bool = False

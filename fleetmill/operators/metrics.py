@@ -22,6 +22,7 @@ from fleetmill.operators.ordered import (
     running,
     split_heavy,
 )
+from fleetmill.session import lookup
 
 #: The built-in exact percentile holds the distinct values of up to 128 groups in memory before it
 #: sorts instead, so a group must be small.
@@ -130,7 +131,7 @@ def _heavy_percentiles(samples: DataFrame, quantiles: tuple[float, ...]) -> Data
     placed = running(
         cut_slices(counted, METRIC, ["value"]), METRIC, ["value"], F.col("_n"), "_end"
     )
-    totals = placed.groupBy(*METRIC).agg((F.max("_end") - 1).alias("_last"))
+    totals = lookup(placed.groupBy(*METRIC).agg((F.max("_end") - 1).alias("_last")))
     ranged = placed.join(totals, METRIC)
 
     def sample_at(position: Column) -> Column:

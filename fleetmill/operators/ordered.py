@@ -15,14 +15,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetmill.session import materialize, shuffle_partitions
+from fleetmill.session import lookup, materialize, shuffle_partitions
 
 #: A group with more rows than this is not given to one task.
 HEAVY_GROUP_ROWS = 4_000_000
 
-#: Most rows of keys and totals that are broadcast; above it Spark picks the join.
-BROADCAST_ROWS = 200_000
-
 _UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 _BEFORE_HERE = (Window.unboundedPreceding, -1)
 
@@ -34,13 +31,6 @@ def _same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
     return condition
 
 
-def _sized(df: DataFrame) -> tuple[DataFrame, int]:
-    """``df`` written out, with its row count; marked for broadcast only if that is small."""
-    written = materialize(df)
-    n = written.count()
-    return (F.broadcast(written) if n <= BROADCAST_ROWS else written), n
-
-
 def heavy_groups(
     df: DataFrame, keys: list[str], limit: int = HEAVY_GROUP_ROWS, sizes: DataFrame | None = None
 ) -> DataFrame | None:
@@ -50,8 +40,8 @@ def heavy_groups(
     """
     if sizes is None:
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
-    heavy, n = _sized(sizes.where(F.col("count") > limit).select(*keys))
-    return heavy if n else None
+    heavy = lookup(sizes.where(F.col("count") > limit).select(*keys))
+    return None if heavy.isEmpty() else heavy
 
 
 def split_heavy(
@@ -79,7 +69,7 @@ def cut_slices(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def _join_slice_totals(rows: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
     columns = [*keys, "_slice"]
     # at most (heavy groups + slices) rows
-    renamed, _ = _sized(totals.select(*[F.col(c).alias(f"_r_{c}") for c in columns], "_earlier"))
+    renamed = lookup(totals.select(*[F.col(c).alias(f"_r_{c}") for c in columns], "_earlier"))
     condition = F.lit(True)
     for c in columns:
         condition = condition & F.col(c).eqNullSafe(F.col(f"_r_{c}"))

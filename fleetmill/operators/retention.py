@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fleetmill.functions import times
 from fleetmill.operators.ordered import HEAVY_GROUP_ROWS, per_group, running
+from fleetmill.session import lookup
 
 #: Up to this retention a rank limit alone keeps groups small.
 SMALL_RETENTION = 10_000
@@ -152,7 +153,7 @@ def is_beyond_retention(cut: str) -> Column:
 
 def judge_finished(finished: DataFrame, pipelines: DataFrame) -> DataFrame:
     """W1 and W2 in one pass: each finished run with ``action``, null for healthy and kept."""
-    cuts = retention_cuts(finished, pipelines)
+    cuts = lookup(retention_cuts(finished, pipelines))
     action = F.when(
         is_failed(), F.when(is_beyond_retention("failed_cut"), DELETE_FAILED).otherwise(KEEP_FAILED)
     ).when(is_beyond_retention("healthy_cut"), DELETE_HEALTHY)

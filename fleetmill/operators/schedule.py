@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetmill.functions import times
 from fleetmill.functions.texts import deployment_name
 from fleetmill.operators.ordered import number_rows
-from fleetmill.session import shuffle_partitions
+from fleetmill.session import lookup, shuffle_partitions
 
 #: Default number of pipelines taken per run.
 MAX_PIPELINES = 60
@@ -193,7 +193,7 @@ def activated_runs(
     ``activations(pipeline_name, activated)`` likewise. A run that could not be activated still
     is a run, with status ``fail``.
     """
-    launched = deployed.join(activations, "pipeline_name", "left")
+    launched = lookup(deployed.join(activations, "pipeline_name", "left"))
     runs = inventory_names.join(launched, "pipeline_name").select(
         "aws_id",
         "pipeline_id",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetmill.operators.ordered import HEAVY_GROUP_ROWS, per_group, running
+from fleetmill.session import lookup
 
 MAX_FAILURES = 3
 
@@ -51,7 +52,9 @@ def failure_streaks(
     def sliced(rows: DataFrame) -> DataFrame:
         counted = running(rows, _KEYS, _ORDER, fails, "_fails")
         cleared = running(counted, _KEYS, _ORDER, at_success, "_cleared", how="max")
-        return cleared.join(prior, "pipeline_id", "left")
+        heavy = rows.select("pipeline_id").distinct()
+        known = lookup(prior.join(heavy, "pipeline_id", "left_semi"))
+        return cleared.join(known, "pipeline_id", "left")
 
     placed = per_group(attempts, _KEYS, _ORDER, ordinary, sliced, heavy_rows)
     start = F.coalesce(F.col("_cleared"), -F.col("_prior"), F.lit(0))

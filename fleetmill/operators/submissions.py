@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetmill.functions import texts, times
+from fleetmill.session import lookup
 
 UPDATE = "update"
 JAR_ONLY = "jar_only"
@@ -44,14 +45,13 @@ def match_by_name_or_class(submissions: DataFrame, pipelines: DataFrame) -> Data
     Names and classes are counted before the join, so it is a plain equi-join with one row per
     object, however many pipelines or requests share it.
     """
-    return (
-        submissions.select("request_id", "pipeline_object")
-        .join(object_matches(pipelines), "pipeline_object", "left")
-        .select(
-            "request_id",
-            "pipeline_object",
-            F.coalesce("match_count", F.lit(0)).alias("match_count"),
-        )
+    requests = submissions.select("request_id", "pipeline_object")
+    asked = requests.select("pipeline_object").distinct()
+    matches = lookup(asked.join(object_matches(pipelines), "pipeline_object", "left"))
+    return requests.join(matches, "pipeline_object").select(
+        "request_id",
+        "pipeline_object",
+        F.coalesce("match_count", F.lit(0)).alias("match_count"),
     )
 
 

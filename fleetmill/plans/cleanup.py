@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetmill.operators import retention, unmanaged
 from fleetmill.operators.ordered import HEAVY_GROUP_ROWS
-from fleetmill.session import materialize
+from fleetmill.session import lookup, materialize
 from fleetmill.sources.catalog import Catalog
 from fleetmill.sources.changes import append_rows
 
@@ -44,8 +44,10 @@ def cleanup_existing(
     found = materialize(
         retention.runs_with_status(runs, status).join(recorded, "aws_id", "left")
     )
-    cuts = retention.retention_cuts(
-        retention.finished_runs(found), catalog["pipelines"], heavy_rows
+    cuts = lookup(
+        retention.retention_cuts(
+            retention.finished_runs(found), catalog["pipelines"], heavy_rows
+        )
     )
     finished, failed = retention.is_finished(), retention.is_failed()
     action = (

@@ -52,6 +52,7 @@ def metric_figures(
         quantiles = metrics.percentile_arrays(
             known.where(F.col("kind").isin("histogram", "timer")),
             settings.percentiles,
+            settings.approximate,
             heavy_rows=heavy_rows,
             sizes=sizes,
         )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetmill.functions import times
 from fleetmill.operators import schedule, streaks
-from fleetmill.session import materialize
+from fleetmill.session import lookup, materialize
 from fleetmill.sources.catalog import Catalog
 from fleetmill.sources.changes import append_rows
 
@@ -40,7 +40,7 @@ def schedule_tick(
     usable, rejected = schedule.parse_periods(due)
     launches = schedule.backfill_plan(usable, tick_end, now, prefix)
     if jar_locations is not None:
-        launches = launches.join(jar_locations, "jar", "left")
+        launches = launches.join(lookup(jar_locations), "jar", "left")
     ended = F.lit(None).cast("timestamp_ntz") if finished_at is None else finished_at
     metrics = due.agg(F.count(F.lit(1)).cast("int").alias("pipeline_count")).select(
         now.alias("start_time"), "pipeline_count", ended.alias("end_time")

@@ -18,7 +18,7 @@ from fleetmill.operators.submissions import (
     refused_unseen,
     request_kind,
 )
-from fleetmill.session import materialize
+from fleetmill.session import lookup, materialize
 
 
 @dataclass(frozen=True)
@@ -62,13 +62,17 @@ def request_outcomes(resolved: DataFrame, pipelines: DataFrame) -> DataFrame:
     inserts = (
         seen & (F.col("kind") == INSERT) & F.col("owner").isNotNull() & ~F.col("dry_run")
     )
-    asked = requests.groupBy("pipeline_object").agg(
-        F.min("request_id").alias("first_request"),
-        F.min(F.when(inserts, F.col("request_id"))).alias("_first_insert"),
+    asked = lookup(
+        requests.groupBy("pipeline_object").agg(
+            F.min("request_id").alias("first_request"),
+            F.min(F.when(inserts, F.col("request_id"))).alias("_first_insert"),
+        )
     )
     conflicts = _conflicts(pipelines, asked).withColumn("_conflict", F.lit(True))
-    objects = asked.join(object_matches(pipelines), "pipeline_object", "left").join(
-        conflicts, "pipeline_object", "left"
+    objects = lookup(
+        asked.join(object_matches(pipelines), "pipeline_object", "left").join(
+            conflicts, "pipeline_object", "left"
+        )
     )
     matched = F.coalesce(F.col("match_count"), F.lit(0))
     exists = (matched > 0) | F.coalesce(F.col("request_id") > F.col("_first_insert"), F.lit(False))
@@ -132,7 +136,7 @@ def apply_submissions(resolved: DataFrame, pipelines: DataFrame) -> Submitted:
     """
     # read several times each: once here would mean joining definitions and pipelines again
     outcomes = materialize(request_outcomes(materialize(resolved), pipelines))
-    writes = _final_writes(outcomes)
+    writes = lookup(_final_writes(outcomes))
     fields = ("_rescheduled", "_whole", "_jar", "_active")
     given = F.struct("pipeline_object", *fields)
     by_name = writes.select(F.col("pipeline_object").alias("name"), given.alias("_by_name"))

@@ -10,6 +10,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Most rows of a written and counted table that are broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,5 +41,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def lookup(df: DataFrame) -> DataFrame:
+    """``df``, with one row per key, written out as the side of a join that is looked up.
+
+    It is broadcast if it was counted to be small. If not, both sides of the join come from a
+    shuffle of their own, which is what adaptive execution needs to split a key that holds much
+    of the other side: it cannot do so while this side is still the output of an aggregation or
+    of another join on the same key.
+    """
+    written = materialize(df)
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
