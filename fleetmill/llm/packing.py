@@ -30,7 +30,7 @@ GROUP_PIECES, MOST_GROUPS = 256, 1 << 16
 _SEPARATOR = "<|endoftext|>"
 # A stop after a letter or digit begins a new match, so a space before it changes no id; after
 # these characters it does not.
-_STOP_WITHIN = re.compile(r"[^\w\s][.,]|_[.,]")
+_STOP_WITHIN = re.compile(r"[^\w \n][.,]|_[.,]")
 # Lower-case words of letters that no normaliser changes.
 _WORD = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 

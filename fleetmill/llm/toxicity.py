@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from fleetmill.llm.common import slices, written
 
 #: Most labelled rows that the model is fitted on, taken by a hash of their ids, and most terms.
-SAMPLE, TERMS = 20_000, 800
+SAMPLE, TERMS = 12_000, 500
 #: Toxic texts of the sample that a term must be in, and by how much its rate there must exceed
 #: that in other texts.
 LEAST_TEXTS, LEAST_RATIO = 5, 6.0
