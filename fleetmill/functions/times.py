@@ -41,6 +41,16 @@ def as_timestamp(value: datetime | str | Column) -> Column:
     return F.lit(value).cast("timestamp_ntz")
 
 
+def packed_order(ts: Column, number: Column) -> Column:
+    """A number that orders rows by ``ts``, then by ``number``.
+
+    An aggregation that picks a value by a number can hash its groups; by a struct it has to sort
+    all rows first.
+    """
+    micros = wall_micros(ts).cast("decimal(38,0)")
+    return (micros * F.lit(str(1 << 64)).cast("decimal(20,0)") + number).cast("decimal(38,0)")
+
+
 def wall_micros(ts: Column) -> Column:
     """Microseconds from 1970 to ``ts`` on the wall clock.
 

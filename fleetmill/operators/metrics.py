@@ -50,10 +50,12 @@ RATE_MINUTES = (1, 5, 15)
 
 def metric_gauges(samples: DataFrame, value: str = "value") -> DataFrame:
     """The last value of each gauge; none if that is null or not a number."""
+    number = F.col(value).try_cast("double")
+    last = times.packed_order(F.col("ts"), F.col("event_id"))
     return (
-        samples.groupBy(*METRIC)
-        .agg(F.max_by(F.col(value), F.struct("ts", "event_id")).alias("value"))
-        .withColumn("value", F.col("value").try_cast("double"))
+        samples.where(F.col("kind") == "gauge")
+        .groupBy(*METRIC)
+        .agg(F.max_by(number, last).alias("value"))
         .where(F.col("value").isNotNull())
     )
 

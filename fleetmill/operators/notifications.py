@@ -32,15 +32,26 @@ def route_notifications(
 ) -> DataFrame:
     """Events with pipeline name, owner, medium and recipients.
 
-    An owner that is neither a mail address nor a topic makes the event ``invalid``: it has no
-    recipient and is kept, so that it can be seen.
+    An owner that is neither a mail address nor a topic, or a pipeline that is not in the table,
+    makes the event ``invalid``: it has no recipient and is kept, so that it can be seen.
     """
     owners = pipelines.select(
-        F.col("id").alias("pipeline_id"), F.col("name").alias("pipeline_name"), "owner"
+        F.col("id").alias("pipeline_id"),
+        F.col("name").alias("pipeline_name"),
+        "owner",
+        F.lit(True).alias("_known"),
     )
     medium, recipients = route(F.col("owner"), default_emails)
-    return events.join(owners, "pipeline_id").withColumns(
-        {"medium": medium, "recipients": recipients}
+    known = F.col("_known").isNotNull()
+    return (
+        events.join(owners, "pipeline_id", "left")
+        .withColumns(
+            {
+                "medium": F.when(known, medium).otherwise(INVALID),
+                "recipients": F.when(known, recipients),
+            }
+        )
+        .drop("_known")
     )
 
 

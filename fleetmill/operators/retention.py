@@ -9,16 +9,13 @@ start with the cut.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetmill.functions import times
 from fleetmill.operators.ordered import HEAVY_GROUP_ROWS, per_group, running
 from fleetmill.session import lookup
 
-#: Up to this retention a rank limit alone keeps groups small.
-SMALL_RETENTION = 10_000
-
 FINISHED = "FINISHED"
 ERROR = "ERROR"
 
@@ -93,16 +90,18 @@ def latest_starts(runs: DataFrame, k: int, heavy_rows: int = HEAVY_GROUP_ROWS) -
 def _rank_starts(starts: DataFrame, keys: list[str], most: int, heavy_rows: int) -> DataFrame:
     """Adds ``_rank`` to distinct starts, newest first, and keeps ranks up to ``most``.
 
-    While ``most`` is small, the rank limit leaves few rows per group before the shuffle already.
-    A large one leaves all of them, and groups with very many are then sliced.
+    Up to the largest limit that the session pushes below the shuffle, few rows per group are left
+    before it. A larger one leaves all of them, and groups with very many are then sliced.
     """
     newest = Window.partitionBy(*keys).orderBy(F.desc("actual_start"))
 
     def ordinary(rows: DataFrame) -> DataFrame:
         return rows.withColumn("_rank", F.row_number().over(newest).cast("bigint"))
 
-    if most <= SMALL_RETENTION:
-        return ordinary(starts).where(F.col("_rank") <= most)
+    if most <= _rank_limit(starts.sparkSession):
+        # The limit is pushed down if the rank is compared as it comes.
+        ranked = starts.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= most)
+        return ranked.withColumn("_rank", F.col("_rank").cast("bigint"))
     aged = starts.withColumn("_age", -times.wall_micros(F.col("actual_start")))
     one = F.lit(1).cast("bigint")
     ranked = per_group(
@@ -116,6 +115,11 @@ def _rank_starts(starts: DataFrame, keys: list[str], most: int, heavy_rows: int)
     return ranked.where(F.col("_rank") <= most).drop("_age")
 
 
+def _rank_limit(spark: SparkSession) -> int:
+    """Up to this rank a filter on ranks is applied before the shuffle."""
+    return max(0, int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")))
+
+
 def retention_cuts(
     finished: DataFrame, pipelines: DataFrame, heavy_rows: int = HEAVY_GROUP_ROWS
 ) -> DataFrame:
@@ -129,8 +133,18 @@ def retention_cuts(
         "pipeline_id", is_failed().alias("failed"), "actual_start"
     ).distinct()
     largest = settings.agg(F.max("retention")).first()[0] or 0
-    ranked = _rank_starts(starts, ["pipeline_id", "failed"], largest, heavy_rows)
-    if largest > SMALL_RETENTION:
+    limit = _rank_limit(finished.sparkSession)
+    if largest <= limit:
+        ranked = _rank_starts(starts, ["pipeline_id", "failed"], largest, heavy_rows)
+    else:
+        # A pipeline's own retention decides how its starts are ranked.
+        few, many = settings.where(F.col("retention") <= limit), settings.where(
+            F.col("retention") > limit
+        )
+        own = [starts.join(x, "pipeline_id", "left_semi") for x in (few, many)]
+        ranked = _rank_starts(own[0], ["pipeline_id", "failed"], limit, heavy_rows).unionByName(
+            _rank_starts(own[1], ["pipeline_id", "failed"], largest, heavy_rows)
+        )
         # spread over tasks by rank as well, only the ranks that equal a retention go on
         wanted = settings.select("pipeline_id", F.col("retention").cast("bigint").alias("_rank"))
         ranked = ranked.join(wanted, ["pipeline_id", "_rank"], "left_semi")

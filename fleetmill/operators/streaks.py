@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetmill.functions import times
 from fleetmill.operators.ordered import HEAVY_GROUP_ROWS, per_group, running
 from fleetmill.session import lookup
 
@@ -87,7 +88,7 @@ def event_of(failure_number: Column, max_failures: int) -> Column:
 
 def final_counters(streaks: DataFrame, counters: DataFrame) -> DataFrame:
     """The counter table after the replay: cleared ones are gone, untouched ones stay."""
-    last = F.struct("attempt_time", "attempt_id")
+    last = times.packed_order(F.col("attempt_time"), F.col("attempt_id"))
     ended = streaks.groupBy("pipeline_id").agg(
         F.max_by("counter", last).alias("failure_count"),
         F.max_by(F.col("attempt_time"), last).alias("updated_at"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetmill.functions import times
 from fleetmill.operators import datums as points
 from fleetmill.operators import metrics
 from fleetmill.operators.datums import UNIT_SECONDS, ReportSettings
@@ -32,7 +33,7 @@ def metric_figures(
     key = metrics.METRIC
     base = materialize(
         known.groupBy(*key).agg(
-            F.max_by("value", F.struct("ts", "event_id")).alias("gauge"),
+            F.max_by("value", times.packed_order(F.col("ts"), F.col("event_id"))).alias("gauge"),
             F.count(F.lit(1)).alias("count"),
             *metrics.statistic_aggregates(factor),
             *metrics.moment_aggregates(factor),
