@@ -1579,8 +1579,7 @@ def _(t: Inputs) -> DataFrame:
     return resolved(t).drop("schedule", "frequency")
 
 
-# Existence is followed request by request here; a pipeline asked for by name and by class
-# belongs to the object with the earlier first request.
+# Existence is looked up request by request here: a name goes with the first update of its class.
 OUTCOMES = f"""
     requests AS (
         SELECT *, CASE WHEN do_update THEN 'update' WHEN update_jar_only THEN 'jar_only'
@@ -1590,27 +1589,28 @@ OUTCOMES = f"""
                     THEN 'owner_invalid'
                     WHEN next_run_time IS NULL THEN 'no_schedule' END AS refused
         FROM ({RESOLVED}) AS resolved),
-    firsts AS (SELECT pipeline_object, min(request_id) AS first FROM requests
-               GROUP BY pipeline_object),
-    lost AS (
-        SELECT DISTINCT CASE WHEN n.first > c.first THEN p.name ELSE p.class_name END AS obj
-        FROM {{fx_pipelines}} p JOIN firsts n ON n.pipeline_object = p.name
-        JOIN firsts c ON c.pipeline_object = p.class_name),
+    renames AS (
+        SELECT pipeline_object AS obj, min(request_id) AS at FROM requests
+        WHERE kind = 'update' AND refused IS NULL AND owner IS NOT NULL AND NOT dry_run
+        GROUP BY pipeline_object),
+    named AS (
+        SELECT p.*, CASE WHEN p.name <> p.class_name THEN u.at END AS renamed_at
+        FROM {{fx_pipelines}} p LEFT JOIN renames u ON u.obj = p.class_name),
     matched AS (
-        SELECT r.*, (SELECT count(*) FROM {{fx_pipelines}} p WHERE p.name = r.pipeline_object) > 0
-                    OR (SELECT count(*) FROM {{fx_pipelines}} p
-                        WHERE p.class_name = r.pipeline_object) > 0 AS known
+        SELECT r.*, EXISTS (SELECT 1 FROM named p WHERE p.class_name = r.pipeline_object)
+                    OR EXISTS (SELECT 1 FROM named p WHERE p.name = r.pipeline_object
+                               AND r.request_id < COALESCE(p.renamed_at, r.request_id + 1))
+                    AS known
         FROM requests r),
     followed AS (
         SELECT *, known OR COALESCE(bool_or(kind = 'insert' AND refused IS NULL
-                          AND owner IS NOT NULL AND NOT dry_run) OVER (
+                          AND owner IS NOT NULL AND NOT dry_run AND NOT known) OVER (
                               PARTITION BY pipeline_object ORDER BY request_id
                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS there
         FROM matched),
     outcomes AS (
         SELECT * EXCLUDE (known, there, refused),
                CASE WHEN refused IS NOT NULL THEN refused
-                    WHEN pipeline_object IN (SELECT obj FROM lost) THEN 'conflict'
                     WHEN kind = 'update' AND owner IS NULL THEN 'owner_required_update'
                     WHEN kind <> 'insert' AND NOT there THEN 'missing'
                     WHEN kind = 'insert' AND there THEN 'exists'
@@ -1640,42 +1640,44 @@ def last_sql(value: str, outcomes: str) -> str:
 
 
 WHOLE = "'updated', 'inserted'"
+LAST_WRITES = f"""
+    count(*) FILTER (outcome IN ({WHOLE})) > 0 AS whole,
+    {last_sql("period", WHOLE)} AS w_period, {last_sql("next_run_time", WHOLE)} AS w_next,
+    {last_sql("owner", WHOLE)} AS w_owner, {last_sql("NOT no_backfill", WHOLE)} AS w_backfill,
+    {last_sql("jar", WHOLE + ", 'jar_updated'")} AS w_jar,
+    {last_sql("NOT disable_flag", WHOLE + ", 'enabled', 'disabled'")} AS active"""
 
 
 @check(
     "c7_submission_next_state",
     f"""WITH {OUTCOMES},
-        writes AS (
+        live AS (
+            SELECT * FROM outcomes WHERE NOT dry_run AND outcome IN (
+                'updated', 'jar_updated', 'enabled', 'disabled', 'inserted')),
+        hits AS (
+            SELECT p.id, o.* FROM named p
+            JOIN live o ON o.pipeline_object = p.class_name
+            UNION ALL
+            SELECT p.id, o.* FROM named p JOIN live o ON o.pipeline_object = p.name
+            WHERE p.name <> p.class_name AND (p.renamed_at IS NULL OR o.request_id < p.renamed_at)),
+        changed AS (SELECT id, {LAST_WRITES} FROM hits GROUP BY id),
+        made AS (
             SELECT pipeline_object AS obj, max(request_id) FILTER (outcome = 'inserted') AS ins,
-                   {last_sql("start_time", "'inserted'")} AS start_time,
-                   count(*) FILTER (outcome IN ({WHOLE})) > 0 AS whole,
-                   {last_sql("period", WHOLE)} AS period,
-                   {last_sql("next_run_time", WHOLE)} AS next_run_time,
-                   {last_sql("owner", WHOLE)} AS owner,
-                   {last_sql("NOT no_backfill", WHOLE)} AS backfill,
-                   {last_sql("jar", WHOLE + ", 'jar_updated'")} AS jar,
-                   {last_sql("NOT disable_flag", WHOLE + ", 'enabled', 'disabled'")} AS active
-            FROM outcomes WHERE NOT dry_run AND outcome IN (
-                'updated', 'jar_updated', 'enabled', 'disabled', 'inserted')
-            GROUP BY pipeline_object),
-        both_ways AS (
-            SELECT p.*, w.obj, w.whole, w.period AS w_period, w.next_run_time AS w_next,
-                   w.owner AS w_owner, w.backfill AS w_backfill, w.jar AS w_jar, w.active
-            FROM {{fx_pipelines}} p
-            LEFT JOIN writes w ON w.obj = p.name OR w.obj = p.class_name)
-        SELECT id, CASE WHEN whole THEN obj ELSE name END AS name, COALESCE(w_jar, jar) AS jar,
-               class_name, COALESCE(active, is_active) AS is_active,
+                   {last_sql("start_time", "'inserted'")} AS start_time, {LAST_WRITES}
+            FROM live GROUP BY pipeline_object)
+        SELECT id, CASE WHEN renamed_at IS NOT NULL THEN class_name ELSE name END AS name,
+               COALESCE(w_jar, jar) AS jar, class_name, COALESCE(active, is_active) AS is_active,
                CASE WHEN whole THEN 2 ELSE retention END AS retention, start_time,
                CASE WHEN whole THEN w_period ELSE period END AS period,
                CASE WHEN whole THEN NULL ELSE end_time END AS end_time,
                CASE WHEN whole THEN w_next ELSE next_run_time END AS next_run_time,
                CASE WHEN whole THEN w_backfill ELSE backfill END AS backfill,
                CASE WHEN whole THEN w_owner ELSE owner END AS owner
-        FROM both_ways
+        FROM named LEFT JOIN changed USING (id)
         UNION ALL
-        SELECT (SELECT max(id) FROM {{fx_pipelines}}) + row_number() OVER (ORDER BY ins), obj, jar,
-               obj, active, 2, start_time, period, NULL, next_run_time, backfill, owner
-        FROM writes WHERE ins IS NOT NULL""",
+        SELECT (SELECT max(id) FROM {{fx_pipelines}}) + row_number() OVER (ORDER BY ins), obj,
+               w_jar, obj, active, 2, start_time, w_period, NULL, w_next, w_backfill, w_owner
+        FROM made WHERE ins IS NOT NULL""",
 )
 def c7_submission_next_state(t: Inputs) -> DataFrame:
     return submitted(t).pipelines

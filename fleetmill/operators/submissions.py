@@ -25,7 +25,6 @@ REFUSALS: dict[str, tuple[int, str]] = {
     "owner_required_update": (1, "Owner required for updates"),
     "owner_required_insert": (1, "Owner required for new pipelines"),
     "no_schedule": (1, "Neither the request nor the definition gives a usable schedule"),
-    "conflict": (1, "Another request of the batch is for the same pipeline under its other name"),
 }
 
 

@@ -3,6 +3,8 @@
 import random
 from datetime import datetime
 
+import pytest
+
 from fleetmill.functions import times
 from fleetmill.operators import submissions as ops
 from fleetmill.plans.submissions import apply_submissions
@@ -42,7 +44,7 @@ def pipeline(i, name, cls=None, **given):
     return base | given
 
 
-def run(spark, requests, pipelines):
+def run(spark, requests, pipelines, *limits):
     submitted = spark.createDataFrame([tuple(r[n] for n in NAMES) for r in requests], REQUESTS)
     fields = [c.split()[0] for c in PIPELINES.split(", ")]
     table = spark.createDataFrame([tuple(p[f] for f in fields) for p in pipelines], PIPELINES)
@@ -50,9 +52,9 @@ def run(spark, requests, pipelines):
         [], "pipeline_object string, start_time timestamp_ntz, period string"
     )
     resolved = ops.resolve_schedules(submitted, none, times.as_timestamp(NOW))
-    done = apply_submissions(resolved, table)
+    done = apply_submissions(resolved, table, *limits)
     outcomes = {r.request_id: r.outcome for r in done.outcomes.collect()}
-    after = {r.id: r.asDict() for r in done.pipelines.collect()}
+    after = {r.id: r.asDict() for r in sorted(done.pipelines.collect())}
     return outcomes, after, done
 
 
@@ -141,21 +143,57 @@ def test_random_batches_equal_one_by_one(spark):
     assert after == expected
 
 
-def test_other_name_of_a_requested_pipeline_is_a_conflict(spark):
-    pipelines = [pipeline(1, "n", "c"), pipeline(2, "other")]
+def random_requests(rng, objects, n):
+    requests = []
+    for i in range(1, n):
+        kind = rng.choice(["do_update", "update_jar_only", "enable_flag", "disable_flag", None])
+        given = {kind: True} if kind else {}
+        if kind == "do_update" and rng.random() < 0.7:
+            given = {"update_jar_only": True}  # renames come late, so that both ways are taken
+        given["owner"] = rng.choice(["o@example.com", "p@example.com", None, "nobody"])
+        given["dry_run"] = rng.random() < 0.2
+        requests.append(request(i, rng.choice(objects), **given))
+    return requests
+
+
+@pytest.mark.parametrize("seed, heavy_rows", [(1, 10**6), (2, 10**6), (3, 5), (4, 1)])
+def test_names_and_classes_in_one_batch_equal_one_by_one(spark, seed, heavy_rows):
+    """Shared classes and names, names that are other pipelines' classes, inserts after renames.
+
+    With a small row limit the requests for a name are cut into slices.
+    """
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(12)]
+    pipelines = [pipeline(i, rng.choice(words), rng.choice(words)) for i in range(1, 16)]
+    requests = random_requests(rng, words + ["x1", "x2", "x3"], 160)
+    requests += [request(200 + i, words[0], update_jar_only=True) for i in range(80)]
+    expected_outcomes, expected = one_by_one(requests, pipelines)
+    outcomes, after, _ = run(spark, requests, pipelines, heavy_rows)
+    assert outcomes == expected_outcomes
+    assert after == expected
+
+
+def test_name_and_class_are_both_served(spark):
+    pipelines = [pipeline(1, "n", "c"), pipeline(2, "z", "c"), pipeline(3, "other")]
     requests = [
-        request(1, "c", do_update=True),
-        request(2, "n", update_jar_only=True),
-        request(3, "other", disable_flag=True),
+        request(1, "n", update_jar_only=True),
+        request(2, "c", do_update=True, dry_run=True),
+        request(3, "c", update_jar_only=True),
+        request(4, "z", disable_flag=True),
+        request(5, "c", do_update=True),
+        request(6, "n", update_jar_only=True),
+        request(7, "n"),
+        request(8, "n", disable_flag=True),
+    ]
+    outcomes, after, _ = run(spark, requests, pipelines)
+    assert outcomes == {
+        1: "jar_updated", 2: "updated", 3: "jar_updated", 4: "disabled", 5: "updated",
+        6: "missing", 7: "inserted", 8: "disabled",
+    }
+    assert [(after[i]["name"], after[i]["jar"]) for i in after] == [
+        ("c", "v5.jar"), ("c", "v5.jar"), ("other", "old.jar"), ("n", "v7.jar")
     ]
-    outcomes, after, done = run(spark, requests, pipelines)
-    assert outcomes == {1: "updated", 2: "conflict", 3: "disabled"}
-    assert (after[1]["name"], after[1]["class_name"], after[1]["jar"]) == ("c", "c", "v1.jar")
-    assert after[1]["end_time"] is None and after[1]["retention"] == 2
-    assert after[1]["start_time"] == datetime(2000, 1, 1)
-    assert not after[2]["is_active"] and after[2]["jar"] == "old.jar"
-    errors = ops.submission_errors(done.outcomes).collect()
-    assert [(e.request_id, e.exit_code) for e in errors] == [(2, 1)]
+    assert [after[i]["is_active"] for i in after] == [True, True, True, False]
 
 
 def test_insert_then_change_in_one_batch(spark):
