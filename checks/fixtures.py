@@ -81,6 +81,11 @@ VIEWS = {
         SELECT event_id AS attempt_id, user_id AS pipeline_id, ts AS attempt_time,
                event_type <> 'error' AS ok, props AS log
         FROM {events}""",
+    "fx_dispatch": """
+        SELECT attempt_id,
+               CASE WHEN attempt_id % 97 = 0 THEN -pipeline_id ELSE pipeline_id END AS pipeline_id,
+               CASE WHEN attempt_id % 89 <> 0 THEN ok AND attempt_id % 5 <> 0 END AS ok, log
+        FROM {fx_attempts}""",
     "fx_new_runs": """
         SELECT concat('df-new-', o_orderkey) AS aws_id, o_custkey AS pipeline_id,
                concat('sp_new_', o_custkey) AS pipeline_name, o_orderdate AS scheduled_start,

@@ -1381,18 +1381,32 @@ def _(t: Inputs) -> DataFrame:
     return tick(t, None).metrics
 
 
+# A success starts a new run of failures; the counter is what the last attempt leaves.
 TAKEN = """
-    taken AS (SELECT pipeline_id, min(attempt_id) AS first, arg_min(ok, attempt_id) AS ok,
-                     arg_min(log, attempt_id) AS log
-              FROM {fx_attempts} GROUP BY pipeline_id),
-    state AS (SELECT p.*, a.ok, a.log, COALESCE(c.failure_count, 0) AS n
-              FROM {fx_pipelines} p LEFT JOIN taken a ON a.pipeline_id = p.id
-              LEFT JOIN {fx_counters} c ON c.pipeline_id = p.id)"""
+    known AS (
+        SELECT a.attempt_id, a.pipeline_id, COALESCE(a.ok, FALSE) AS ok, a.log,
+               COALESCE(c.failure_count, 0) AS n
+        FROM {fx_dispatch} a JOIN {fx_pipelines} p ON p.id = a.pipeline_id
+        LEFT JOIN {fx_counters} c ON c.pipeline_id = a.pipeline_id),
+    in_streaks AS (
+        SELECT *, count(*) FILTER (ok) OVER (PARTITION BY pipeline_id ORDER BY attempt_id)
+                      AS streak
+        FROM known),
+    placed AS (
+        SELECT *, count(*) FILTER (NOT ok)
+                      OVER (PARTITION BY pipeline_id, streak ORDER BY attempt_id)
+                  + CASE WHEN streak = 0 THEN n ELSE 0 END AS f
+        FROM in_streaks),
+    ended AS (
+        SELECT pipeline_id, bool_or(ok) AS ok, bool_or(NOT ok AND f > 3) AS gone,
+               bool_or(ok OR f <= 3) AS counted,
+               arg_max(CASE WHEN ok THEN 0 ELSE least(f, 3) END, attempt_id) AS left_over
+        FROM placed GROUP BY pipeline_id)"""
 
 
 def dispatched(t: Inputs) -> ticks.DispatchResult:
     return ticks.apply_dispatch_results(
-        t.catalog(), t["fx_attempts"], t["fx_new_runs"], ts(TICK_END), ts(TICK_END)
+        t.catalog(), t["fx_dispatch"], t["fx_new_runs"], ts(TICK_END), ts(TICK_END)
     )
 
 
@@ -1401,8 +1415,8 @@ def dispatched(t: Inputs) -> ticks.DispatchResult:
     f"""WITH {TAKEN}
         SELECT id, name, CASE WHEN ok THEN {forward("next_run_time", f"TIMESTAMP '{TICK_END}'")}
                               ELSE next_run_time END AS next_run_time,
-               CASE WHEN NOT ok AND n >= 3 THEN FALSE ELSE is_active END AS is_active
-        FROM state""",
+               is_active AND NOT COALESCE(gone, FALSE) AS is_active
+        FROM {{fx_pipelines}} p LEFT JOIN ended ON ended.pipeline_id = p.id""",
 )
 def _(t: Inputs) -> DataFrame:
     return dispatched(t).catalog["pipelines"].select("id", "name", "next_run_time", "is_active")
@@ -1412,9 +1426,9 @@ def _(t: Inputs) -> DataFrame:
     "c2_dispatch_counters",
     f"""WITH {TAKEN}
         SELECT pipeline_id, failure_count, updated_at FROM {{fx_counters}}
-        WHERE pipeline_id NOT IN (SELECT id FROM state WHERE ok OR (NOT ok AND n < 3))
-        UNION ALL SELECT id, CAST(n + 1 AS INT), TIMESTAMP '{TICK_END}' FROM state
-        WHERE NOT ok AND n < 3""",
+        WHERE pipeline_id NOT IN (SELECT pipeline_id FROM ended WHERE counted)
+        UNION ALL SELECT pipeline_id, CAST(left_over AS INT), TIMESTAMP '{TICK_END}' FROM ended
+        WHERE counted AND left_over > 0""",
 )
 def _(t: Inputs) -> DataFrame:
     return dispatched(t).catalog["schedule_failure_counters"]
@@ -1424,7 +1438,7 @@ def _(t: Inputs) -> DataFrame:
     "c2_dispatch_runs",
     f"""WITH {TAKEN}
         SELECT * FROM {{fx_runs}} UNION ALL SELECT * FROM {{fx_new_runs}}
-        WHERE pipeline_id IN (SELECT pipeline_id FROM taken WHERE ok)""",
+        WHERE pipeline_id IN (SELECT pipeline_id FROM ended WHERE ok)""",
 )
 def _(t: Inputs) -> DataFrame:
     return dispatched(t).catalog["scheduled_pipelines"]
@@ -1433,10 +1447,10 @@ def _(t: Inputs) -> DataFrame:
 @check(
     "c2_dispatch_events",
     f"""WITH {TAKEN}
-        SELECT id AS pipeline_id, CASE WHEN n >= 3 THEN 'deactivated' ELSE 'failed_to_schedule' END
+        SELECT pipeline_id, CASE WHEN f > 3 THEN 'deactivated' ELSE 'failed_to_schedule' END
                    AS event,
-               CAST(n + 1 AS INT) AS failure_number, log
-        FROM state WHERE NOT ok""",
+               CAST(least(f, 4) AS INT) AS failure_number, log
+        FROM placed WHERE NOT ok""",
 )
 def _(t: Inputs) -> DataFrame:
     return dispatched(t).events
@@ -1444,9 +1458,8 @@ def _(t: Inputs) -> DataFrame:
 
 @check(
     "c2_dispatch_rejected",
-    f"""WITH {TAKEN}
-        SELECT a.* FROM {{fx_attempts}} a JOIN taken ON taken.pipeline_id = a.pipeline_id
-        WHERE a.attempt_id > taken.first""",
+    """SELECT * FROM {fx_dispatch}
+       WHERE pipeline_id NOT IN (SELECT id FROM {fx_pipelines})""",
 )
 def _(t: Inputs) -> DataFrame:
     return dispatched(t).rejected

@@ -50,7 +50,7 @@ def schedule_tick(
 
 @dataclass(frozen=True)
 class DispatchResult:
-    """The catalog after a tick, what is to be told, and attempts not taken into account."""
+    """The catalog after a tick, what is to be told, and attempts without a pipeline."""
 
     catalog: Catalog
     events: DataFrame
@@ -67,52 +67,61 @@ def apply_dispatch_results(
 ) -> DispatchResult:
     """Success moves the next run on and clears the counter; failure counts up or deactivates.
 
-    One attempt per pipeline counts, the one with the lowest id. The others, and attempts without
-    a pipeline, are returned as rejected. The next run is moved past the tick's end even if the
-    pipeline ends earlier. After a failure it stays, so the next tick owes a longer backfill. The
-    counter row stays when a pipeline is deactivated: once re-activated, its next failure
-    deactivates it again.
+    ``attempts(pipeline_id, attempt_id, ok, log)`` are all applied, in ``attempt_id`` order, as W4
+    replays them. Only attempts without a pipeline are returned as rejected. The next run is moved
+    past the tick's end if any attempt succeeded, even if the pipeline ends earlier; otherwise it
+    stays, so the next tick owes a longer backfill. A pipeline that is deactivated on the way stays
+    so. Its counter row stays at the maximum: once re-activated, its next failure deactivates it
+    again. A row that no attempt changed keeps its time.
 
-    The attempted pipelines are joined once with their table and counters and written out; every
-    result is made of that small table.
+    The attempted pipelines are joined once with the pipeline table and written out; every result
+    is made of that table and of the replayed attempts.
     """
     pipelines, counters = catalog["pipelines"], catalog["schedule_failure_counters"]
-    taken = attempts.groupBy("pipeline_id").agg(
-        F.min("attempt_id").alias("_taken"),
-        F.min_by(F.struct("ok", "log"), "attempt_id").alias("_attempt"),
-    )
-    known = pipelines.select(F.col("id").alias("pipeline_id"), "next_run_time", "period")
-    counted = counters.select("pipeline_id", F.col("failure_count").alias("_n"))
-    attempted = (
-        taken.join(known, "pipeline_id")
-        .join(counted, "pipeline_id", "left")
-        .select(
+    tried = lookup(
+        attempts.select("pipeline_id")
+        .distinct()
+        .join(
+            pipelines.select(F.col("id").alias("pipeline_id"), "next_run_time", "period"),
             "pipeline_id",
-            "_taken",
-            F.coalesce("_attempt.ok", F.lit(False)).alias("_ok"),
-            F.col("_attempt.log").alias("log"),
-            F.coalesce("_n", F.lit(0)).alias("_n"),
-            "next_run_time",
-            times.period_months(F.col("period")).alias("period_months"),
-            times.period_micros(F.col("period")).alias("period_micros"),
         )
     )
+    keys = tried.select("pipeline_id")
+    rejected = attempts.join(keys, "pipeline_id", "left_anti").select(*attempts.columns)
+    known = materialize(
+        attempts.join(keys, "pipeline_id", "left_semi").select(
+            "pipeline_id", "attempt_id", "ok", "log", now.alias("attempt_time")
+        )
+    )
+    replayed = materialize(streaks.failure_streaks(known, counters, max_failures))
+
+    ended = replayed.groupBy("pipeline_id").agg(
+        F.max("ok").alias("_ok"),
+        F.max(F.col("event") == streaks.DEACTIVATED).alias("_gives_up"),
+        F.min(F.coalesce("failure_number", F.lit(0))).alias("_least"),
+        F.max_by("counter", "attempt_id").alias("failure_count"),
+    )
+    parsed = ended.join(tried, "pipeline_id").withColumns(
+        {
+            "period_months": times.period_months(F.col("period")),
+            "period_micros": times.period_micros(F.col("period")),
+        }
+    )
     period = (F.col("period_months"), F.col("period_micros"))
     steps = F.when(
         F.col("_ok"), times.steps_until(F.col("next_run_time"), tick_end, *period)
     ).otherwise(0)
-    attempted = materialize(
-        times.with_steps(attempted, "next_run_time", steps, "_next")
-        .withColumn("_gives_up", ~F.col("_ok") & (F.col("_n") >= max_failures))
-        .select("pipeline_id", "_taken", "_ok", "log", "_n", "_next", "_gives_up")
+    attempted = lookup(
+        times.with_steps(parsed, "next_run_time", steps, "_next").select(
+            "pipeline_id",
+            "_ok",
+            "_next",
+            "_gives_up",
+            (F.col("_least") <= max_failures).alias("_counted"),
+            "failure_count",
+        )
     )
 
-    first = attempted.select("pipeline_id", "_taken")
-    rejected = (
-        attempts.join(first, "pipeline_id", "left")
-        .where(F.col("_taken").isNull() | (F.col("attempt_id") > F.col("_taken")))
-        .select(*attempts.columns)
-    )
     result = attempted.select(F.col("pipeline_id").alias("id"), "_ok", "_next", "_gives_up")
     changed = {
         "next_run_time": F.when(F.col("_ok"), F.col("_next")).otherwise(F.col("next_run_time")),
@@ -121,22 +130,16 @@ def apply_dispatch_results(
     next_pipelines = pipelines.join(result, "id", "left").select(
         *[changed.get(c, F.col(c)).alias(c) for c in pipelines.columns]
     )
-    failed = attempted.where(~F.col("_ok"))
-    events = failed.select(
-        "pipeline_id",
-        F.when(F.col("_gives_up"), streaks.DEACTIVATED).otherwise(streaks.FAILED).alias("event"),
-        (F.col("_n") + 1).alias("failure_number"),
-        "log",
-    )
-    replaced = attempted.where(~F.col("_gives_up")).select("pipeline_id")
-    counted_up = failed.where(~F.col("_gives_up")).select(
-        "pipeline_id",
-        (F.col("_n") + 1).cast("int").alias("failure_count"),
-        now.alias("updated_at"),
+    events = replayed.where(~F.col("ok")).select(
+        "pipeline_id", "event", F.col("failure_number").cast("int"), "log"
     )
-    next_counters = counters.join(replaced, "pipeline_id", "left_anti").unionByName(
-        counted_up.select(*counters.columns)
+    replaced = attempted.where("_counted")
+    counted_up = replaced.where("failure_count > 0").select(
+        "pipeline_id", "failure_count", now.alias("updated_at")
     )
+    next_counters = counters.join(
+        replaced.select("pipeline_id"), "pipeline_id", "left_anti"
+    ).unionByName(counted_up.select(*counters.columns))
     launched = attempted.where("_ok").select("pipeline_id")
     runs = append_rows(
         catalog["scheduled_pipelines"], new_runs.join(launched, "pipeline_id", "left_semi")

@@ -1,5 +1,6 @@
 """Scheduling, dispatch, clean-up and the whole cycle on small hand-made tables."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -93,7 +94,8 @@ def test_dispatch_results(spark):
     )
     attempts = spark.createDataFrame(
         [(1, 1, True, ""), (2, 2, False, "x"), (3, 3, False, "y"), (4, 4, True, ""),
-         (5, 5, True, ""), (1, 9, False, "late"), (99, 10, True, "")],
+         (5, 5, True, ""), (1, 9, False, "late"), (99, 10, True, ""),
+         (None, 11, False, "")],
         ATTEMPTS,
     )
     new_runs = spark.createDataFrame(
@@ -108,11 +110,56 @@ def test_dispatch_results(spark):
     assert [i for i in after if not after[i].is_active] == [3]
     left = {r.pipeline_id: r.failure_count for r in
             done.catalog["schedule_failure_counters"].collect()}
-    assert left == {2: 3, 3: 3, 6: 3}
+    assert left == {1: 1, 2: 3, 3: 3, 6: 3}
     assert [r.aws_id for r in done.catalog["scheduled_pipelines"].collect()] == ["df-1"]
     events = {r.pipeline_id: (r.event, r.failure_number) for r in done.events.collect()}
-    assert events == {2: ("failed_to_schedule", 3), 3: ("deactivated", 4)}
-    assert {r.attempt_id for r in done.rejected.collect()} == {9, 10}
+    assert events == {
+        1: ("failed_to_schedule", 1), 2: ("failed_to_schedule", 3), 3: ("deactivated", 4),
+    }
+    assert {r.attempt_id for r in done.rejected.collect()} == {10, 11}
+
+
+def test_dispatch_equals_attempts_one_by_one(spark):
+    """Many attempts a pipeline, two thirds of them failures, some without a result."""
+    rng = random.Random(11)
+    before = T - timedelta(days=9)
+    recorded = {i: rng.randint(1, 4) for i in range(1, 20, 2)}
+    catalog = catalog_of(
+        spark,
+        [pipeline(i) for i in range(1, 21)],
+        counters=[(i, n, before) for i, n in recorded.items()],
+    )
+    rows = [(rng.choice([1, rng.randint(1, 24)]), a, rng.choice([True, False, None]), f"log {a}")
+            for a in range(90)]
+    counters = {i: (n, before) for i, n in recorded.items()}
+    inactive, moved, told = set(), set(), []
+    for i, a, ok, log in rows:
+        if i > 20:
+            continue
+        if ok:
+            counters.pop(i, None)
+            moved.add(i)
+            continue
+        n = counters[i][0] if i in counters else 0
+        told.append((i, "failed_to_schedule" if n < 3 else "deactivated", min(n + 1, 4), log))
+        if n < 3:
+            counters[i] = (n + 1, T)
+        else:
+            inactive.add(i)
+    attempts = spark.createDataFrame(rows, ATTEMPTS).repartition(5)
+    new_runs = spark.createDataFrame(
+        [run(f"df-{i}", i, T) for i in range(1, 25)], catalog["scheduled_pipelines"].schema
+    )
+    done = apply_dispatch_results(catalog, attempts, new_runs, ts(T), ts(T))
+    after = done.catalog["pipelines"].collect()
+    assert {r.id for r in after if not r.is_active} == inactive
+    assert {r.id for r in after if r.next_run_time == T} == moved
+    left = done.catalog["schedule_failure_counters"].collect()
+    assert {r.pipeline_id: (r.failure_count, r.updated_at) for r in left} == counters
+    assert sorted(map(tuple, done.events.collect())) == sorted(told)
+    kept = done.catalog["scheduled_pipelines"].collect()
+    assert {r.pipeline_id for r in kept} == moved
+    assert {r.attempt_id for r in done.rejected.collect()} == {a for i, a, _, _ in rows if i > 20}
 
 
 def test_cleanup_quarantines_what_it_cannot_judge(spark):
