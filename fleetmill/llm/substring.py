@@ -33,9 +33,11 @@ from fleetmill.llm.fm_index import DEPTH, earliest_places
 WINDOW, GRAM = DEPTH, 8
 #: Words of the segments in a shard, about.
 SHARD_WORDS = 600_000
-#: Segments of an anchor from which on its windows are dealt out singly: at least so many, and more
-#: than this share of all, so that there are at most that many such anchors.
-HEAVY_SEGMENTS, MOST_HEAVY = 256, 1_000
+#: An anchor's windows are dealt out singly if it has more than this share of all segments, and more
+#: than the first, at most the second number: so an anchor in one task is bounded at every size.
+HEAVY_SHARE, HEAVY_SEGMENTS, MOST_SEGMENTS = 1_000, 256, 4_096
+#: Heavy anchors that are broadcast to split the segments; more are joined by a shuffle.
+TOLD_ANCHORS = 100_000
 
 #: What a null document id is ordered as: after all others.
 _LAST = (1 << 63) - 1
@@ -194,27 +196,35 @@ def _segments(least: dict[bytes, tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["anchor", "d", "first", "words"])
 
 
-def single_windows(found: DataFrame, heavy: frozenset[int]) -> DataFrame:
-    """The segments of heavy anchors cut into windows, dealt out by a hash of their words."""
+def single_windows(found: DataFrame) -> DataFrame:
+    """Segments cut into windows, each with a hash of its words in place of its anchor."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             least: dict[bytes, tuple] = {}
-            for anchor, d, first, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for d, first, text in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 words = text.split(b" ")
-                parts = range(len(words) - WINDOW + 1) if anchor in heavy else (None,)
-                for k in parts:
-                    part = text if k is None else b" ".join(words[k : k + WINDOW])
-                    if k is not None:
+                for k in range(len(words) - WINDOW + 1):
+                    part = b" ".join(words[k : k + WINDOW])
+                    if part not in least or least[part][1:] > (d, first + k):
                         route = xxhash.xxh64_intdigest(part) - (1 << 63)
-                        own = route, d, first + k
-                    else:
-                        own = anchor, d, first
-                    if part not in least or least[part][1:] > own[1:]:
-                        least[part] = own
+                        least[part] = route, d, first + k
             yield _segments(least)
 
-    return found.mapInArrow(cut, _SEGMENTS) if heavy else found
+    return found.mapInArrow(cut, _SEGMENTS)
+
+
+def without_heavy(found: DataFrame, total: int) -> DataFrame:
+    """``found``, a written table of ``total`` segments, those of heavy anchors as single windows."""
+    bound = min(MOST_SEGMENTS, max(HEAVY_SEGMENTS, total // HEAVY_SHARE))
+    many = found.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > bound)
+    heavy = written(many.select("anchor"), "heavy")
+    number = heavy.count()
+    if not number:
+        return found
+    told = F.broadcast(heavy) if number <= TOLD_ANCHORS else heavy
+    light = found.join(told, "anchor", "left_anti")
+    return light.unionByName(single_windows(found.join(told, "anchor", "left_semi")))
 
 
 def first_windows(dealt: DataFrame) -> DataFrame:
@@ -283,13 +293,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     grouped = places.groupBy("d").agg(F.collect_list("at").alias("places"))
     found = written(segments(_packed(own.select("d", "text")).join(grouped, "d")), "segments")
     total = found.count()
-    many = found.groupBy("anchor").agg(F.count("*").alias("n"))
-    many = many.where(F.col("n") > max(HEAVY_SEGMENTS, total // MOST_HEAVY))
-    heavy = frozenset(r["anchor"] for r in many.select("anchor").collect())  # at most MOST_HEAVY
     # A segment has about 27 words.
     spark = docs.sparkSession
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * 27 // SHARD_WORDS + 1)
-    dealt = single_windows(found, heavy).repartition(shards, "anchor")
+    dealt = without_heavy(found, total).repartition(shards, "anchor")
     firsts = written(first_windows(dealt), "first_windows")
     drop_written(found)
     told = places.select("d", F.col("at").alias("begin"), F.lit(-1).alias("end")).union(firsts)

@@ -202,9 +202,10 @@ def plain_removal(rows):
     return out
 
 
-@pytest.mark.parametrize("heavy", [256, 2])
-def test_removed_words_equal_all_windows(spark, monkeypatch, heavy):
+@pytest.mark.parametrize(("heavy", "told"), [(256, 100), (2, 100), (2, 0)])
+def test_removed_words_equal_all_windows(spark, monkeypatch, heavy, told):
     monkeypatch.setattr(substring, "HEAVY_SEGMENTS", heavy)
+    monkeypatch.setattr(substring, "TOLD_ANCHORS", told)
     rng = random.Random(2)
     base = [rng.choice("abcd") for _ in range(400)]
     rows = []
