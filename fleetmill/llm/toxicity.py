@@ -151,6 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").join(
         F.broadcast(chosen), "doc_id"
     )
+    # Rows that repeat an id are one: the sample is bounded however often an id comes.
+    sample = sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
     sample = written(sample.select("toxic", "text"), "labelled")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_on, n_off = sizes.get(1, 0), sum(n for y, n in sizes.items() if y != 1)
