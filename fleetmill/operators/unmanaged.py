@@ -68,11 +68,19 @@ def runs_in_ids(runs: DataFrame, ids: DataFrame) -> DataFrame:
     return runs.where("in_console").join(ids.select("aws_id"), "aws_id", "left_semi")
 
 
+def state_of() -> Column:
+    return F.coalesce("pipeline_state", F.lit(UNKNOWN)).alias("state")
+
+
+def date_of() -> Column:
+    date = F.substring_index("creation_time", "T", 1)
+    return F.coalesce(date, F.lit(UNKNOWN)).alias("created_on")
+
+
 def count_by_state(status: DataFrame) -> DataFrame:
     """A3: entries per state, most frequent first, ties by state."""
-    state = F.coalesce("pipeline_state", F.lit(UNKNOWN)).alias("state")
     return (
-        status.groupBy(state)
+        status.groupBy(state_of())
         .agg(F.count(F.lit(1)).alias("entries"))
         .orderBy(F.desc("entries"), "state")
     )
@@ -80,9 +88,8 @@ def count_by_state(status: DataFrame) -> DataFrame:
 
 def count_by_date(status: DataFrame) -> DataFrame:
     """A4: entries per creation date, latest first in text order."""
-    date = F.coalesce(F.substring_index("creation_time", "T", 1), F.lit(UNKNOWN))
     return (
-        status.groupBy(date.alias("created_on"))
+        status.groupBy(date_of())
         .agg(F.count(F.lit(1)).alias("entries"))
         .orderBy(F.desc("created_on"))
     )

@@ -122,13 +122,14 @@ def cleanup_unmanaged(
 ) -> UnmanagedCleanup:
     """C4: old entries that no in-console run accounts for; with ``force`` of all entries.
 
-    The status filter comes first, so only candidates reach the joins on the id.
+    The status filter comes first, so only candidates reach the joins on the id. What is deleted is
+    decided once and written: all three results follow from the same ids.
     """
     candidates = unmanaged.deletable_unmanaged(
         status, exclude_prefixes, cutoff, own_prefix, state, force
     ).select("aws_id")
     listed = candidates.join(inventory.select("aws_id"), "aws_id", "left_semi")
-    ids = unmanaged.unmanaged_inventory(listed, runs, force)
+    ids = materialize(unmanaged.unmanaged_inventory(listed, runs, force))
     affected = unmanaged.runs_in_ids(runs, ids).agg(F.count(F.lit(1)).alias("updated_runs"))
     if dry_run:
         return UnmanagedCleanup(ids, affected, runs)
@@ -143,7 +144,19 @@ def cleanup_unmanaged(
 def summarize_unmanaged(
     inventory: DataFrame, status: DataFrame, runs: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """Unmanaged entries (by state, by creation date)."""
+    """Unmanaged entries (by state, by creation date).
+
+    Both are sums of one table of counts, which is written: the entries are found once.
+    """
     ids = unmanaged.unmanaged_inventory(inventory, runs)
     found = status.join(ids, "aws_id", "left_semi")
-    return unmanaged.count_by_state(found), unmanaged.count_by_date(found)
+    counts = materialize(
+        found.groupBy(unmanaged.state_of(), unmanaged.date_of()).agg(
+            F.count(F.lit(1)).alias("entries")
+        )
+    )
+    added = F.sum("entries").alias("entries")
+    return (
+        counts.groupBy("state").agg(added).orderBy(F.desc("entries"), "state"),
+        counts.groupBy("created_on").agg(added).orderBy(F.desc("created_on")),
+    )

@@ -7,7 +7,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from fleetmill.operators.ordered import HEAVY_GROUP_ROWS
 from fleetmill.operators.streaks import MAX_FAILURES, failure_streaks, final_counters
-from fleetmill.session import materialize
+from fleetmill.session import remove_folder
 
 
 def stream_failure_streaks(
@@ -23,7 +23,8 @@ def stream_failure_streaks(
     What a batch starts from is the counter table the one before left in ``state``, the first one
     starts from ``counters``. Only pipelines with open failures are in that table. Both results
     of a batch go to folders named after it and replace what an earlier try left, so a batch that
-    is run again after a failure changes nothing twice.
+    is run again after a failure changes nothing twice. The counter tables of the last two batches
+    stay, older ones are removed.
 
     Attempts are taken in the order of their time within a batch and in arrival order across
     batches. The caller sets checkpoint location and trigger and starts the writer.
@@ -35,11 +36,13 @@ def stream_failure_streaks(
         before = counters
         if epoch > 0:
             before = spark.read.schema(counters.schema).parquet(f"{state}/batch-{epoch - 1}")
-        replayed = materialize(
-            failure_streaks(batch, before.select(*columns), max_failures, heavy_rows)
-        )
-        replayed.write.mode("overwrite").parquet(f"{output}/batch={epoch}")
-        after = final_counters(replayed, before).select(*columns)
+        replayed = failure_streaks(batch, before.select(*columns), max_failures, heavy_rows)
+        target = f"{output}/batch={epoch}"
+        replayed.write.mode("overwrite").parquet(target)
+        stored = spark.read.schema(replayed.schema).parquet(target)
+        after = final_counters(stored, before).select(*columns)
         after.write.mode("overwrite").parquet(f"{state}/batch-{epoch}")
+        if epoch > 1:
+            remove_folder(spark, f"{state}/batch-{epoch - 2}")
 
     return attempts.writeStream.foreachBatch(take)

@@ -64,6 +64,7 @@ def test_streaks_carry_over_batches_and_restarts(spark, tmp_path, heavy_rows):
             for r in streaks.final_counters(batch, counters).collect()}
     last = spark.read.schema(counters.schema).parquet(f"{state}/batch-4").collect()
     assert {r.pipeline_id: r.failure_count for r in last} == left
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["batch-3", "batch-4"]
 
 
 def test_reports_per_interval_drop_late_samples(spark, tmp_path, zone):
