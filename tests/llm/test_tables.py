@@ -159,6 +159,31 @@ def test_embedding_links_against_all_pairs(spark):
     assert found[1].component_id == 0 and not found[1].kept and found[0].kept
 
 
+def grouped_vectors(n, share, seed, noise=0.027):
+    """Random unit vectors of 64 numbers, a share of them about one: cosines of about 0.955 there."""
+    rng = np.random.default_rng(seed)
+    vectors = rng.normal(size=(n, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    hot = int(n * share)
+    vectors[:hot] = vectors[0] + rng.normal(size=(hot, 64)) * noise
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("chunk", [None, 100])
+def test_no_link_of_a_dense_group_is_lost(spark, monkeypatch, chunk):
+    vectors = grouped_vectors(3_000, 1 / 3, 7)
+    if chunk:
+        monkeypatch.setattr(embeddings, "LEAST_CHUNK", chunk)
+        monkeypatch.setattr(embeddings, "MOST_CHUNK", chunk)
+    rows = spark.createDataFrame(
+        [(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>"
+    )
+    found = {r.vec_id: r for r in embeddings.near_duplicates(rows).collect()}
+    linked = vectors @ vectors.T >= 0.95
+    assert [found[i].n_links for i in range(3_000)] == (linked.sum(axis=1) - 1).tolist()
+    assert len({found[i].component_id for i in range(1_000)}) < 50
+
+
 def test_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (None, [1.0, 1e-3]), (4, None), (5, []), (6, [0.0, 0.0])]
     rows += [(7, [float("nan"), 1.0]), (8, [None, 1.0]), (9, [float("inf"), 1.0]), (10, [1.0, 0.0, 0.0]), (None, None)]
