@@ -39,8 +39,10 @@ HEAVY_SHARE, HEAVY_SEGMENTS, MOST_SEGMENTS = 1_000, 256, 4_096
 #: Heavy anchors that are broadcast to split the segments; more are joined by a shuffle.
 TOLD_ANCHORS = 100_000
 
-#: What a null document id is ordered as: after all others.
-_LAST = (1 << 63) - 1
+#: What a null document id is ordered as, and the least tie of such a row: after all others.
+_LAST, _LAST_TIE = (1 << 63) - 1, 1 << 62
+#: Repeated document ids that are broadcast to tell their rows apart; more are joined by a shuffle.
+TOLD_IDS = 100_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # an odd constant that spreads bits
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 
@@ -90,12 +92,12 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def repeated_anchors(docs: DataFrame) -> DataFrame:
-    """``(d, at)`` of every anchor that comes twice or more among all documents.
+    """``(d, tie, at)`` of every anchor that comes twice or more among all documents.
 
     Within a slice of documents an anchor that comes again needs no other's word for it: its places
     go on as they are, and it is told to the others once.
     """
-    schema = "route bigint, anchor bigint, d bigint, at int, known boolean"
+    schema = "route bigint, anchor bigint, d bigint, tie bigint, at int, known boolean"
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors()
@@ -106,61 +108,63 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
                 continue
             grams = np.concatenate([x[0] for x in found])
             at = np.concatenate([x[1] for x in found]).astype(np.int32)
-            ids = np.repeat(batch.column("d").to_numpy(), sizes)
+            ids, ties = (np.repeat(batch.column(k).to_numpy(), sizes) for k in ("d", "tie"))
             kinds, kind, counts = np.unique(grams, return_inverse=True, return_counts=True)
             again = counts[kind] > 1
             once, told = ~again, kinds[counts > 1].view(np.int64)
             # Known places are dealt evenly; one row without a place tells of each anchor.
-            spread = ids[again] * 31 + at[again]
+            spread = (ids[again] ^ ties[again]) * 31 + at[again]
             columns = [
                 np.concatenate([grams[once].view(np.int64), spread, told]),
                 np.concatenate([grams[once].view(np.int64), np.zeros(len(spread), np.int64), told]),
                 np.concatenate([ids[once], ids[again], np.zeros(len(told), np.int64)]),
+                np.concatenate([ties[once], ties[again], np.zeros(len(told), np.int64)]),
                 np.concatenate([at[once], at[again], np.full(len(told), -1, np.int32)]),
                 np.repeat([False, True, False], [once.sum(), len(spread), len(told)]),
             ]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in columns], ["route", "anchor", "d", "at", "known"]
+                [pa.array(x) for x in columns], ["route", "anchor", "d", "tie", "at", "known"]
             )
 
-    rows = docs.select("d", "text").mapInArrow(take, schema).repartition("route")
-    rows = rows.sortWithinPartitions("known", "anchor").select("anchor", "d", "at", "known")
+    rows = docs.select("d", "tie", "text").mapInArrow(take, schema).repartition("route")
+    rows = rows.sortWithinPartitions("known", "anchor").select("anchor", "d", "tie", "at", "known")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Of rows in order, those that have the anchor of the row before or after. The last row of
         # a batch waits for the next batch.
         waiting = None
         for batch in batches:
-            own = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            own = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
             before_last = None
             if waiting is not None:
                 before_last = waiting[1]
                 own = [np.concatenate([a, b]) for a, b in zip(waiting[0], own, strict=True)]
             if not len(own[0]):
                 continue
-            anchor, d, at, known = own
+            anchor, d, tie, at, known = own
             same = (anchor[1:] == anchor[:-1]) & ~known[1:] & ~known[:-1]
             after = np.append(same, False)
             before = np.append(before_last is not None and bool(before_last), same)
             # A row that tells of an anchor counts as two.
             found = (after | before | known) & (at >= 0)
             found[-1] = False
-            yield _places(d[found], at[found])
+            yield _places(d[found], tie[found], at[found])
             waiting = [x[-1:] for x in own], before[-1]
         if waiting is not None:
-            (_, d, at, known), before = waiting
+            (_, d, tie, at, known), before = waiting
             if at[0] >= 0 and (known[0] or before):
-                yield _places(d, at)
+                yield _places(d, tie, at)
 
-    return rows.mapInArrow(pair, "d bigint, at int")
+    return rows.mapInArrow(pair, "d bigint, tie bigint, at int")
 
 
-def _places(d: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(d), pa.array(at.astype(np.int32))], ["d", "at"])
+def _places(d: np.ndarray, tie: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(d), pa.array(tie), pa.array(at.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, ["d", "tie", "at"])
 
 
 def segments(dealt: DataFrame) -> DataFrame:
-    """``(anchor, d, first, words)`` of repeated anchors; equal segments of a slice once, the first.
+    """``(anchor, d, tie, first, words)`` of repeated anchors; equal segments of a slice once, the first.
 
     ``dealt`` has documents with their compressed texts and the places of their repeated anchors.
     """
@@ -170,30 +174,31 @@ def segments(dealt: DataFrame) -> DataFrame:
         for batch in slices(batches, "packed"):
             least: dict[bytes, tuple] = {}
             texts = [inflate(x).split() for x in batch.column("packed").to_pylist()]
-            columns = batch.column("d").to_pylist(), batch.column("places").to_pylist(), texts
-            for d, places, words, found in zip(*columns, anchors(texts), strict=True):
+            columns = [batch.column(k).to_pylist() for k in ("d", "tie", "places")] + [texts]
+            for d, tie, places, words, found in zip(*columns, anchors(texts), strict=True):
                 kept = np.isin(found[1], np.array(places, np.int64))
                 for anchor, first, last in zip(*(x[kept].tolist() for x in (found[0].view(np.int64), *found[2:])), strict=True):
                     segment = b" ".join(words[first : last + WINDOW])
-                    if segment not in least or least[segment][1:] > (d, first):
-                        least[segment] = anchor, d, first
+                    if segment not in least or least[segment][1:] > (d, tie, first):
+                        least[segment] = anchor, d, tie, first
             yield _segments(least)
 
-    return dealt.select("d", "packed", "places").mapInArrow(take, _SEGMENTS)
+    return dealt.select("d", "tie", "packed", "places").mapInArrow(take, _SEGMENTS)
 
 
-_SEGMENTS = "anchor bigint, d bigint, first int, words binary"
+_SEGMENTS = "anchor bigint, d bigint, tie bigint, first int, words binary"
 
 
 def _segments(least: dict[bytes, tuple]) -> pa.RecordBatch:
-    anchor, d, first = zip(*least.values(), strict=True) if least else ((), (), ())
+    anchor, d, tie, first = zip(*least.values(), strict=True) if least else ((), (), (), ())
     columns = [
         pa.array(anchor, pa.int64()),
         pa.array(d, pa.int64()),
+        pa.array(tie, pa.int64()),
         pa.array(first, pa.int32()),
         pa.array(list(least), pa.binary()),
     ]
-    return pa.RecordBatch.from_arrays(columns, ["anchor", "d", "first", "words"])
+    return pa.RecordBatch.from_arrays(columns, ["anchor", "d", "tie", "first", "words"])
 
 
 def single_windows(found: DataFrame) -> DataFrame:
@@ -202,13 +207,13 @@ def single_windows(found: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             least: dict[bytes, tuple] = {}
-            for d, first, text in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            for d, tie, first, text in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True):
                 words = text.split(b" ")
                 for k in range(len(words) - WINDOW + 1):
                     part = b" ".join(words[k : k + WINDOW])
-                    if part not in least or least[part][1:] > (d, first + k):
+                    if part not in least or least[part][1:] > (d, tie, first + k):
                         route = xxhash.xxh64_intdigest(part) - (1 << 63)
-                        least[part] = route, d, first + k
+                        least[part] = route, d, tie, first + k
             yield _segments(least)
 
     return found.mapInArrow(cut, _SEGMENTS)
@@ -228,17 +233,17 @@ def without_heavy(found: DataFrame, total: int) -> DataFrame:
 
 
 def first_windows(dealt: DataFrame) -> DataFrame:
-    """``(d, begin, end)``: runs of windows that are the first of their kind, for each shard.
+    """``(d, tie, begin, end)``: runs of windows that are the first of their kind, for each shard.
 
-    A partition of ``dealt (anchor, d, first, words)`` is a shard.
+    A partition of ``dealt (anchor, d, tie, first, words)`` is a shard.
     """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[bytes, tuple] = {}
         for batch in batches:
-            for d, first, text in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                if text not in least or least[text] > (d, first):
-                    least[text] = d, first
+            for d, tie, first, text in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True):
+                if text not in least or least[text] > (d, tie, first):
+                    least[text] = d, tie, first
         if not least:
             return
         ordered = sorted(least, key=least.__getitem__)
@@ -246,16 +251,16 @@ def first_windows(dealt: DataFrame) -> DataFrame:
         coded = [np.array([number[w] for w in x.split(b" ")], np.int64) for x in ordered]
         rows = []
         for text, firsts in zip(ordered, earliest_places(coded, len(number) + 1), strict=True):
-            d, start = least[text]
+            d, tie, start = least[text]
             edges = np.flatnonzero(np.diff(np.concatenate([[False], firsts, [False]]).astype(np.int8)))
-            rows += [(d, start + a, start + b) for a, b in edges.reshape(-1, 2).tolist()]
-        columns = list(zip(*rows, strict=True)) or [(), (), ()]
-        types = pa.int64(), pa.int32(), pa.int32()
+            rows += [(d, tie, start + a, start + b) for a, b in edges.reshape(-1, 2).tolist()]
+        columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+        types = pa.int64(), pa.int64(), pa.int32(), pa.int32()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["d", "begin", "end"]
+            [pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["d", "tie", "begin", "end"]
         )
 
-    return dealt.mapInArrow(search, "d bigint, begin int, end int")
+    return dealt.mapInArrow(search, "d bigint, tie bigint, begin int, end int")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -274,6 +279,33 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.select(*(c for c in docs.columns if c != "text"), "text").mapInArrow(pack, schema)
 
 
+def _with_keys(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` with ``d`` and ``tie``, which order them and tell them apart, and if ids repeat.
+
+    Rows without an id are numbered and written with their numbers, so these stay the same. Of rows
+    that repeat an id the tie is a hash of the text: equal rows have one key.
+    """
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("again")).where("again is not null")
+    again = ids.groupBy("again").agg(F.count("*").alias("n")).where("n > 1").select("again")
+    again = written(again, "repeated_ids")
+    number = again.count()
+    own = docs.withColumn("d", F.col("doc_id").cast("bigint"))
+    # A cast can fail, so the new column decides.
+    named, nameless = own.where("d is not null"), own.where("d is null")
+    if number:
+        told = F.broadcast(again) if number <= TOLD_IDS else again
+        named = named.join(told, named["d"] == told["again"], "left")
+        tie = F.shiftright(F.xxhash64("text"), 2)
+        named = named.withColumn("tie", F.when(F.col("again").isNotNull(), tie).otherwise(0))
+        named = named.drop("again")
+    else:
+        named = named.withColumn("tie", F.lit(0).cast("bigint"))
+    nameless = nameless.withColumn("d", F.lit(_LAST))
+    nameless = nameless.withColumn("tie", F.lit(_LAST_TIE) + F.monotonically_increasing_id())
+    nameless = written(nameless, "without_id")
+    return (named if nameless.isEmpty() else named.unionByName(nameless)), bool(number)
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs``, texts without the words covered by a window that starts earlier somewhere else.
 
@@ -282,16 +314,20 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     ``n_words`` and ``n_removed``; a column of the name of these is replaced. The text of a document
     that loses words becomes its kept words, others stay as they are, null ones too.
 
-    Null and short texts have no windows and lose nothing. Null ids come after all others. Rows that
-    repeat an id are one place: their common windows do not remove each other, and if their texts
-    differ, of equal windows at one start all or none are the first. No documents, no rows.
+    Null and short texts have no windows and lose nothing. Null ids come after all others; each is a
+    document of its own, in the order the rows are read. Rows that repeat an id and text are one
+    place: they do not remove each other's windows. Rows that repeat an id with other texts are
+    documents of their own, in the order of a hash of the text. No documents, no rows.
     """
     added = ["kept_words", "n_words", "n_removed"]
     own = docs.select(*(c for c in docs.columns if c not in added))
-    own = own.withColumn("d", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)))
+    own, again = _with_keys(own)
+    key = ["d", "tie"]
+    # Equal rows of an id say the same: each place is kept once, however many they are.
+    collect = F.collect_set if again else F.collect_list
     places = written(repeated_anchors(own), "anchors")
-    grouped = places.groupBy("d").agg(F.collect_list("at").alias("places"))
-    found = written(segments(_packed(own.select("d", "text")).join(grouped, "d")), "segments")
+    grouped = places.groupBy(*key).agg(collect("at").alias("places"))
+    found = written(segments(_packed(own.select(*key, "text")).join(grouped, key)), "segments")
     total = found.count()
     # A segment has about 27 words.
     spark = docs.sparkSession
@@ -299,9 +335,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     dealt = without_heavy(found, total).repartition(shards, "anchor")
     firsts = written(first_windows(dealt), "first_windows")
     drop_written(found)
-    told = places.select("d", F.col("at").alias("begin"), F.lit(-1).alias("end")).union(firsts)
-    told = told.groupBy("d").agg(F.collect_list(F.struct("begin", "end")).alias("told"))
-    return _without(_packed(own).join(told, "d", "left").drop("d"), docs)
+    told = places.select(*key, F.col("at").alias("begin"), F.lit(-1).alias("end")).union(firsts)
+    told = told.groupBy(*key).agg(collect(F.struct("begin", "end")).alias("told"))
+    return _without(_packed(own).join(told, key, "left").drop(*key), docs)
 
 
 def _without(joined: DataFrame, docs: DataFrame) -> DataFrame:

@@ -222,6 +222,28 @@ def test_removed_words_equal_all_windows(spark, monkeypatch, heavy, told):
     assert got == plain_removal(rows)
 
 
+def test_null_and_repeated_ids_are_documents_of_their_own(spark):
+    rng = random.Random(5)
+    passage = [f"p{rng.random()}" for _ in range(40)]
+    own = lambda n: [f"o{rng.random()}" for _ in range(n)]
+    late = " ".join(own(60) + passage)
+    texts = [None, "", "a b", late, late, " ".join(passage), " ".join(own(10) + passage + own(3))]
+    found = substring.word_digests(
+        spark.createDataFrame([(None, x) for x in texts], "doc_id long, text string").coalesce(1)
+    ).collect()
+    assert sorted((r.n_words, r.n_removed) for r in found) == sorted(
+        [(0, 0), (0, 0), (2, 0), (100, 0), (100, 100), (40, 40), (53, 40)]
+    )
+    # One of the texts of an id keeps the passage; equal rows are one.
+    rows = [(7, x) for x in (*texts, late)] + [(None, " ".join(passage)), (9, late)]
+    found = substring.word_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    of = {k: [(r.n_words, r.n_removed) for r in found if r.doc_id == k] for k in (None, 7, 9)}
+    assert of[None] == [(40, 40)] and of[9] == [(100, 100)]
+    long = [x for x in of[7] if x[0] >= 40]
+    assert sum(n == 100 for n, _ in long) == 3 and len({x for x in long if x[0] == 100}) == 1
+    assert sum(removed == 0 for removed in {n: gone for n, gone in long}.values()) == 1
+
+
 # --- quality
 
 
