@@ -271,6 +271,25 @@ def test_outliers_of_a_group_are_rejected_and_others_kept(spark):
     assert rows[0].n_symbols == 3 * rows[0].n_words
 
 
+def ordinary(rng, n, words):
+    return [" ".join(rng.choices(words, k=rng.randint(60, 90))) + "." for _ in range(n)]
+
+
+def test_copied_junk_and_small_groups_are_judged(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(300)]
+    junk = " ".join(w + "###" for w in rng.choices(words, k=70))
+    groups = [("en", "hot", 260, 140), ("en", "tail", 12, 1), ("xx", "few", 9, 1), (None, None, 9, 1)]
+    rows, bad = [], set()
+    for lang, source, good, copies in groups:
+        for text in ordinary(rng, good, words) + [junk] * copies:
+            bad |= {len(rows)} if text == junk else set()
+            rows.append((len(rows), text, lang, source))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = quality.judge(table).collect()
+    assert {r.doc_id for r in found if not r.kept} == bad
+
+
 # --- toxicity
 
 
