@@ -32,6 +32,38 @@ class Kind:
     base: bool = True
     #: A literal or pattern without which a text need not be searched.
     needs: str = ""
+    #: If the pattern only finds the start: what the whole is, from there.
+    whole: str = ""
+
+
+#: Characters of an account number by country.
+IBAN_LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FK FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST",
+    26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+_COUNTRIES = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+#: The length of its country, whatever comes after a space. Of other countries, all that follows.
+_IBAN = "|".join(
+    rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}"
+    for n, codes in IBAN_LENGTHS.items()
+)
+_IBAN = rf"(?:{_IBAN}|(?!{_COUNTRIES})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}+)(?![A-Za-z0-9])"
 
 
 KINDS = (
@@ -66,11 +98,12 @@ KINDS = (
     ),
     Kind(
         "iban",
-        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+        rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?={_IBAN})[A-Z]{{2}}[0-9]{{2}}",
         "iban|account|bank|konto|compte|cuenta",
         0.1,
         base=False,
         needs="[A-Z]{2}[0-9]{2}",
+        whole=_IBAN,
     ),
     Kind(
         "ssn",
@@ -143,7 +176,20 @@ def _proposed(text: Column, kind: Kind) -> Column:
         lambda m, g: F.struct(m.alias("match"), g.alias("gap")),
     )
     searched = text.contains(kind.needs) if kind.needs == "@" else text.rlike(kind.needs)
-    return F.when(searched, F.aggregate(pairs, none, step)).otherwise(none)
+    found = F.aggregate(pairs, none, step)
+    if kind.whole:
+        found = F.transform(found, lambda x: _whole(text, kind, x["start"]))
+    return F.when(searched, found).otherwise(none)
+
+
+def _whole(text: Column, kind: Kind, start: Column) -> Column:
+    # Twice the most characters of a number, as there may be spaces, and one after it.
+    match = F.regexp_extract(F.substring(text, start + 1, F.lit(69)), f"^{kind.whole}", 0)
+    return F.struct(
+        match.alias("match"),
+        start.alias("start"),
+        (start + F.length(match)).cast("int").alias("end"),
+    )
 
 
 def _spans(text: Column, kind: Kind) -> Column:

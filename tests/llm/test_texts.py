@@ -89,6 +89,24 @@ def test_checksums_and_context_decide_on_further_kinds(spark):
     assert found == ["iban:5:32", "", "ssn:7:18", ""]
 
 
+def test_account_numbers_before_capitals_and_digits(spark):
+    number = "DE89 3704 0044 0532 0130 00"
+    plain = number.replace(" ", "")
+    ends = [" EUR 50", " 50 EUR", " In Berlin", " BIC COBADEFFXXX", ".", "\n7", ""]
+    texts = [number + x for x in ends] + [plain + x for x in ends]
+    texts += [f"AB12 {number}", f"{plain} {plain}", plain + "1", plain + "x", f"NO93 8601 1117 947 NO {plain}"]
+    found = [r.spans for r in pii.span_digests(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert [re.findall("iban:[0-9:]+", x) for x in found] == [
+        *[["iban:0:27"]] * 7,
+        *[["iban:0:22"]] * 7,
+        ["iban:5:32"],
+        ["iban:0:22", "iban:23:45"],
+        [],
+        [],
+        ["iban:0:18", "iban:22:44"],
+    ]
+
+
 def test_redaction_covers_overlapping_spans_once(spark):
     texts = ["call +49 30 12345678 or a.b@c.de!", None, "4111111111111111", "nothing"]
     clean = pii.redact(docs(spark, texts))
