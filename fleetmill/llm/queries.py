@@ -11,6 +11,7 @@ from fleetmill.llm import (
     byte_bpe,
     chat,
     embeddings,
+    merkle,
     packing,
     pii,
     quality,
@@ -71,6 +72,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proof_digests(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -84,7 +89,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_byte_bpe,
         op9_substring_dedup,
         op10_embedding_dedup,
+        op11_merkle_manifest,
     )
 }
 
-ORACLES: dict[str, str] = {"op2_chat_formatting": chat.PREFERENCES_SQL}
+ORACLES: dict[str, str] = {
+    "op2_chat_formatting": chat.PREFERENCES_SQL,
+    "op11_merkle_manifest": merkle.MANIFEST_SQL,
+}
