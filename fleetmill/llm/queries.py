@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from fleetmill.llm import (
     byte_bpe,
     chat,
+    decontaminate,
     embeddings,
     merkle,
     packing,
@@ -76,6 +77,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proof_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (read_table(spark, sf_dir, x) for x in ("documents", "benchmark"))
+    return decontaminate.contamination(docs, items)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -90,10 +96,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_substring_dedup,
         op10_embedding_dedup,
         op11_merkle_manifest,
+        op13_benchmark_decontamination,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": chat.PREFERENCES_SQL,
     "op11_merkle_manifest": merkle.MANIFEST_SQL,
+    "op13_benchmark_decontamination": decontaminate.CONTAMINATION_SQL,
 }
