@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from fleetmill.llm import (
     byte_bpe,
     chat,
+    collocations,
     decontaminate,
     embeddings,
     merkle,
@@ -77,6 +78,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proof_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (read_table(spark, sf_dir, x) for x in ("documents", "benchmark"))
     return decontaminate.contamination(docs, items)
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_substring_dedup,
         op10_embedding_dedup,
         op11_merkle_manifest,
+        op12_phrase_collocations,
         op13_benchmark_decontamination,
     )
 }
@@ -103,5 +109,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": chat.PREFERENCES_SQL,
     "op11_merkle_manifest": merkle.MANIFEST_SQL,
+    "op12_phrase_collocations": collocations.COLLOCATIONS_SQL,
     "op13_benchmark_decontamination": decontaminate.CONTAMINATION_SQL,
 }
