@@ -31,6 +31,8 @@ LEAST_TEXTS, LEAST_RATIO = 5, 6.0
 CANDIDATES = 60_000
 #: Letters of word beginnings.
 BEGINNINGS = (3, 4, 5, 6)
+#: Rows of the sample that the driver turns into floating point at once.
+FIT_ROWS = 1_000
 #: Beginnings and words kept in a task's cache.
 CACHED = 200_000
 
@@ -87,31 +89,48 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _blocks(votes: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Some rows of ``votes`` at a time, as numbers that products can be made of."""
+    for start in range(0, len(votes), FIT_ROWS):
+        rows = slice(start, start + FIT_ROWS)
+        yield rows, votes[rows].astype(np.float64)
+
+
 def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 10) -> np.ndarray:
     """Posterior probability that each row is toxic. ``votes`` (rows, voters), ``labels`` 0 or 1.
 
     The labels are a voter too, which starts the estimates. Two voters that speak together more
     than their rates explain count as less than two: each is weighted by the inverse of one plus its
-    positive residual correlations.
+    positive residual correlations. Rows are gone through in blocks: beside ``votes``, which may be
+    bytes, only sums over rows are held.
     """
-    votes = np.column_stack([votes, labels]).astype(np.float64)
+    votes = np.column_stack([votes, labels.astype(votes.dtype)])
+    n, voters = votes.shape
     posterior = np.clip(labels.astype(np.float64), 0.02, 0.98)
     for _ in range(rounds):
         on, off = posterior.sum(), (1 - posterior).sum()
-        prior = np.clip(on / len(votes), 1e-4, 1 - 1e-4)
-        rate_on = (posterior @ votes + 0.5) / (on + 1)
-        rate_off = ((1 - posterior) @ votes + 0.05) / (off + 1)
-        rest = votes - np.outer(posterior, rate_on) - np.outer(1 - posterior, rate_off)
-        spread = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-        together = (rest.T @ rest) / len(rest) / np.outer(spread, spread)
+        prior = np.clip(on / n, 1e-4, 1 - 1e-4)
+        rate_on, rate_off = np.full(voters, 0.5), np.full(voters, 0.05)
+        for rows, x in _blocks(votes):
+            rate_on += posterior[rows] @ x
+            rate_off += (1 - posterior[rows]) @ x
+        rate_on /= on + 1
+        rate_off /= off + 1
+        together = np.zeros((voters, voters))
+        for rows, x in _blocks(votes):
+            x -= np.outer(posterior[rows], rate_on) + np.outer(1 - posterior[rows], rate_off)
+            together += x.T @ x
+        spread = np.sqrt(np.diag(together) / n) + 1e-9
+        together /= n * np.outer(spread, spread)
         np.fill_diagonal(together, 0)
         together[together < 0.1] = 0
         weight = 1 / (1 + together.sum(axis=1))
         weight[-1] = 1
         speaks = weight * (np.log(rate_on) - np.log(rate_off))
         silent = weight * (np.log1p(-rate_on) - np.log1p(-rate_off))
-        total = np.log(prior / (1 - prior)) + votes @ speaks + (1 - votes) @ silent
-        posterior = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+        for rows, x in _blocks(votes):
+            total = np.log(prior / (1 - prior)) + x @ (speaks - silent) + silent.sum()
+            posterior[rows] = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
     return posterior
 
 
@@ -119,14 +138,16 @@ def linear_classifier(
     votes: np.ndarray, target: np.ndarray, penalty: float = 2.0, rounds: int = 25
 ) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on soft labels, by Newton steps."""
-    x = np.column_stack([votes, np.ones(len(votes))]).astype(np.float64)
-    w = np.zeros(x.shape[1])
+    w = np.zeros(votes.shape[1] + 1)
     shrink = np.full(len(w), penalty)
     shrink[-1] = 1e-3
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - target) + shrink * w
-        curvature = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(shrink)
+        gradient, curvature = shrink * w, np.diag(shrink)
+        for rows, x in _blocks(votes):
+            x = np.column_stack([x, np.ones(len(x))])
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            gradient += x.T @ (p - target[rows])
+            curvature += (x * (p * (1 - p) + 1e-6)[:, None]).T @ x
         step = np.linalg.solve(curvature, gradient)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -191,9 +212,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     table = sample.mapInArrow(vote, "toxic int, hits array<int>").toArrow()
     y = table.column("toxic").to_numpy()
-    votes = np.zeros((len(y), len(terms)), np.float32)
-    for k, hits in enumerate(table.column("hits").to_pylist()):
-        votes[k, hits] = 1
+    votes = np.zeros((len(y), len(terms)), np.uint8)
+    hits = table.column("hits").combine_chunks()
+    votes[np.repeat(np.arange(len(y)), np.diff(hits.offsets.to_numpy())), hits.flatten().to_numpy()] = 1
+    del table, hits
     # Rows come in the order of the files; the fit does not depend on it beyond rounding.
     posterior = label_model(votes, y == 1)
     weights, bias = linear_classifier(votes, posterior)
