@@ -17,7 +17,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,15 +31,15 @@ from fleetmill.session import lookup
 LONGEST = 4
 OVERLAP = LONGEST - 1
 #: About one place in so many begins a chunk. A chunk of more words is cut at that many.
-CHUNK_WORDS, MOST_WORDS = 16, 4_096
+CHUNK_WORDS, MOST_WORDS = 32, 4_096
 #: Phrases that come less often are no candidates.
 LEAST_COUNT = 30
 #: Phrases reported of each language.
 REPORTED = 2_000
 #: Bits of the map of frequent phrases: sixteen for each phrase, at most so many in all (8 MB).
 MAP_BITS = 1 << 26
-#: Words gone through at once, and distinct chunks a task counts before it passes them on.
-SLICE_WORDS, CHUNKS_KEPT = 1_000_000, 200_000
+#: Bytes of chunks that phrases are counted in at once.
+SLICE_BYTES = 16_000_000
 #: Parts of a language that are ranked by themselves before the whole is.
 RANK_PARTS = 64
 
@@ -48,10 +50,10 @@ _UPPER, _STOPS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(_UPPER + _STOPS + b"\t", _UPPER.lower() + _STOP * len(_STOPS) + b" ")
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    """The words of all pieces, with a stop between pieces."""
-    raw = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE)
-    return raw.replace(_STOP, b" . ").split()  # the one white space left is the space
+def _prepared(text: str) -> bytes:
+    """The words of all pieces with spaces and stops between them, and stops at the end."""
+    raw = text.encode("utf-8", "surrogatepass").translate(_TABLE)
+    return raw.replace(_STOP, b" . ").strip() + b" ." * OVERLAP
 
 
 class _Hashes:
@@ -78,17 +80,26 @@ def _mixed(first: np.ndarray, then: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(32))
 
 
-def chunk_starts(hashes: np.ndarray) -> np.ndarray:
-    """Where chunks begin in a text of these words, the last ``OVERLAP`` of which begin none."""
-    n = len(hashes) - OVERLAP
-    window = hashes[:n]
+def chunk_starts(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where chunks begin in texts of these words, one after the other, which begin at ``begins``.
+
+    No chunk begins in the last ``OVERLAP`` words of a text.
+    """
+    ends = np.append(begins[1:], len(hashes)) - OVERLAP
+    window = hashes[: len(hashes) - OVERLAP]
     for k in range(1, OVERLAP):
-        window = _mixed(window, hashes[k : n + k])
-    starts = np.flatnonzero(window % np.uint64(CHUNK_WORDS) == 0)
-    starts = np.unique(np.append(0, starts))
-    gaps = np.diff(np.append(starts, n))
-    if gaps.max() > MOST_WORDS:
-        more = [np.arange(s, s + g, MOST_WORDS) for s, g in zip(starts, gaps, strict=True) if g > MOST_WORDS]
+        window = _mixed(window, hashes[k : len(hashes) - OVERLAP + k])
+    marked = window % np.uint64(CHUNK_WORDS) == 0
+    marked[begins] = True
+    for k in range(OVERLAP):
+        marked[ends[:-1] + k] = False
+    starts = np.flatnonzero(marked)
+    after = np.append(starts[1:], len(hashes))
+    last = ends[np.searchsorted(begins, starts, "right") - 1]
+    gaps = np.minimum(after, last) - starts
+    long = gaps > MOST_WORDS
+    if long.any():
+        more = [np.arange(s, s + g, MOST_WORDS) for s, g in zip(starts[long], gaps[long], strict=True)]
         starts = np.unique(np.concatenate([starts, *more]))
     return starts
 
@@ -100,34 +111,36 @@ def parse(docs: DataFrame) -> DataFrame:
     """
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = _Hashes(), {}
-        for batch in batches:
-            for part in slices(iter([batch]), "text"):
-                for lang, text in zip(*(part.column(c).to_pylist() for c in ("lang", "text")), strict=True):
-                    words = tokens_of(text)
-                    if not words:
-                        continue
-                    words += [_STOP] * OVERLAP
-                    starts = chunk_starts(hashes(words)).tolist()
-                    ends = [*(s + OVERLAP for s in starts[1:]), len(words)]
-                    for start, end in zip(starts, ends, strict=True):
-                        key = lang, b" ".join(words[start:end])
-                        counts[key] = counts.get(key, 0) + 1
-            if len(counts) > CHUNKS_KEPT:
-                yield from _rows(counts, "chunk")
-                counts.clear()
-        yield from _rows(counts, "chunk")
+        hashes = _Hashes()
+        for batch in slices(batches, "text"):
+            batch = batch.filter(pc.fill_null(pc.greater(pc.binary_length(batch.column("text")), 0), False))
+            if not batch.num_rows:
+                continue
+            texts = [_prepared(x) for x in batch.column("text").to_pylist()]
+            split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+            begins = split.offsets.to_numpy()[:-1]
+            words = split.values.view(pa.binary()).dictionary_encode()
+            ids = words.indices.to_numpy()
+            starts = chunk_starts(hashes(words.dictionary.to_pylist())[ids], begins)
+            text = np.searchsorted(begins, starts, "right") - 1
+            ends = np.append(starts[1:], len(ids)) + OVERLAP
+            ends = np.minimum(ends, np.append(begins[1:], len(ids))[text])
+            chunks = _joined(words, starts, ends - starts)
+            found = pa.table({"lang": batch.column("lang").take(pa.array(text)), "chunk": chunks})
+            found = found.group_by(["lang", "chunk"]).aggregate([([], "count_all")])
+            yield from found.rename_columns(["lang", "chunk", "n"]).to_batches()
 
     lang = F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang")
     found = docs.select(lang, docs["text"]).mapInArrow(take, "lang string, chunk binary, n bigint")
     return found.groupBy("lang", "chunk").agg(F.sum("n").alias("n"))
 
 
-def _rows(counts: dict[tuple[str, bytes], int], name: str) -> Iterator[pa.RecordBatch]:
-    if counts:
-        langs, parts = zip(*counts, strict=True)
-        columns = [pa.array(langs, pa.string()), pa.array(parts, pa.binary()), pa.array(counts.values(), pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["lang", name, "n"])
+def _joined(words: pa.DictionaryArray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Runs of words, with spaces between."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])
+    own = words.dictionary.take(words.indices.take(pa.array(at)))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), own), b" ")
 
 
 def phrase_counts(chunks: DataFrame, size: int, frequent: np.ndarray | None) -> DataFrame:
@@ -139,54 +152,68 @@ def phrase_counts(chunks: DataFrame, size: int, frequent: np.ndarray | None) ->
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
-        for batch in batches:
-            order = np.argsort(batch.column("lang").to_numpy(zero_copy_only=False), kind="stable")
-            batch = batch.take(pa.array(order))
-            langs = batch.column("lang").to_pylist()
-            texts, times = batch.column("chunk").to_pylist(), batch.column("n").to_pylist()
-            begin = 0
-            while begin < len(texts):
-                words, weights, end = [], [], begin
-                while end < len(texts) and langs[end] == langs[begin] and len(words) < SLICE_WORDS:
-                    own = texts[end].split(b" ")
-                    words += own
-                    # The last words of a chunk begin no phrase: the next chunk has them.
-                    weights += [times[end]] * (len(own) - OVERLAP) + [0] * OVERLAP
-                    end += 1
-                yield from _counted(langs[begin], words, np.array(weights, np.int64), size, frequent, hashes)
-                begin = end
+        # Some 100,000 chunks at a time, so that phrases that come again are told together.
+        for table in _gathered(batches):
+            langs = table.column("lang").combine_chunks().dictionary_encode()
+            for k, lang in enumerate(langs.dictionary.to_pylist()):
+                own = table.filter(pc.equal(langs.indices, k))
+                found = _counted(lang, own, size, frequent, hashes)
+                if found is not None:
+                    yield found
 
     found = chunks.mapInArrow(take, "lang string, phrase binary, n bigint")
     return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows in tables of about ``SLICE_BYTES``."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= SLICE_BYTES:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _counted(
-    lang: str, words: list[bytes], weights: np.ndarray, size: int, frequent: np.ndarray | None, hashes: _Hashes
-) -> Iterator[pa.RecordBatch]:
-    """Phrases of one language in a run of chunks. A phrase that would leave its chunk begins nowhere."""
-    number: dict[bytes, int] = {_STOP: 0}
-    ids = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
-    starts = weights > 0
-    starts[len(words) - size + 1 :] = False
-    for k in range(size):
-        starts[: len(words) - k] &= ids[k:] != 0
+    lang: str, chunks: pa.Table, size: int, frequent: np.ndarray | None, hashes: _Hashes
+) -> pa.RecordBatch | None:
+    """Phrases of chunks of one language. One that would leave its chunk begins nowhere."""
+    split = pc.split_pattern(chunks.column("chunk").combine_chunks(), b" ")
+    words = split.values.dictionary_encode()
+    ids, ends = words.indices.to_numpy().astype(np.int64), split.offsets.to_numpy()[1:]
+    number = words.dictionary.to_pylist()
+    kept = ids != (number.index(_STOP) if _STOP in number else -1)
+    starts = kept.copy()
+    for k in range(1, size):
+        starts[: len(ids) - k] &= kept[k:]
+        starts[len(ids) - k :] = False
+    # The last words of a chunk begin no phrase: the next chunk has them.
+    for k in range(1, OVERLAP + 1):
+        starts[ends - k] = False
     at = np.flatnonzero(starts)
     if frequent is not None:
-        of_words = hashes(list(number))[ids]
-        first, last = (_phrase_hashes(lang, of_words, at + k, size - 1) for k in (0, 1))
-        at = at[_in_map(frequent, first) & _in_map(frequent, last)]
+        of_words = hashes(number)[ids]
+        for k in (0, 1):
+            at = at[_in_map(frequent, _phrase_hashes(lang, of_words, at + k, size - 1))]
     if not len(at):
-        return
-    # Numbers of phrases: of one more word each time, made dense again.
-    kind = ids[at]
-    for k in range(1, size):
-        kind = np.unique(kind * len(number) + ids[at + k], return_inverse=True)[1]
-    kinds, index, kind = np.unique(kind, return_index=True, return_inverse=True)
-    totals = np.zeros(len(kinds), np.int64)
+        return None
+    weights = np.repeat(chunks.column("n").to_numpy(), np.diff(split.offsets.to_numpy()))
+    kind, kinds = ids[at], len(number)
+    for k in range(1, size):  # numbers of phrases, of one more word each time, made dense again
+        kind, found = pd.factorize(kind * len(number) + ids[at + k])
+        kinds = len(found)
+    totals = np.zeros(kinds, np.int64)
     np.add.at(totals, kind, weights[at])
-    texts = [b" ".join(words[k : k + size]) for k in at[index].tolist()]
-    columns = [pa.array([lang] * len(texts), pa.string()), pa.array(texts, pa.binary()), pa.array(totals)]
-    yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n"])
+    place = np.full(kinds, -1)
+    place[kind] = at
+    place, totals = place[place >= 0], totals[place >= 0]
+    phrases = _joined(words, place, np.full(len(place), size))
+    columns = [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(place), np.int64))), phrases, pa.array(totals)]
+    return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n"])
 
 
 def _phrase_hashes(lang: str, of_words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:

@@ -54,9 +54,6 @@ def mined(spark, docs):
 @pytest.mark.parametrize("seed", range(2))
 def test_phrases_equal_those_of_plain_counting(spark, monkeypatch, seed):
     monkeypatch.setattr(collocations, "LEAST_COUNT", 5)
-    monkeypatch.setattr(collocations, "MOST_WORDS", 20)
-    monkeypatch.setattr(collocations, "SLICE_WORDS", 300)
-    monkeypatch.setattr(collocations, "CHUNKS_KEPT", 30)
     rng = random.Random(seed)
     vocabulary = ["New", "york", "the", "Of", "é", "ÜBER", "日本", "x", "x1", "\x00", "a-b", "\x1c"]
     fixed = ["new york city hall", "of the x", "a-b a-b a-b"]
@@ -67,7 +64,7 @@ def test_phrases_equal_those_of_plain_counting(spark, monkeypatch, seed):
 
     docs = [(text(), rng.choice(["en", "fr", None, ""])) for _ in range(150)]
     docs += [docs[3]] * 40 + [(None, "en"), ("", None), ("...", "de"), ("one", "it"), (None, "es")]
-    docs += [("a " * 3_000, "en"), ("la le " * 1_000 + "x", "fr")]
+    docs += [("a " * 10_000, "en"), ("la le " * 1_000 + "x", "fr")]
     assert mined(spark, docs) == plain(docs, 5)
 
 
@@ -85,11 +82,13 @@ def test_no_documents(spark):
     assert mined(spark, [(None, None), ("", "en")]) == []
 
 
-def test_chunks_cover_every_phrase_once():
+def test_chunks_begin_in_every_text_and_not_in_its_last_words():
     rng = random.Random(2)
     for _ in range(50):
-        words = [rng.choice([b"a", b"b", b"c", b"."]) for _ in range(rng.randint(1, 400))]
-        words += [b"."] * collocations.OVERLAP
-        starts = collocations.chunk_starts(collocations._Hashes()(words))
-        assert starts[0] == 0 and (np.diff(starts) > 0).all()
-        assert starts[-1] < len(words) - collocations.OVERLAP
+        sizes = [rng.randint(1, 200) + collocations.OVERLAP for _ in range(rng.randint(1, 8))]
+        words = [rng.choice([b"a", b"b", b"c", b"."]) for _ in range(sum(sizes))]
+        begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        starts = collocations.chunk_starts(collocations._Hashes()(words), begins)
+        assert set(begins) <= set(starts.tolist()) and (np.diff(starts) > 0).all()
+        text = np.searchsorted(begins, starts, "right") - 1
+        assert (starts < (begins + sizes)[text] - collocations.OVERLAP).all()
