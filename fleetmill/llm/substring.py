@@ -92,12 +92,13 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def repeated_anchors(docs: DataFrame) -> DataFrame:
-    """``(d, tie, at)`` of every anchor that comes twice or more among all documents.
+    """``(d, tie, anchor, first, last)`` of every anchor that comes twice or more among all documents.
 
     Within a slice of documents an anchor that comes again needs no other's word for it: its places
-    go on as they are, and it is told to the others once.
+    go on as they are, and it is told to the others once. ``first`` and ``last`` are the windows of the
+    anchor, so nobody has to look for anchors again.
     """
-    schema = "route bigint, anchor bigint, d bigint, tie bigint, at int, known boolean"
+    schema = "route bigint, anchor bigint, d bigint, tie bigint, first int, last int, known boolean"
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors()
@@ -107,60 +108,63 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
             if not sum(sizes):
                 continue
             grams = np.concatenate([x[0] for x in found])
-            at = np.concatenate([x[1] for x in found]).astype(np.int32)
+            first, last = (np.concatenate([x[k] for x in found]).astype(np.int32) for k in (2, 3))
             ids, ties = (np.repeat(batch.column(k).to_numpy(), sizes) for k in ("d", "tie"))
             kinds, kind, counts = np.unique(grams, return_inverse=True, return_counts=True)
             again = counts[kind] > 1
             once, told = ~again, kinds[counts > 1].view(np.int64)
             # Known places are dealt evenly; one row without a place tells of each anchor.
-            spread = (ids[again] ^ ties[again]) * 31 + at[again]
+            spread = (ids[again] ^ ties[again]) * 31 + first[again]
+            own = grams.view(np.int64)
             columns = [
-                np.concatenate([grams[once].view(np.int64), spread, told]),
-                np.concatenate([grams[once].view(np.int64), np.zeros(len(spread), np.int64), told]),
+                np.concatenate([own[once], spread, told]),
+                np.concatenate([own[once], own[again], told]),
                 np.concatenate([ids[once], ids[again], np.zeros(len(told), np.int64)]),
                 np.concatenate([ties[once], ties[again], np.zeros(len(told), np.int64)]),
-                np.concatenate([at[once], at[again], np.full(len(told), -1, np.int32)]),
+                np.concatenate([first[once], first[again], np.full(len(told), -1, np.int32)]),
+                np.concatenate([last[once], last[again], np.full(len(told), -1, np.int32)]),
                 np.repeat([False, True, False], [once.sum(), len(spread), len(told)]),
             ]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in columns], ["route", "anchor", "d", "tie", "at", "known"]
+                [pa.array(x) for x in columns],
+                ["route", "anchor", "d", "tie", "first", "last", "known"],
             )
 
     rows = docs.select("d", "tie", "text").mapInArrow(take, schema).repartition("route")
-    rows = rows.sortWithinPartitions("known", "anchor").select("anchor", "d", "tie", "at", "known")
+    rows = rows.sortWithinPartitions("known", "anchor").drop("route")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Of rows in order, those that have the anchor of the row before or after. The last row of
         # a batch waits for the next batch.
         waiting = None
         for batch in batches:
-            own = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+            own = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
             before_last = None
             if waiting is not None:
                 before_last = waiting[1]
                 own = [np.concatenate([a, b]) for a, b in zip(waiting[0], own, strict=True)]
             if not len(own[0]):
                 continue
-            anchor, d, tie, at, known = own
+            anchor, d, tie, first, last, known = own
             same = (anchor[1:] == anchor[:-1]) & ~known[1:] & ~known[:-1]
             after = np.append(same, False)
             before = np.append(before_last is not None and bool(before_last), same)
             # A row that tells of an anchor counts as two.
-            found = (after | before | known) & (at >= 0)
+            found = (after | before | known) & (first >= 0)
             found[-1] = False
-            yield _places(d[found], tie[found], at[found])
+            yield _places(*(x[found] for x in (d, tie, anchor, first, last)))
             waiting = [x[-1:] for x in own], before[-1]
         if waiting is not None:
-            (_, d, tie, at, known), before = waiting
-            if at[0] >= 0 and (known[0] or before):
-                yield _places(d, tie, at)
+            (anchor, d, tie, first, last, known), before = waiting
+            if first[0] >= 0 and (known[0] or before):
+                yield _places(d, tie, anchor, first, last)
 
-    return rows.mapInArrow(pair, "d bigint, tie bigint, at int")
+    return rows.mapInArrow(pair, "d bigint, tie bigint, anchor bigint, first int, last int")
 
 
-def _places(d: np.ndarray, tie: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array(d), pa.array(tie), pa.array(at.astype(np.int32))]
-    return pa.RecordBatch.from_arrays(columns, ["d", "tie", "at"])
+def _places(*columns: np.ndarray) -> pa.RecordBatch:
+    names = ["d", "tie", "anchor", "first", "last"]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
 
 
 def segments(dealt: DataFrame) -> DataFrame:
@@ -170,14 +174,14 @@ def segments(dealt: DataFrame) -> DataFrame:
     """
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors, inflate = Anchors(), zstandard.ZstdDecompressor().decompress
+        inflate = zstandard.ZstdDecompressor().decompress
         for batch in slices(batches, "packed"):
             least: dict[bytes, tuple] = {}
-            texts = [inflate(x).split() for x in batch.column("packed").to_pylist()]
-            columns = [batch.column(k).to_pylist() for k in ("d", "tie", "places")] + [texts]
-            for d, tie, places, words, found in zip(*columns, anchors(texts), strict=True):
-                kept = np.isin(found[1], np.array(places, np.int64))
-                for anchor, first, last in zip(*(x[kept].tolist() for x in (found[0].view(np.int64), *found[2:])), strict=True):
+            columns = [batch.column(k).to_pylist() for k in ("d", "tie", "packed")]
+            lists = batch.column("places")
+            for k, (d, tie, packed) in enumerate(zip(*columns, strict=True)):
+                words, places = inflate(packed).split(), lists[k].values.flatten()
+                for anchor, first, last in zip(*(x.to_pylist() for x in places), strict=True):
                     segment = b" ".join(words[first : last + WINDOW])
                     if segment not in least or least[segment][1:] > (d, tie, first):
                         least[segment] = anchor, d, tie, first
@@ -321,12 +325,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     added = ["kept_words", "n_words", "n_removed"]
     own = docs.select(*(c for c in docs.columns if c not in added))
-    own, again = _with_keys(own)
+    own, repeated = _with_keys(own)
     key = ["d", "tie"]
     # Equal rows of an id say the same: each place is kept once, however many they are.
-    collect = F.collect_set if again else F.collect_list
+    collect = F.collect_set if repeated else F.collect_list
     places = written(repeated_anchors(own), "anchors")
-    grouped = places.groupBy(*key).agg(collect("at").alias("places"))
+    grouped = places.groupBy(*key).agg(collect(F.struct("anchor", "first", "last")).alias("places"))
     found = written(segments(_packed(own.select(*key, "text")).join(grouped, key)), "segments")
     total = found.count()
     # A segment has about 27 words.
@@ -335,8 +339,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     dealt = without_heavy(found, total).repartition(shards, "anchor")
     firsts = written(first_windows(dealt), "first_windows")
     drop_written(found)
-    told = places.select(*key, F.col("at").alias("begin"), F.lit(-1).alias("end")).union(firsts)
-    told = told.groupBy(*key).agg(collect(F.struct("begin", "end")).alias("told"))
+    # Windows of repeated anchors go, but for those that are the first of their kind.
+    again = places.select(*key, F.col("first").alias("begin"), (F.col("last") + 1).alias("end"))
+    told = again.withColumn("stays", F.lit(False)).union(firsts.withColumn("stays", F.lit(True)))
+    told = told.groupBy(*key).agg(collect(F.struct("begin", "end", "stays")).alias("told"))
     return _without(_packed(own).join(told, key, "left").drop(*key), docs)
 
 
@@ -348,15 +354,15 @@ def _without(joined: DataFrame, docs: DataFrame) -> DataFrame:
     schema += ", " + ", ".join(f"{n} {t}" for n, t in added.items())
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors, inflate = Anchors(), zstandard.ZstdDecompressor().decompress
+        inflate = zstandard.ZstdDecompressor().decompress
         for batch in slices(batches, "packed"):
             packed = [inflate(x) for x in batch.column("packed").to_pylist()]
             words = [x.split() for x in packed]
             texts, kept_words, removed = [], [], []
-            told = batch.column("told").to_pylist()
+            told = batch.column("told")
             for text, own, says in zip(packed, words, told, strict=True):
-                if says:
-                    gone = _gone(len(own), says, anchors([own])[0])
+                if says.is_valid:
+                    gone = _gone(len(own), *(x.to_numpy(zero_copy_only=False) for x in says.values.flatten()))
                     removed.append(int(gone.sum()))
                     own = [w for w, g in zip(own, gone.tolist(), strict=True) if not g]
                 else:
@@ -376,14 +382,9 @@ def _without(joined: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(remove, schema)
 
 
-def _gone(n: int, told: list[dict], found: tuple[np.ndarray, ...]) -> np.ndarray:
-    """Words covered by windows of repeated anchors that are not the first of their kind."""
-    _, at, first, last = found
-    says = np.array([(x["begin"], x["end"]) for x in told], np.int64)
-    repeated = np.isin(at, says[says[:, 1] < 0, 0])
-    again = _covered(n, first[repeated], last[repeated] + 1)
-    firsts = says[says[:, 1] >= 0]
-    again &= ~_covered(n, firsts[:, 0], firsts[:, 1])
+def _gone(n: int, begin: np.ndarray, end: np.ndarray, stays: np.ndarray) -> np.ndarray:
+    """Words covered by runs of windows, but for the windows of runs that stay."""
+    again = _covered(n, begin[~stays], end[~stays]) & ~_covered(n, begin[stays], end[stays])
     starts = np.flatnonzero(again)
     return _covered(n, starts, starts + WINDOW)
 
