@@ -34,8 +34,9 @@ from fleetmill.session import scratch_path
 from fleetmill.sources import catalog as catalogs
 from fleetmill.sources import changes, inventory
 from fleetmill.sources import datums as datum_sink
+from fleetmill.sources.keyed_store import KeyedStore
 from fleetmill.streaming import reports as stream_reports
-from fleetmill.streaming.streaks import stream_failure_streaks
+from fleetmill.streaming.streaks import stored_counters, stream_failure_streaks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -228,37 +229,78 @@ def changed_counters(t: Inputs) -> DataFrame:
     )
 
 
-@check(
-    "s6_upsert_by_key",
-    f"""WITH changed AS ({CHANGED_COUNTERS})
+UPSERTED = f"""WITH changed AS ({CHANGED_COUNTERS})
         SELECT * FROM changed
         UNION ALL SELECT * FROM {{fx_counters}}
-        WHERE pipeline_id NOT IN (SELECT pipeline_id FROM changed)""",
-)
+        WHERE pipeline_id NOT IN (SELECT pipeline_id FROM changed)"""
+
+
+@check("s6_upsert_by_key", UPSERTED)
 def _(t: Inputs) -> DataFrame:
     return changes.upsert_by_key(t["fx_counters"], changed_counters(t), ["pipeline_id"])
 
 
-@check(
-    "s7_update_where",
-    """SELECT p.id, p.name, p.is_active,
+DELETED = """
+    SELECT * FROM {fx_counters} WHERE pipeline_id NOT IN (
+        SELECT pipeline_id FROM {fx_attempts}
+        WHERE ok AND attempt_time > TIMESTAMP '2024-01-29 00:00:00')"""
+
+
+def late_successes(t: Inputs) -> DataFrame:
+    late = F.col("attempt_time") > ts("2024-01-29 00:00:00")
+    return t["fx_attempts"].where(F.col("ok") & late).select("pipeline_id").distinct()
+
+
+UPDATED = """SELECT p.id, p.name, p.is_active,
               CASE WHEN c.pipeline_id IS NOT NULL THEN NULL ELSE p.end_time END AS end_time,
               CASE WHEN c.pipeline_id IS NOT NULL THEN c.updated_at ELSE p.next_run_time END
                   AS next_run_time
-       FROM {fx_pipelines} p LEFT JOIN {fx_counters} c ON c.pipeline_id = p.id""",
-)
-def _(t: Inputs) -> DataFrame:
-    given = t["fx_counters"].select(
+       FROM {fx_pipelines} p LEFT JOIN {fx_counters} c ON c.pipeline_id = p.id"""
+
+
+def given_times(t: Inputs) -> DataFrame:
+    return t["fx_counters"].select(
         F.col("pipeline_id").alias("id"),
         F.lit(None).cast("timestamp_ntz").alias("end_time"),
         F.col("updated_at").alias("next_run_time"),
     )
+
+
+@check("s7_update_where", UPDATED)
+def _(t: Inputs) -> DataFrame:
     updated = changes.update_where(
-        t["fx_pipelines"], given, ["id"], ["end_time", "next_run_time"]
+        t["fx_pipelines"], given_times(t), ["id"], ["end_time", "next_run_time"]
     )
     return updated.select("id", "name", "is_active", "end_time", "next_run_time")
 
 
+def stored(t: Inputs, view: str, key: str) -> KeyedStore:
+    """``view`` as a stored table in key buckets."""
+    store = KeyedStore(t.spark, scratch_path(t.spark, view), (key,), 8, t[view].schema)
+    return store.create(t[view])
+
+
+@check("s6_stored_upsert", UPSERTED)
+def _(t: Inputs) -> DataFrame:
+    store = stored(t, "fx_counters", "pipeline_id")
+    store.upsert(changed_counters(t))
+    return store.load()
+
+
+@check("s7_stored_update", UPDATED)
+def _(t: Inputs) -> DataFrame:
+    store = stored(t, "fx_pipelines", "id")
+    store.update(given_times(t), ["end_time", "next_run_time"])
+    return store.load().select("id", "name", "is_active", "end_time", "next_run_time")
+
+
+@check("s8_stored_delete", DELETED)
+def _(t: Inputs) -> DataFrame:
+    store = stored(t, "fx_counters", "pipeline_id")
+    store.delete(late_successes(t))
+    return store.load()
+
+
 @check(
     "s7_updated_count",
     """SELECT count(*) AS updated_rows FROM {fx_pipelines}
@@ -269,15 +311,9 @@ def _(t: Inputs) -> DataFrame:
     return changes.updated_count(t["fx_pipelines"], given, ["id"])
 
 
-@check(
-    "s8_delete_where",
-    """SELECT * FROM {fx_counters} WHERE pipeline_id NOT IN (
-           SELECT pipeline_id FROM {fx_attempts} WHERE ok AND attempt_time >
-               TIMESTAMP '2024-01-29 00:00:00')""",
-)
+@check("s8_delete_where", DELETED)
 def _(t: Inputs) -> DataFrame:
-    late = t["fx_attempts"].where(F.col("ok") & (F.col("attempt_time") > ts("2024-01-29 00:00:00")))
-    return changes.delete_where(t["fx_counters"], late, ["pipeline_id"])
+    return changes.delete_where(t["fx_counters"], late_successes(t), ["pipeline_id"])
 
 
 # --- constraints ---------------------------------------------------------------------------
@@ -1889,8 +1925,14 @@ def event_stream(t: Inputs, view: str, events: DataFrame | None = None) -> DataF
     return t.spark.sql(text, events=events)
 
 
-@check("st1_stream_failure_streaks", STREAKS)
-def _(t: Inputs) -> DataFrame:
+def finish_stream(results: DataFrame, path: str) -> None:
+    writer = stream_reports.append_to(f"{path}/out", results)
+    writer.option("checkpointLocation", f"{path}/log").trigger(
+        availableNow=True
+    ).start().awaitTermination()
+
+
+def streamed_streaks(t: Inputs) -> tuple[DataFrame, str]:
     """The events come in three parts in time order; the stream is started again for each."""
     path = scratch_path(t.spark, "streaks")
     events = t["events"]
@@ -1899,21 +1941,33 @@ def _(t: Inputs) -> DataFrame:
     for part in (at <= low, (at > low) & (at <= high), at.isNull() | (at > high)):
         events.where(part).write.mode("append").parquet(f"{path}/in")
         fed = t.spark.readStream.schema(events.schema).parquet(f"{path}/in")
-        writer = stream_failure_streaks(
-            event_stream(t, "fx_attempts", fed), t["fx_counters"], f"{path}/out", f"{path}/state"
-        )
-        writer.option("checkpointLocation", f"{path}/log").trigger(
-            availableNow=True
-        ).start().awaitTermination()
-    return t.spark.read.parquet(f"{path}/out").drop("batch")
+        streaks_of = stream_failure_streaks(event_stream(t, "fx_attempts", fed), t["fx_counters"])
+        finish_stream(streaks_of, path)
+    return t.spark.read.schema(streaks_of.schema).parquet(f"{path}/out"), path
+
+
+@check("st1_stream_failure_streaks", STREAKS)
+def _(t: Inputs) -> DataFrame:
+    return streamed_streaks(t)[0]
+
+
+@check(
+    "st1_stored_counters",
+    f"""WITH streaks AS ({STREAKS}), ended AS (SELECT pipeline_id,
+            arg_max(counter, ROW(attempt_time, attempt_id)) AS failure_count,
+            max(attempt_time) AS updated_at FROM streaks GROUP BY pipeline_id)
+        SELECT pipeline_id, failure_count, updated_at FROM ended WHERE failure_count > 0
+        UNION ALL SELECT pipeline_id, failure_count, updated_at FROM {{fx_counters}}
+        WHERE failure_count > 0 AND pipeline_id NOT IN (SELECT pipeline_id FROM ended)""",
+)
+def _(t: Inputs) -> DataFrame:
+    """What the stream's own state says after its last batch."""
+    return stored_counters(t.spark, f"{streamed_streaks(t)[1]}/log")
 
 
 def run_stream(t: Inputs, results: DataFrame) -> DataFrame:
     path = scratch_path(t.spark, "reports")
-    writer = stream_reports.append_to(f"{path}/out", results)
-    writer.option("checkpointLocation", f"{path}/log").trigger(
-        availableNow=True
-    ).start().awaitTermination()
+    finish_stream(results, path)
     return t.spark.read.schema(results.schema).parquet(f"{path}/out")
 
 

@@ -1,48 +1,129 @@
-"""ST1: failure streaks over a stream of attempts."""
+"""ST1: failure streaks over a stream of attempts, with a counter per pipeline as keyed state."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import DataStreamWriter
+from collections.abc import Iterator
 
-from fleetmill.operators.ordered import HEAVY_GROUP_ROWS
-from fleetmill.operators.streaks import MAX_FAILURES, failure_streaks, final_counters
-from fleetmill.session import remove_folder
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from fleetmill.operators.streaks import CLEARED, DEACTIVATED, FAILED, MAX_FAILURES
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+_COUNTER, _NO_PIPELINE = "counter", "none"
+_STATE = "failure_count int, updated_at timestamp_ntz"
+_RESULT = (
+    "attempt_id bigint, pipeline string, attempt_time timestamp_ntz, ok boolean, log string, "
+    "failure_number bigint, counter int, event string"
+)
+
+
+class StreakCounter(StatefulProcessor):
+    """Replays the attempts of one pipeline in a micro-batch on top of its stored counter.
+
+    The state is there only while failures are open: a success removes it.
+    """
+
+    def __init__(self, max_failures: int, idle_ms: int | None):
+        self._most, self._idle_ms = max_failures, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._counter = handle.getValueState(_COUNTER, _STATE, self._idle_ms)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        for count, updated in zip(
+            initialState["failure_count"], initialState["updated_at"], strict=True
+        ):
+            self._counter.update((int(count), updated))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # A micro-batch's attempts of one pipeline; the source's options bound a micro-batch.
+        attempts = pd.concat(list(rows)).sort_values(["attempt_time", "attempt_id"])
+        before = self._counter.get()
+        ok = attempts["ok"].eq(True).to_numpy(bool, na_value=False)
+        fails = np.cumsum(~ok)
+        # Failures so far at the last success, or minus the stored ones where none came yet.
+        start = np.maximum.accumulate(np.where(ok, fails, -before[0] if before else 0))
+        number = np.minimum(fails - start, self._most + 1)
+        counter = np.where(ok, 0, np.minimum(number, self._most))
+        yield pd.DataFrame(
+            {
+                "attempt_id": attempts["attempt_id"].array,
+                "pipeline": key[0],
+                "attempt_time": attempts["attempt_time"].array,
+                "ok": ok,
+                "log": attempts["log"].array,
+                "failure_number": pd.array(np.where(ok, 0, number), "Int64"),
+                "counter": counter.astype(np.int32),
+                "event": np.where(ok, CLEARED, np.where(number > self._most, DEACTIVATED, FAILED)),
+            }
+        )
+        if counter[-1]:
+            updated = attempts["attempt_time"].iloc[-1].to_pydatetime()
+            self._counter.update((int(counter[-1]), updated))
+        else:
+            self._counter.clear()
+
+    def close(self) -> None:
+        pass
 
 
 def stream_failure_streaks(
     attempts: DataFrame,
     counters: DataFrame,
-    output: str,
-    state: str,
     max_failures: int = MAX_FAILURES,
-    heavy_rows: int = HEAVY_GROUP_ROWS,
-) -> DataStreamWriter:
-    """Replays each micro-batch with the batch operator and carries the counter table over.
-
-    What a batch starts from is the counter table the one before left in ``state``, the first one
-    starts from ``counters``. Only pipelines with open failures are in that table. Both results
-    of a batch go to folders named after it and replace what an earlier try left, so a batch that
-    is run again after a failure changes nothing twice. The counter tables of the last two batches
-    stay, older ones are removed.
-
-    Attempts are taken in the order of their time within a batch and in arrival order across
-    batches. The caller sets checkpoint location and trigger and starts the writer.
+    idle: int | None = None,
+) -> DataFrame:
+    """W4 over a stream: each attempt with its place in a run of failures and what follows.
+
+    The counter of a pipeline is keyed state. ``counters`` is what the first start begins with; from
+    then on the stream's own checkpoint has the counters, a restart goes on from it, and a micro-batch
+    reads and writes only the pipelines that are in it. ``idle`` is the number of seconds after which
+    a counter that no attempt touched is forgotten; by default none is.
+
+    Attempts are taken in the order of their time, then their number, within a micro-batch and in
+    arrival order across them. Attempts without a pipeline have a counter of their own. The state is
+    kept in RocksDB, which this switches the session to: state grows with the pipelines that have
+    open failures, and does not fit the default store's memory for a large fleet.
     """
     spark = attempts.sparkSession
-    columns = counters.columns
-
-    def take(batch: DataFrame, epoch: int) -> None:
-        before = counters
-        if epoch > 0:
-            before = spark.read.schema(counters.schema).parquet(f"{state}/batch-{epoch - 1}")
-        replayed = failure_streaks(batch, before.select(*columns), max_failures, heavy_rows)
-        target = f"{output}/batch={epoch}"
-        replayed.write.mode("overwrite").parquet(target)
-        stored = spark.read.schema(replayed.schema).parquet(target)
-        after = final_counters(stored, before).select(*columns)
-        after.write.mode("overwrite").parquet(f"{state}/batch-{epoch}")
-        if epoch > 1:
-            remove_folder(spark, f"{state}/batch-{epoch - 2}")
-
-    return attempts.writeStream.foreachBatch(take)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    # As text: a number column with nulls would come to Python as floating point.
+    pipeline = F.coalesce(F.col("pipeline_id").cast("string"), F.lit(_NO_PIPELINE)).alias("pipeline")
+    known = counters.select(pipeline, "failure_count", "updated_at").where("failure_count > 0")
+    streaks = (
+        attempts.select(pipeline, "attempt_id", "attempt_time", "ok", "log")
+        .groupBy("pipeline")
+        .transformWithStateInPandas(
+            StreakCounter(max_failures, None if idle is None else idle * 1000),
+            outputStructType=_RESULT,
+            outputMode="Append",
+            timeMode="None" if idle is None else "ProcessingTime",
+            initialState=known.groupBy("pipeline"),
+        )
+    )
+    return streaks.select(
+        "attempt_id",
+        F.col("pipeline").try_cast("bigint").alias("pipeline_id"),
+        "attempt_time",
+        "ok",
+        "log",
+        F.when(~F.col("ok"), F.col("failure_number")).alias("failure_number"),
+        "counter",
+        "event",
+    )
+
+
+def stored_counters(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The counter table as of the last finished micro-batch of the stream with this checkpoint."""
+    state = spark.read.format("statestore").option("stateVarName", _COUNTER).load(checkpoint)
+    return state.select(
+        F.col("key.pipeline").try_cast("bigint").alias("pipeline_id"),
+        F.col("value.failure_count").alias("failure_count"),
+        F.col("value.updated_at").alias("updated_at"),
+    )

@@ -1,13 +1,12 @@
 """Streams give what their batch operators give, over several micro-batches and after a restart."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
-import pytest
-
 from fleetmill.operators import streaks
 from fleetmill.streaming.reports import append_to, stream_counter_deltas, stream_metric_report
-from fleetmill.streaming.streaks import stream_failure_streaks
+from fleetmill.streaming.streaks import stored_counters, stream_failure_streaks
 
 T0 = datetime(2024, 1, 1)
 ATTEMPTS = (
@@ -33,38 +32,70 @@ def finish(writer, log):
     writer.option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
 
 
-@pytest.mark.parametrize("heavy_rows", [10**9, 30])
-def test_streaks_carry_over_batches_and_restarts(spark, tmp_path, heavy_rows):
+def test_streaks_carry_over_batches_and_restarts(spark, tmp_path):
     rng = random.Random(1)
     rows = [
-        (i, 5 if rng.random() < 0.4 else rng.randrange(20), T0 + timedelta(minutes=i),
-         rng.random() < 0.3, "log")
+        (i, 5 if rng.random() < 0.4 else rng.choice([*range(20), None]), T0 + timedelta(minutes=i),
+         rng.choice([True, False, False, None]), rng.choice(["log", None]))
         for i in range(400)
     ]
-    counters = spark.createDataFrame([(5, 2, T0), (77, 1, T0)], COUNTERS)
-    fed, out, state, log = (str(tmp_path / n) for n in ("in", "out", "state", "log"))
+    counters = spark.createDataFrame([(5, 2, T0), (77, 1, T0), (78, 0, T0)], COUNTERS)
+    fed, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))
 
     def go():
-        writer = stream_failure_streaks(
-            source(spark, fed, ATTEMPTS), counters, out, state, heavy_rows=heavy_rows
-        )
-        finish(writer, log)
+        streamed = stream_failure_streaks(source(spark, fed, ATTEMPTS), counters)
+        finish(append_to(out, streamed), log)
 
     feed(spark, rows[:250], ATTEMPTS, fed, 3)
     go()
     feed(spark, rows[250:], ATTEMPTS, fed, 2)
     go()
     batch = streaks.failure_streaks(spark.createDataFrame(rows, ATTEMPTS), counters)
+    named = batch.where("pipeline_id is not null")
     streamed = spark.read.parquet(out)
-    assert streamed.select("batch").distinct().count() == 5
-    assert sorted(map(tuple, streamed.drop("batch").collect()), key=str) == sorted(
+    assert dict(streamed.dtypes) == dict(batch.dtypes)
+    assert sorted(map(tuple, streamed.select(batch.columns).collect()), key=str) == sorted(
         map(tuple, batch.collect()), key=str
     )
-    left = {r.pipeline_id: r.failure_count
-            for r in streaks.final_counters(batch, counters).collect()}
-    last = spark.read.schema(counters.schema).parquet(f"{state}/batch-4").collect()
-    assert {r.pipeline_id: r.failure_count for r in last} == left
-    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["batch-3", "batch-4"]
+    ended = streaks.final_counters(named, counters).where("failure_count > 0")
+    kept = stored_counters(spark, log).where("pipeline_id is not null")
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, ended.collect()))
+
+
+def test_a_batch_touches_only_the_counters_of_its_pipelines(spark, tmp_path):
+    counters = spark.createDataFrame([(k, 1, T0) for k in range(500)], COUNTERS)
+    fed, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    written = []
+    for batch in range(3):
+        feed(spark, [(batch, 3, T0, False, "x")], ATTEMPTS, fed, 1)
+        streamed = stream_failure_streaks(source(spark, fed, ATTEMPTS), counters)
+        query = append_to(out, streamed).option("checkpointLocation", log)
+        query = query.trigger(availableNow=True).start()
+        query.awaitTermination()
+        written.append(query.lastProgress["stateOperators"][0]["numRowsUpdated"])
+    assert written[0] >= 500 and written[1:] == [1, 1]
+    assert stored_counters(spark, log).count() == 500
+
+
+def test_idle_counters_are_forgotten(spark, tmp_path):
+    counters = spark.createDataFrame([], COUNTERS)
+    fed, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    spark.createDataFrame([], ATTEMPTS).write.parquet(fed)
+    streamed = stream_failure_streaks(source(spark, fed, ATTEMPTS), counters, idle=2)
+    writer = append_to(out, streamed).option("checkpointLocation", log)
+    # Time-to-live goes by the clock, so this stream does not end by itself.
+    query = writer.trigger(processingTime="200 milliseconds").start()
+    try:
+        for batch in range(2):
+            feed(spark, [(batch, 3, T0, False, "x")], ATTEMPTS, fed, 1)
+            for _ in range(150):
+                if spark.read.schema(streamed.schema).parquet(out).count() > batch:
+                    break
+                time.sleep(0.2)
+            time.sleep(3)
+    finally:
+        query.stop()
+    assert [r.failure_number for r in spark.read.parquet(out).collect()] == [1, 1]
 
 
 def test_reports_per_interval_drop_late_samples(spark, tmp_path, zone):
