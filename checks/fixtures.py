@@ -113,6 +113,10 @@ VIEWS = {
     "fx_periods": """
         SELECT p_partkey AS id,
                concat(CASE WHEN p_size = 7 THEN '' WHEN p_size = 8 THEN '-2'
+                           WHEN p_size = 9 THEN '10000' WHEN p_size = 10 THEN '2000000'
+                           WHEN p_size = 11 THEN '0100000000' WHEN p_size = 12 THEN '3360000'
+                           WHEN p_size = 13 THEN '3360001' WHEN p_size = 14 THEN '9999999999999999'
+                           WHEN p_size = 15 THEN '99999999999999999999'
                            ELSE CAST(p_size % 20 AS VARCHAR(9)) END, ' ',
                       CASE p_partkey % 8 WHEN 0 THEN 'year' WHEN 1 THEN 'months' WHEN 2 THEN 'week'
                            WHEN 3 THEN 'days' WHEN 4 THEN 'hour' WHEN 5 THEN 'Minutes'

@@ -936,18 +936,21 @@ def _(t: Inputs) -> DataFrame:
     r"""WITH parts AS (
             SELECT id, period,
                    TRY_CAST(regexp_extract(lower(period),
-                       '^ *(\d+) +(year|month|week|day|hour|minute)s? *$', 1) AS BIGINT) AS n,
+                       '^ *(\d+) +(year|month|week|day|hour|minute)s? *$', 1) AS HUGEINT) AS n,
                    regexp_extract(lower(period),
                        '^ *(\d+) +(year|month|week|day|hour|minute)s? *$', 2) AS unit
             FROM {fx_periods})
-        SELECT id, period,
-               CAST(CASE WHEN n > 0 THEN CASE unit WHEN 'year' THEN n * 12 WHEN 'month' THEN n END
-                    END AS INT) AS period_months,
-               CASE WHEN n > 0 THEN CASE unit WHEN 'week' THEN n * 604800000000
-                    WHEN 'day' THEN n * 86400000000 WHEN 'hour' THEN n * 3600000000
-                    WHEN 'minute' THEN n * 60000000 END END AS period_micros,
-               COALESCE(n > 0 AND unit <> '', FALSE) AS usable
-        FROM parts""",
+        SELECT id, period, CAST(months AS INT) AS period_months,
+               CAST(micros AS BIGINT) AS period_micros,
+               months IS NOT NULL OR micros IS NOT NULL AS usable
+        FROM (SELECT id, period, CASE WHEN m <= 3360000 THEN m END AS months,
+                     CASE WHEN u <= 280000 * 365 * 86400000000::HUGEINT THEN u END AS micros
+              FROM (SELECT *, CASE WHEN n > 0 THEN CASE unit WHEN 'year' THEN n * 12
+                               WHEN 'month' THEN n END END AS m,
+                           CASE WHEN n > 0 THEN CASE unit WHEN 'week' THEN n * 604800000000
+                               WHEN 'day' THEN n * 86400000000 WHEN 'hour' THEN n * 3600000000
+                               WHEN 'minute' THEN n * 60000000 END END AS u
+                    FROM parts))""",
 )
 def _(t: Inputs) -> DataFrame:
     usable, rejected = schedule.parse_periods(t["fx_periods"])
@@ -1844,6 +1847,10 @@ CYCLE = f"""
         SELECT 'scheduler_metrics', '{TICK_END}', CAST(count(*) AS VARCHAR) FROM due""",
 )
 def _(t: Inputs) -> DataFrame:
+    return described(cycled(t, t.catalog()).catalog)
+
+
+def cycled(t: Inputs, catalog: dict[str, DataFrame]) -> cycle.Cycle:
     named = schedule.deployment_names(t["fx_pipelines"], ts(TICK_END), PREFIX).where(
         "jar <> 's3://jars/furniture.jar'"
     )
@@ -1861,8 +1868,8 @@ def _(t: Inputs) -> DataFrame:
         F.lit("RUNNING").alias("pipeline_state"),
         F.lit(None).cast("string").alias("creation_time"),
     )
-    done = cycle.hourly_cycle(
-        t.catalog(),
+    return cycle.hourly_cycle(
+        catalog,
         ts(TICK_START),
         ts(TICK_END),
         ts(TICK_END),
@@ -1873,7 +1880,26 @@ def _(t: Inputs) -> DataFrame:
         t["fx_status"].unionByName(came_up),
         max_pipelines=None,
     )
-    return described(done.catalog)
+
+
+# Some periods are no use, and some of the run log's pipelines are no longer there.
+LOST_WHEN = "retention = 2 AND next_run_time IS NULL"
+BAD_PERIOD = "retention = 3 AND owner IS NULL"
+
+
+@check(
+    "c9_cycle_unhandled",
+    f"""SELECT 'rejected_launch' AS reason, CAST(id AS VARCHAR) AS row_key FROM {{fx_pipelines}}
+        WHERE {DUE} AND {BAD_PERIOD}
+        UNION ALL
+        SELECT 'quarantined_run', aws_id FROM {{fx_runs}} WHERE in_console AND pipeline_id IN (
+            SELECT id FROM {{fx_pipelines}} WHERE {LOST_WHEN})""",
+)
+def _(t: Inputs) -> DataFrame:
+    bad = F.when(F.expr(BAD_PERIOD), "3 moons").otherwise(F.col("period"))
+    kept = t["fx_pipelines"].where(F.coalesce(~F.expr(LOST_WHEN), F.lit(True)))
+    done = cycled(t, {**t.catalog(), "pipelines": kept.withColumn("period", bad)})
+    return done.unhandled
 
 
 def report_columns(df: DataFrame) -> DataFrame:

@@ -122,35 +122,36 @@ def parse_local(text: Column) -> Column:
     return F.when(iso, text).try_cast("timestamp_ntz")
 
 
-# A positive number of at most so many digits that the period stays in the timestamp range.
-USABLE_PERIOD = (
-    r"^ *0*[1-9](\d{0,3} +year|\d{0,5} +month|\d{0,5} +week|\d{0,6} +day|\d{0,7} +hour"
-    r"|\d{0,9} +minute)s? *$"
-)
+# A step from any year of four digits stays in the timestamp range, which ends in the year 294247.
+MAX_MONTHS = 280_000 * 12
+MAX_MICROS = 280_000 * 365 * MICROS_PER_DAY
+
+_PERIOD = rf"^ *(\d+) +({'|'.join([*UNIT_MONTHS, *UNIT_MICROS])})s? *$"
 
 
 def is_usable_period(text: Column) -> Column:
-    """True for an ``N unit`` or ``N units`` text with a positive N."""
-    return F.lower(text).rlike(USABLE_PERIOD)
+    """True for an ``N unit`` or ``N units`` text with a positive N that steps stay in range with."""
+    return F.coalesce(period_months(text), period_micros(text)).isNotNull()
 
 
 def period_months(text: Column) -> Column:
     """Months of an ``N unit`` text, null for fixed-length or unusable ones."""
-    return _period(text, UNIT_MONTHS).cast("int")
+    return _period(text, UNIT_MONTHS, MAX_MONTHS).cast("int")
 
 
 def period_micros(text: Column) -> Column:
     """Microseconds of an ``N unit`` text, null for calendar or unusable ones."""
-    return _period(text, UNIT_MICROS)
+    return _period(text, UNIT_MICROS, MAX_MICROS)
 
 
-def _period(text: Column, units: dict[str, int]) -> Column:
-    amount = F.regexp_extract(text, r"\d+", 0).cast("bigint")
-    size = F.lit(None).cast("bigint")
-    for name, worth in units.items():
-        named = F.contains(F.lower(text), F.lit(name))
-        size = F.when(named, F.lit(worth).cast("bigint")).otherwise(size)
-    return F.when(is_usable_period(text), amount * size)
+def _period(text: Column, units: dict[str, int], most: int) -> Column:
+    amount = F.regexp_extract(F.lower(text), _PERIOD, 1).try_cast("bigint")
+    unit = F.regexp_extract(F.lower(text), _PERIOD, 2)
+    worth = F.lit(None).cast("bigint")
+    for name, size in units.items():
+        worth = F.when(unit == name, F.lit(size).cast("bigint")).otherwise(worth)
+    length = F.try_multiply(amount, worth)
+    return F.when((amount > 0) & (length <= most), length)
 
 
 def _month_number(ts: Column) -> Column:

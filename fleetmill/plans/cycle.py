@@ -17,12 +17,18 @@ from fleetmill.sources.changes import append_rows
 
 @dataclass(frozen=True)
 class Cycle:
-    """The catalog after the cycle and what the cycle did."""
+    """The catalog after the cycle, what the cycle did, and what it could not handle.
+
+    ``unhandled (reason, row_key)``: due pipelines whose period is no use (``rejected_launch``, the
+    pipeline's id), attempts without a pipeline (``rejected_attempt``, the attempt's id), and runs that
+    the clean-up cannot judge (``quarantined_run``, the run's id).
+    """
 
     catalog: Catalog
     launches: DataFrame
     events: DataFrame
     actions: DataFrame
+    unhandled: DataFrame
 
 
 def launch_attempts(launches: DataFrame, results: DataFrame, missing: DataFrame) -> DataFrame:
@@ -75,9 +81,17 @@ def hourly_cycle(
     dispatched = apply_dispatch_results(catalog, attempts, materialize(new_runs), tick_end, now)
     cleaned = cleanup_existing(dispatched.catalog, status, now)
     metrics = append_rows(cleaned.catalog["scheduler_metrics"], tick.metrics)
+    unhandled = _told(tick.rejected, "rejected_launch", "id")
+    unhandled = unhandled.union(_told(dispatched.rejected, "rejected_attempt", "attempt_id"))
+    unhandled = unhandled.union(_told(cleaned.quarantined, "quarantined_run", "aws_id"))
     return Cycle(
         {**cleaned.catalog, "scheduler_metrics": metrics},
         launches,
         dispatched.events,
         cleaned.actions,
+        unhandled,
     )
+
+
+def _told(rows: DataFrame, reason: str, key: str) -> DataFrame:
+    return rows.select(F.lit(reason).alias("reason"), F.col(key).cast("string").alias("row_key"))

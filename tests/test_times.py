@@ -119,6 +119,11 @@ def test_against_stepping_one_by_one(spark):
         (" 03  days ", None, 3 * times.MICROS_PER_DAY),
         ("12 hours", None, 12 * times.MICROS_PER_HOUR),
         ("90 minutes", None, 5400 * 10**6),
+        ("10000 years", 120_000, None),
+        ("280001 years", None, None),
+        ("2000000 weeks", None, 14_000_000 * times.MICROS_PER_DAY),
+        ("100000000 hours", None, 10**8 * times.MICROS_PER_HOUR),
+        ("9999999999999 minutes", None, None),
         ("0 days", None, None),
         ("00 minutes", None, None),
         ("-1 day", None, None),
@@ -141,6 +146,21 @@ def test_period_texts(spark, text, months, micros):
         assert rejected.first() is None
 
 
+def test_steps_of_very_long_periods(spark):
+    start, until = datetime(2001, 1, 31), datetime(9999, 12, 31)
+    texts = ["280000 years", "10000 years", "14000000 weeks", "100000000 days", "2000000000 hours"]
+    df = spark.createDataFrame([(x, start) for x in texts], "period string, s timestamp_ntz")
+    usable, rejected = schedule.parse_periods(df)
+    assert rejected.isEmpty()
+    stepped = schedule.advance_next_run(
+        schedule.run_counts(usable, "s", F.lit(until).cast("timestamp_ntz")),
+        "s",
+        F.lit(until).cast("timestamp_ntz"),
+    )
+    for row in stepped.select("run_count", F.year("advanced").alias("year")).collect():
+        assert row.run_count == 1 and row.year > 9999
+
+
 def test_expand_runs_in_chunks(spark):
     plan = spark.createDataFrame(
         [
