@@ -1,14 +1,18 @@
 """Quality rules and robust multivariate outliers (operator 7).
 
 Statistics of a document are made where it is read. Per language and source, a minimum-covariance-
-determinant estimate is found by concentration steps over all documents: from medians and median
-absolute deviations, take the half that lies nearest, take mean and covariance of that half, and
-again until they stand still. The documents within the cut-off give the estimate by which a document
-is rejected for its Mahalanobis distance. Documents of small groups are judged by an estimate of their
-language, those of small languages by one of all documents.
+determinant estimate is found by concentration steps over all documents: take the half that lies
+nearest, take mean and covariance of that half, and again until the determinant of the covariance no
+longer falls. A group takes several starts, made of a small part of it, and keeps the end with the least
+determinant; a group that is through takes no further part. The distances are then brought to the scale
+of the group's own median, documents within a chi-squared quantile of it give the last mean and
+covariance, and documents far beyond that are rejected. Documents of small groups are judged by an
+estimate of their language, those of small languages by one of all documents.
 
 Only sums per group leave a task: counts, sums and products of the statistics, and counts of
-distances by bin. So a group with most documents costs no more than the others.
+distances by bin. So a group with most documents costs no more than the others. Distances that agree
+to one part in 4,096 count as ties, and the tied documents at the edge of the half share what is left
+of it, each with the same weight, so that the half is exact and does not depend on the order of rows.
 """
 
 from __future__ import annotations
@@ -29,11 +33,18 @@ from fleetmill.llm.common import drop_written, slices, written
 LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\v\f\r"
-#: Share of a group that an estimate is made of, and concentration steps
-#: at most: they end when no mean or variance moves by more than this part of itself.
-HALF, STEPS, STILL = 0.5, 30, 1e-6
-#: Variance of normal statistics over that in their nearest half.
-CONSISTENCY = 1.7
+#: Share of a group that an estimate is made of.
+HALF = 0.5
+#: A step has to lower the logarithm of the determinant by this much, or the group is through. So
+#: steps end by themselves.
+FALL = 1e-4
+#: Documents of a group that its starts are made of, those with the least hashes; random starts, each
+#: from one document more than there are statistics; those followed to their end on these documents;
+#: and those then followed on the whole group.
+SAMPLE, TRIED, FOLLOWED, STARTS = 500, 100, 10, 2
+#: Chi-squared quantiles of seven statistics at 0.5 and 0.975, and what the covariance of normal
+#: statistics within the latter has to be multiplied by.
+MEDIAN, WITHIN, WITHIN_FACTOR = 6.346, 16.013, 1.045
 #: Groups of fewer documents that pass the base rules are judged by a wider group.
 LEAST_GROUP = 50
 #: Squared distance beyond which a document is rejected, per statistic. The transformed statistics
@@ -41,8 +52,10 @@ LEAST_GROUP = 50
 CUTOFF = 100.0
 #: Added to every variance, so that a statistic that is the same for most documents stays usable.
 RIDGE = 1e-2
-#: Bins of the logarithm of squared distances, per unit.
-BINS = 32
+#: Bits of a squared distance that its bin leaves out: 12 of its fraction stay.
+BIN_SHIFT = 40
+#: Documents packed into one row, at most.
+BLOCK = 1_024
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -139,82 +152,237 @@ def _vector() -> list[Column]:
     ]
 
 
-#: What an estimate is for: all documents (level 2), a language (1), a language and source (0). What
-#: a wider group does not look at is null.
-_GROUP = ["level", "lang", "source"]
 #: Number of transformed statistics.
 _DIM = 7
 _X = [f"x{i}" for i in range(_DIM)]
 _PAIRS = list(combinations_with_replacement(range(_DIM), 2))
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """Per group the count, means and covariances of ``rows``: sums that combine before the shuffle."""
-    sums = [F.count("*").alias("n")]
-    sums += [F.avg(x).alias(f"m{i}") for i, x in enumerate(_X)]
-    sums += [F.covar_pop(_X[i], _X[j]).alias(f"c{i}_{j}") for i, j in _PAIRS]
-    return rows.groupBy(*_GROUP).agg(*sums)
+def with_ridge(cov: np.ndarray, n: float) -> np.ndarray:
+    """``cov`` as it is inverted. That of fewer rows than elsewhere is drawn towards ones."""
+    return cov + (RIDGE + max(1 - n / (HALF * LEAST_GROUP), 0)) * np.eye(_DIM)
 
 
-def _inverses(moments: DataFrame, scale: float = 1.0) -> DataFrame:
-    """Per group the means, the inverse of the covariance times ``scale``, and the variances.
+def distances(x: np.ndarray, mean: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    off = x - mean
+    return np.maximum(((off @ inverse) * off).sum(axis=1), 0)
 
-    Of fewer documents than an estimate is made of elsewhere, the covariance is drawn towards ones.
+
+def _estimate(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Logarithm of the determinant, mean and inverse for rows that count alike."""
+    cov = with_ridge(np.cov(x, rowvar=False, bias=True), len(x))
+    return float(np.linalg.slogdet(cov)[1]), x.mean(axis=0), np.linalg.inv(cov)
+
+
+def _concentrated(x: np.ndarray, mean: np.ndarray, inverse: np.ndarray):
+    near = np.argsort(distances(x, mean, inverse), kind="stable")[: -(-len(x) // 2)]
+    return _estimate(x[near])
+
+
+def starts(x: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """The best ends of concentration steps on a few rows, at most ``STARTS``.
+
+    The first start are the medians and median absolute deviations, the others random rows of a fixed seed.
+    """
+    x = x[np.lexsort(x.T)]
+    centre = np.median(x, axis=0)
+    spread = (1.4826 * np.median(np.abs(x - centre), axis=0)) ** 2
+    begun = [(0.0, centre, np.linalg.inv(with_ridge(np.diag(spread), len(x) * HALF)))]
+    rng = np.random.default_rng(0)
+    for _ in range(TRIED):
+        begun.append(_estimate(x[rng.permutation(len(x))[: _DIM + 1]]))
+    for _ in range(2):
+        begun = [_concentrated(x, *b[1:]) for b in begun]
+    ends: list[tuple[float, np.ndarray, np.ndarray]] = []
+    for now in sorted(begun, key=lambda b: b[0])[:FOLLOWED]:
+        while (after := _concentrated(x, *now[1:]))[0] < now[0] - FALL:
+            now = after
+        if all(abs(now[0] - e[0]) > FALL for e in ends):
+            ends.append(now)
+    return sorted(ends, key=lambda e: e[0])[:STARTS]
+
+
+_KEY = ["grp", "start"]
+_STATE = "grp string, start int, mean array<double>, inverse array<double>, det double, active boolean"
+_SUMS = ["n", *(f"s{i}" for i in range(_DIM)), *(f"c{i}_{j}" for i, j in _PAIRS)]
+
+
+def _first_state(rows: DataFrame) -> DataFrame:
+    """Starts of every group. Their determinants are of a part of it and do not count."""
+
+    def find(table: pa.Table) -> pa.Table:
+        x = np.stack([table.column(n).to_numpy() for n in _X], axis=1)
+        found = starts(x)
+        columns = {
+            "grp": [table.column("grp")[0].as_py()] * len(found),
+            "start": pa.array(range(len(found)), pa.int32()),
+            "mean": [list(m) for _, m, _ in found],
+            "inverse": [list(i.ravel()) for _, _, i in found],
+            "det": [float("inf")] * len(found),
+            "active": [True] * len(found),
+        }
+        return pa.table(columns)
+
+    order = Window.partitionBy("grp").orderBy(F.xxhash64("doc_id", *_X), *_X)
+    few = rows.withColumn("at", F.row_number().over(order)).where(F.col("at") <= SAMPLE)
+    return few.select("grp", *_X).groupBy("grp").applyInArrow(find, _STATE)
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """``(grp, x)``: the statistics of up to ``BLOCK`` rows of a group that lie in one partition."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in _X], axis=1)
+            groups = batch.column("grp").to_pylist()
+            cuts = [0]
+            for i in range(1, len(groups)):
+                if groups[i] != groups[i - 1] or i - cuts[-1] >= BLOCK:
+                    cuts.append(i)
+            packed = [x[i:j].tobytes() for i, j in zip(cuts, [*cuts[1:], len(groups)], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([groups[i] for i in cuts]), pa.array(packed, pa.binary())], ["grp", "x"]
+            )
+
+    return rows.select("grp", *_X).sortWithinPartitions("grp").mapInArrow(pack, "grp string, x binary")
+
+
+def _measured(batch: pa.RecordBatch) -> Iterator[tuple[str, dict, np.ndarray, np.ndarray]]:
+    """Per block and estimate of its group: the group, the estimate, offsets, squared distances."""
+    columns = (batch.column(n).to_pylist() for n in ("grp", "x", "known"))
+    for grp, packed, known in zip(*columns, strict=True):
+        x = np.frombuffer(packed, np.float64).reshape(-1, _DIM)
+        for one in known:
+            mean, inverse = np.array(one["mean"]), np.array(one["inverse"]).reshape(_DIM, _DIM)
+            yield grp, one, x - mean, distances(x, mean, inverse)
+
+
+def _with_known(blocks: DataFrame, state: DataFrame, *more: str) -> DataFrame:
+    known = F.collect_list(F.struct("start", "mean", "inverse", *more))
+    return blocks.join(state.groupBy("grp").agg(known.alias("known")), "grp")
+
+
+def _edges(blocks: DataFrame, state: DataFrame) -> DataFrame:
+    """``(grp, start, edge, share)``: the bin in which the half ends, and the weight of what is in it."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for grp, one, _, d2 in _measured(batch):
+                bins, n = np.unique(d2.view(np.int64) >> BIN_SHIFT, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([grp] * len(n)),
+                        pa.array([one["start"]] * len(n), pa.int32()),
+                        pa.array(bins),
+                        pa.array(n),
+                    ],
+                    [*_KEY, "bin", "n"],
+                )
+
+    counted = _with_known(blocks, state).mapInArrow(count, "grp string, start int, bin bigint, n bigint")
+    whole = Window.partitionBy(*_KEY)
+    binned = counted.groupBy(*_KEY, "bin").agg(F.sum("n").alias("n"))
+    binned = binned.withColumn("upto", F.sum("n").over(whole.orderBy("bin")))
+    left = F.ceil(F.sum("n").over(whole) * HALF) - F.col("upto") + F.col("n")
+    binned = binned.withColumn("left", left).where("left > 0 and left <= n")
+    return binned.select(*_KEY, F.col("bin").alias("edge"), (F.col("left") / F.col("n")).alias("share"))
+
+
+def _sums(blocks: DataFrame, state: DataFrame, edges: DataFrame, reweighted: bool) -> DataFrame:
+    """Per group and start the weighted sums and products of offsets from its mean.
+
+    Of the nearest half; or, ``reweighted``, of what lies within the chi-squared quantile.
     """
 
-    def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upper = np.triu_indices(_DIM)
+        for batch in batches:
+            sums: dict[tuple[str, int], np.ndarray] = {}
+            for grp, one, off, d2 in _measured(batch):
+                if reweighted:
+                    median = float(np.int64((one["edge"] + 1) << BIN_SHIFT).view(np.float64))
+                    weight = (d2 <= WITHIN * max(median / MEDIAN, 1.0)).astype(np.float64)
+                else:
+                    bins = d2.view(np.int64) >> BIN_SHIFT
+                    weight = (bins < one["edge"]) + one["share"] * (bins == one["edge"])
+                products = (off * weight[:, None]).T @ off
+                row = np.concatenate([[weight.sum()], weight @ off, products[upper]])
+                key = (grp, one["start"])
+                sums[key] = sums[key] + row if key in sums else row
+            if sums:
+                table = np.stack(list(sums.values()))
+                columns = [pa.array([k[0] for k in sums]), pa.array([k[1] for k in sums], pa.int32())]
+                columns += [pa.array(table[:, i]) for i in range(len(_SUMS))]
+                yield pa.RecordBatch.from_arrays(columns, [*_KEY, *_SUMS])
+
+    schema = "grp string, start int, " + ", ".join(f"{c} double" for c in _SUMS)
+    known = _with_known(blocks, state.join(edges, _KEY), "edge", "share")
+    return known.mapInArrow(add, schema).groupBy(*_KEY).agg(*(F.sum(c).alias(c) for c in _SUMS))
+
+
+def _advanced(state: DataFrame, sums: DataFrame, factor: float, fall: float) -> DataFrame:
+    """``state`` with the estimates that ``sums`` give where the determinant falls by ``fall``."""
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            cov = np.zeros((n, _DIM, _DIM))
-            for i, j in _PAIRS:
-                values = batch.column(f"c{i}_{j}").to_numpy(zero_copy_only=False)
-                cov[:, i, j] = cov[:, j, i] = values
-            few = 1 - batch.column("n").to_numpy(zero_copy_only=False) / (HALF * LEAST_GROUP)
-            ridge = RIDGE + np.maximum(few, 0)
-            inverse = np.linalg.inv(cov * scale + ridge[:, None, None] * np.eye(_DIM)) if n else cov
-            variances = cov[:, range(_DIM), range(_DIM)]
-            means = [batch.column(f"m{i}").to_numpy(zero_copy_only=False) for i in range(_DIM)]
-            columns = [batch.column(k) for k in _GROUP]
-            columns += [
-                pa.array(list(x.reshape(n, -1)), pa.list_(pa.float64()))
-                for x in (np.stack(means, axis=1), inverse, variances)
-            ]
-            yield pa.RecordBatch.from_arrays(columns, [*_GROUP, "mean", "inverse", "var"])
-
-    schema = "level int, lang string, source string, "
-    schema += "mean array<double>, inverse array<double>, var array<double>"
-    return moments.mapInArrow(invert, schema)
-
-
-def _same_group(a: DataFrame, b: DataFrame) -> Column:
-    return reduce(lambda x, y: x & y, (a[k].eqNullSafe(b[k]) for k in _GROUP))
+            rows = batch.to_pylist()
+            for row in rows:
+                n = row["n"]
+                if not row["active"] or not n:
+                    row["active"] = False
+                    continue
+                first = np.array([row[f"s{i}"] for i in range(_DIM)]) / n
+                cov = np.zeros((_DIM, _DIM))
+                for i, j in _PAIRS:
+                    cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] / n - first[i] * first[j]
+                cov = with_ridge(cov * factor, n)
+                det = float(np.linalg.slogdet(cov)[1])
+                row["active"] = det < row["det"] - fall
+                if row["active"]:
+                    row["mean"] = list(np.array(row["mean"]) + first)
+                    row["inverse"] = list(np.linalg.inv(cov).ravel())
+                    row["det"] = det
+            names = [*_KEY, "mean", "inverse", "det", "active"]
+            types = [pa.string(), pa.int32(), *[pa.list_(pa.float64())] * 2, pa.float64(), pa.bool_()]
+            columns = [pa.array([r[k] for r in rows], t) for k, t in zip(names, types, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return state.join(sums, _KEY, "left").mapInArrow(take, _STATE)
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """``(grp, mean, inverse)`` of the documents ``rows (grp, doc_id, x0 …)``, one row per group.
+
+    Groups below 50 documents occur only where there are no more in all.
+    """
+    rows = written(rows.select("grp", "doc_id", *_X), "members")
+    blocks = written(_blocks(rows), "blocks")
+    state = written(_first_state(rows), "state")
+    drop_written(rows)
+    while not (active := state.where("active")).isEmpty():
+        edges = written(_edges(blocks, active), "edges")
+        sums = _sums(blocks, active, edges, reweighted=False)
+        before, state = state, written(_advanced(state, sums, 1.0, FALL), "state")
+        drop_written(before)
+        drop_written(edges)
+    best = F.min(F.struct("det", "start", "mean", "inverse")).alias("b")
+    least = state.groupBy("grp").agg(best).select("grp", "b.start", "b.mean", "b.inverse")
+    least = written(least.withColumns({"det": F.lit(float("inf")), "active": F.lit(True)}), "state")
+    edges = written(_edges(blocks, least), "edges")
+    sums = _sums(blocks, least, edges, reweighted=True)
+    return written(_advanced(least, sums, WITHIN_FACTOR, 0.0).select("grp", "mean", "inverse"), "estimates")
 
 
 def _with_distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """``rows`` with the squared distance ``d2`` from the estimate of their group, null without one."""
-    joined = rows.join(estimates, _same_group(rows, estimates), "left")
-    joined = joined.drop(*(estimates[k] for k in _GROUP))
+    joined = rows.join(estimates, "grp", "left")
     off = [F.col(x) - F.col("mean")[i] for i, x in enumerate(_X)]
     terms = [
         off[i] * off[j] * F.col("inverse")[i * _DIM + j] * (1 if i == j else 2) for i, j in _PAIRS
     ]
-    return joined.withColumn("d2", reduce(lambda a, b: a + b, terms)).drop("mean", "inverse", "var")
-
-
-def _nearest(rows: DataFrame) -> DataFrame:
-    """Per group the bin of ``d2`` up to which the nearest part of it lies."""
-    binned = rows.where("d2 is not null").groupBy(*_GROUP, _bin()).agg(F.count("*").alias("n"))
-    running = Window.partitionBy(*_GROUP).orderBy("bin")
-    whole = Window.partitionBy(*_GROUP)
-    binned = binned.withColumn("upto", F.sum("n").over(running))
-    binned = binned.withColumn("all", F.sum("n").over(whole))
-    reached = binned.where(F.col("upto") >= F.ceil(F.col("all") * HALF))
-    return reached.groupBy(*_GROUP).agg(F.min("bin").alias("edge"))
-
-
-def _bin() -> Column:
-    """Bins of the distance, from far below one to far beyond any cut-off."""
-    return F.floor(F.log(F.greatest("d2", F.lit(1e-6))) * BINS).cast("int").alias("bin")
+    return joined.withColumn("d2", reduce(lambda a, b: a + b, terms)).drop("mean", "inverse")
 
 
 def levels(rows: DataFrame) -> DataFrame:
@@ -240,74 +408,19 @@ def levels(rows: DataFrame) -> DataFrame:
 
 
 def _of_level(rows: DataFrame, levels: DataFrame, level: str) -> DataFrame:
-    """``rows`` as members of the groups of ``level``, a column of ``levels``."""
+    """``rows`` with ``grp``, the key of their group at ``level``, a column of ``levels``.
+
+    An estimate is for all documents (level 2), a language (1), or a language and source (0).
+    """
     told = levels.select(F.col("lang").alias("l"), F.col("source").alias("s"), F.col(level).alias("at"))
     same = rows["lang"].eqNullSafe(told["l"]) & rows["source"].eqNullSafe(told["s"])
     joined = rows.join(told, same, "left").drop("l", "s")
     at = F.explode("at") if level == "needed" else F.col("at")
     joined = joined.withColumn("level", at).drop("at")
-    return joined.withColumns(
-        {
-            "lang": F.when(F.col("level") < 2, F.col("lang")),
-            "source": F.when(F.col("level") < 1, F.col("source")),
-        }
-    )
-
-
-def estimates(rows: DataFrame) -> DataFrame:
-    """Per group the mean and inverse covariance of its documents within the cut-off of its half.
-
-    The start are the medians and the median absolute deviations, by sketches of bounded size.
-    ``rows`` must come from written tables; each step reads it twice.
-    """
-    centre = rows.groupBy(*_GROUP).agg(
-        F.count("*").alias("n"),
-        *(F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(_X)),
-    )
-    centre = written(centre, "medians")
-    off = rows.join(centre.withColumnsRenamed({k: f"c_{k}" for k in _GROUP}), _renamed(rows))
-    spread = off.groupBy(*(f"c_{k}" for k in _GROUP)).agg(
-        *(
-            F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}")
-            for i, x in enumerate(_X)
-        )
-    )
-    start = centre.join(spread, _renamed(centre)).select(
-        *_GROUP,
-        (F.col("n") * HALF).alias("n"),
-        *(f"m{i}" for i in range(_DIM)),
-        *(
-            (F.pow(F.col(f"d{i}") * 1.4826, 2) if i == j else F.lit(0.0)).alias(f"c{i}_{j}")
-            for i, j in _PAIRS
-        ),
-    )
-    found = written(_inverses(start), "estimates")
-    for _ in range(STEPS):
-        measured = _with_distance(rows, found)
-        edges = written(_nearest(measured), "edges").withColumnsRenamed({k: f"c_{k}" for k in _GROUP})
-        near = measured.withColumn("own", _bin()).join(edges, _renamed(measured))
-        moments = _moments(near.where("own <= edge").drop(*edges.columns))
-        before, found = found, written(_inverses(moments, CONSISTENCY), "estimates")
-        still = not _moved(before, found)
-        drop_written(before)
-        if still:
-            break
-    within = _with_distance(rows, found).where(F.col("d2") <= CUTOFF * _DIM)
-    return written(_inverses(_moments(within)), "estimates")
-
-
-def _renamed(rows: DataFrame) -> Column:
-    return reduce(lambda x, y: x & y, (rows[k].eqNullSafe(F.col(f"c_{k}")) for k in _GROUP))
-
-
-def _moved(before: DataFrame, now: DataFrame) -> bool:
-    """Whether a mean or variance of a group differs."""
-    both = before.alias("a").join(now.alias("b"), _same_group(before, now))
-    differs = F.lit(False)
-    for name in ("mean", "var"):
-        pairs = F.zip_with(f"a.{name}", f"b.{name}", lambda x, y: F.abs(x - y) > STILL * (F.abs(x) + RIDGE))
-        differs = differs | F.exists(pairs, lambda x: x)
-    return not both.where(differs).isEmpty()
+    lang, source = F.when(F.col("level") < 2, F.col("lang")), F.when(F.col("level") < 1, F.col("source"))
+    # Nulls are left out, so a group without a language has a key of its own.
+    key = F.to_json(F.struct("level", lang.alias("lang"), source.alias("source")))
+    return joined.withColumn("grp", key)
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -315,7 +428,8 @@ def judge(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no words and fail the base rules. Null languages and sources are a
     group like any other. Groups with fewer than ``LEAST_GROUP`` documents that pass the base rules
-    are judged by the estimate of their language, and if that has fewer, of all documents. Repeated rows count each and are judged alike; null ids stay null.
+    are judged by the estimate of their language, and if that has fewer, of all documents. Repeated
+    rows count each and are judged alike; null ids stay null.
     No documents, no rows. Other columns are not read.
     """
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

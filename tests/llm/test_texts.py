@@ -289,6 +289,112 @@ def test_outliers_of_a_group_are_rejected_and_others_kept(spark):
     assert rows[0].n_symbols == 3 * rows[0].n_words
 
 
+def plain_base(text):
+    """The contract's columns, by its words."""
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    seen, again = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            again += line in seen
+            seen.add(line)
+    windows = Counter(tuple(words[i : i + 8]) for i in range(max(0, len(words) - 7)))
+    covered = {
+        i + k for i in range(max(0, len(words) - 7)) if windows[tuple(words[i : i + 8])] > 1 for k in range(8)
+    }
+    failed = len(words) < 20 or 100 * len(covered) > 30 * len(words)
+    symbols = len(re.findall(r"[#*$%&|<>]", text))
+    return len(words), sum(map(len, words)), symbols, again, len(covered), failed
+
+
+def test_base_columns_equal_plain_ones(spark):
+    rng = random.Random(12)
+    pieces = ["a", "b", "cd", "é", "\u2003", "\U0001f600", "#", "|x", "\n", "\n\n", "\t", "\x0b", "\x1c", " ", ". "]
+    texts = [None, "", "\n \n", "a\r\na\r\n"]
+    for _ in range(400):
+        part = "".join(x + rng.choice(" \n") for x in rng.choices(pieces, k=rng.randint(0, 60)))
+        texts.append(part * rng.choice([1, 1, 2]))
+    found = {r.doc_id: tuple(r)[1:7] for r in quality.judge(docs(spark, texts)).collect()}
+    assert found == {i: plain_base(t) for i, t in enumerate(texts)}
+
+
+def vectors(spark, groups):
+    rows = [(g, i, *map(float, v)) for g, x in groups.items() for i, v in enumerate(x)]
+    columns = ", ".join(f"x{i} double" for i in range(7))
+    return spark.createDataFrame(rows, f"grp string, doc_id long, {columns}")
+
+
+def found_estimates(spark, groups):
+    rows = quality.estimates(vectors(spark, groups)).collect()
+    return {r.grp: (np.array(r["mean"]), np.array(r["inverse"]).reshape(7, 7)) for r in rows}
+
+
+def plain_steps(x, mean, inverse):
+    """Concentration steps with sorted halves: the determinant and the distances they end with."""
+    last = np.inf
+    while True:
+        d2 = np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
+        near = x[np.argsort(d2)[: (len(x) + 1) // 2]]
+        cov = np.cov(near, rowvar=False, bias=True) + 1e-2 * np.eye(7)
+        det = np.linalg.slogdet(cov)[1]
+        if det >= last - 1e-4:
+            return last, d2
+        last, mean, inverse = det, near.mean(0), np.linalg.inv(cov)
+
+
+def plain_mcd(x, begun):
+    """The least determinant, and the estimate of the rows within the quantile of that."""
+    det, d2 = min((plain_steps(x, m, i) for m, i in begun), key=lambda e: e[0])
+    scale = max(np.sort(d2)[(len(x) + 1) // 2 - 1] / 6.346, 1)
+    near = x[d2 <= 16.013 * scale]
+    cov = np.cov(near, rowvar=False, bias=True) * 1.045 + 1e-2 * np.eye(7)
+    return det, near.mean(0), np.linalg.inv(cov)
+
+
+def mixed_groups():
+    rng = np.random.default_rng(3)
+    for good, bad in [(90, 0), (150, 60), (700, 330)]:
+        clean = rng.normal(size=(good, 7)) @ rng.normal(size=(7, 7))
+        yield good, np.concatenate([clean, rng.normal(size=(bad, 7)) + 30])
+
+
+def test_estimates_equal_those_of_sorted_halves(spark):
+    groups = {f"g{n}": x for n, x in mixed_groups()}
+    found = found_estimates(spark, groups)
+    for good, x in mixed_groups():
+        own = quality.distances(x, *found[f"g{good}"])
+        assert own[good:].min(initial=np.inf) > own[:good].max()
+        if len(x) <= quality.SAMPLE:  # starts are then made of all rows
+            _, mean, inverse = plain_mcd(x, [e[1:] for e in quality.starts(x)])
+            assert np.allclose(own, quality.distances(x, mean, inverse), rtol=0.02, atol=0.05)
+
+
+def test_starts_end_near_the_least_determinant_of_many():
+    rng = np.random.default_rng(5)
+    for _, x in mixed_groups():
+        tries = [x[rng.permutation(len(x))[:8]] for _ in range(500)]
+        tries = [(t.mean(0), np.linalg.inv(np.cov(t, rowvar=False) + 1e-2 * np.eye(7))) for t in tries]
+        least = min(plain_steps(x, *t)[0] for t in tries)
+        assert quality.starts(x)[0][0] < least + 0.3
+
+
+def test_nearer_outliers_do_not_mask_farther_ones(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1_000, 7))
+    x[700:950, 0] += 24
+    x[950:, 0] += 45
+    [(mean, inverse)] = found_estimates(spark, {"g": x}).values()
+    d2 = quality.distances(x, mean, inverse)
+    assert d2[:700].max() < 100 and d2[700:950].min() > 300 and d2[950:].min() > 100 * 7
+
+
+def test_rows_that_are_all_alike_and_ties_have_an_estimate(spark):
+    groups = {"same": np.ones((80, 7)), "two": np.repeat([[0.0] * 7, [9.0] * 7], [60, 40], axis=0)}
+    found = found_estimates(spark, groups)
+    assert np.allclose(found["same"][0], 1) and np.allclose(found["two"][0], 0)
+    assert quality.distances(groups["two"], *found["two"])[60:].min() > 100 * 7
+
+
 def ordinary(rng, n, words):
     return [" ".join(rng.choices(words, k=rng.randint(60, 90))) + "." for _ in range(n)]
 
