@@ -32,7 +32,7 @@ from fleetmill.plans import submissions as submitting
 from fleetmill.schema import CHILD_TABLES, TABLES
 from fleetmill.session import scratch_path
 from fleetmill.sources import catalog as catalogs
-from fleetmill.sources import changes, inventory
+from fleetmill.sources import changes, inventory, run_log
 from fleetmill.sources import datums as datum_sink
 from fleetmill.sources.keyed_store import KeyedStore
 from fleetmill.streaming import reports as stream_reports
@@ -212,6 +212,45 @@ def _(t: Inputs) -> DataFrame:
     return changes.append_rows(t["fx_runs"], t["fx_new_runs"])
 
 
+LOGGED_COLUMNS = [f for f in TABLES["scheduled_pipelines"].schema.fieldNames() if f != "in_console"]
+LOGGED = ", ".join(LOGGED_COLUMNS)
+
+
+@check(
+    "s5_run_log_states",
+    f"""WITH first AS (
+            SELECT r.*, s.aws_id IS NOT NULL AS finished
+            FROM {{fx_runs}} r LEFT JOIN (
+                SELECT aws_id FROM {{fx_status}} WHERE pipeline_state = 'FINISHED') s
+            ON s.aws_id = r.aws_id),
+        second AS (
+            SELECT {LOGGED}, in_console AND NOT finished AS in_console FROM first
+            UNION ALL SELECT {LOGGED}, in_console FROM {{fx_new_runs}})
+        SELECT '2024-02-01T00' AS tick, {LOGGED}, in_console FROM second
+        UNION ALL
+        SELECT '2024-02-01T01' AS tick, {LOGGED}, in_console AND status <> 'fail' AS in_console
+        FROM second""",
+)
+def _(t: Inputs) -> DataFrame:
+    path = scratch_path(t.spark, "run_log")
+    names = ["2024-01-31T23", "2024-02-01T00", "2024-02-01T01"]
+
+    def live(tick: str) -> DataFrame:
+        return run_log.load_runs(t.spark, path, tick).where("in_console")
+
+    run_log.save_tick(t["fx_runs"], path, names[0])
+    finished = t["fx_status"].where("pipeline_state = 'FINISHED'").select("aws_id")
+    still = live(names[0]).join(finished, "aws_id", "left_anti")
+    left = live(names[0]).join(finished, "aws_id", "left_semi").withColumn("in_console", F.lit(False))
+    run_log.save_tick(still.unionByName(left).unionByName(t["fx_new_runs"]), path, names[1])
+    failed = F.col("status") != "fail"
+    run_log.save_tick(live(names[1]).withColumn("in_console", failed), path, names[2])
+    run_log.fold_month(t.spark, path, "2024-01")
+    run_log.expire(t.spark, path, keep=2)
+    states = [run_log.load_runs(t.spark, path, n).withColumn("tick", F.lit(n)) for n in names[1:]]
+    return states[0].unionByName(states[1]).select("tick", *LOGGED_COLUMNS, "in_console")
+
+
 CHANGED_COUNTERS = """
     SELECT pipeline_id, CAST(count(*) AS INT) AS failure_count, max(attempt_time) AS updated_at
     FROM {fx_attempts} WHERE NOT ok GROUP BY pipeline_id"""
