@@ -22,6 +22,7 @@ from fleetmill.operators import (
     notifications,
     retention,
     schedule,
+    sketches,
     streaks,
     submissions,
     unmanaged,
@@ -831,6 +832,34 @@ def _(t: Inputs) -> DataFrame:
     return rounded(metrics.metric_percentiles(t["fx_samples"], ALL_PERCENTILES), "value")
 
 
+@check(
+    "a12_sketch_percentiles",
+    "\nUNION ALL\n".join(
+        f"""SELECT kind, metric, '{label}' AS percentile, count(*) AS n, TRUE AS within_bound
+            FROM {{fx_samples}} WHERE value IS NOT NULL GROUP BY kind, metric"""
+        for label in metrics.PERCENTILES.values()
+    ),
+)
+def _(t: Inputs) -> DataFrame:
+    """Stored sketches of hours, merged over all days: ranks of what they tell, by the samples."""
+    path = scratch_path(t.spark, "sketches")
+    sketches.save_sketches(sketches.interval_sketches(t["fx_samples"]), path)
+    stored = sketches.load_sketches(t.spark, path, "0001-01-01", "9999-12-31")
+    told = sketches.sketch_percentiles(stored, ALL_PERCENTILES).withColumnRenamed("value", "told")
+    known = t["fx_samples"].where("value IS NOT NULL").select(*metrics.METRIC, "value")
+    share = F.element_at(
+        F.create_map(*[F.lit(x) for q, p in metrics.PERCENTILES.items() for x in (p, q)]), F.col("percentile")
+    )
+    ranks = known.join(told, metrics.METRIC).groupBy(*metrics.METRIC, "percentile").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg((F.col("value") < F.col("told")).cast("int")).alias("below"),
+        F.avg((F.col("value") <= F.col("told")).cast("int")).alias("upto"),
+    )
+    error = sketches.RANK_ERROR
+    within = (share >= F.col("below") - error) & (share <= F.col("upto") + error)
+    return ranks.select(*metrics.METRIC, "percentile", "n", within.alias("within_bound"))
+
+
 @check(
     "a13_metric_mean_rate",
     f"""SELECT kind, metric, round(count(*) * 1000000.0 * 60

@@ -10,6 +10,7 @@ from fleetmill.operators import datums as points
 from fleetmill.operators import metrics
 from fleetmill.operators.datums import UNIT_SECONDS, ReportSettings
 from fleetmill.operators.metrics import HEAVY_METRIC_ROWS
+from fleetmill.operators.sketches import sketch_percentile_arrays
 from fleetmill.session import materialize
 
 
@@ -19,12 +20,14 @@ def metric_figures(
     settings: ReportSettings,
     reported: DataFrame | None = None,
     heavy_rows: int = HEAVY_METRIC_ROWS,
+    sketches: DataFrame | None = None,
 ) -> DataFrame:
     """All figures of each metric in one row.
 
     One aggregation gives what combines, and is written out: its counts also tell which metrics
     are too heavy for the built-in percentile. Percentiles and moving rates are aggregated on
-    their own and joined per metric. Only the kinds that have them are read for them.
+    their own and joined per metric. Only the kinds that have them are read for them. Given
+    ``sketches`` of intervals, percentiles are those of the intervals closed by ``as_of``.
     """
     known = samples.where(F.col("ts") <= as_of)
     timer = F.col("kind") == "timer"
@@ -50,13 +53,18 @@ def metric_figures(
         base = base.join(before, key, "left").withColumn("count", since).drop("_before")
     figures = base
     if settings.percentiles:
-        quantiles = metrics.percentile_arrays(
-            known.where(F.col("kind").isin("histogram", "timer")),
-            settings.percentiles,
-            settings.approximate,
-            heavy_rows=heavy_rows,
-            sizes=sizes,
-        )
+        has_percentiles = F.col("kind").isin("histogram", "timer")
+        if sketches is not None:
+            closed = sketches.where(has_percentiles & (F.col("interval_end") <= as_of))
+            quantiles = sketch_percentile_arrays(closed, settings.percentiles)
+        else:
+            quantiles = metrics.percentile_arrays(
+                known.where(has_percentiles),
+                settings.percentiles,
+                settings.approximate,
+                heavy_rows=heavy_rows,
+                sizes=sizes,
+            )
         scaled = F.transform("quantile_values", lambda v: v * factor)
         figures = figures.join(quantiles, key, "left").withColumn("quantile_values", scaled)
     else:
@@ -73,13 +81,14 @@ def metric_report(
     settings: ReportSettings = points.SERVICE_SETTINGS,
     reported: DataFrame | None = None,
     heavy_rows: int = HEAVY_METRIC_ROWS,
+    sketches: DataFrame | None = None,
 ) -> DataFrame:
     """The data points of one report, cleaned, with dimensions and batch numbers.
 
     A name is decoded once per metric, and dimensions are put together after the numbering, so
     what is sorted for the batches stays narrow.
     """
-    figures = metric_figures(samples, as_of, settings, reported, heavy_rows)
+    figures = metric_figures(samples, as_of, settings, reported, heavy_rows, sketches)
     named = points.decode_dimensions(figures)
     staged = points.stage_datums(named, settings, as_of, ("metric_name", "dimensions"))
     batched = points.batch_datums(points.clean_values(staged))
