@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from fleetmill.operators import schedule
 from fleetmill.plans.cleanup import cleanup_existing
 from fleetmill.plans.schedule_tick import apply_dispatch_results, schedule_tick
+from fleetmill.plans.stages import Tables, finished_once
 from fleetmill.session import materialize
 from fleetmill.sources.catalog import Catalog
 from fleetmill.sources.changes import append_rows
@@ -59,37 +61,72 @@ def hourly_cycle(
     activations: DataFrame,
     status: DataFrame,
     max_pipelines: int | None = schedule.MAX_PIPELINES,
+    work: str | None = None,
 ) -> Cycle:
     """C1, C2 and C3 over one catalog.
 
     ``results(pipeline_id, ok, log)`` tells how each launch went. What a step decides is written
     out before the next one reads it: launches, new runs, attempts, actions. Those are small. The
     tables themselves are not copied in between.
+
+    Given ``work``, a folder of this cycle's own on shared storage, the cycle resumes: which pipelines are
+    launched, how that went, and the catalog afterwards are stages whose results are kept there. A
+    repeated call reads finished stages back and goes on with the next, whatever has changed in the
+    meantime in what they were made of. The catalog it returns is then the one stored in ``work``.
     """
-    tick = schedule_tick(catalog, tick_end, now, prefix, max_pipelines)
-    launches = materialize(tick.launches)
-    launched = launches.join(results.where("ok"), "pipeline_id", "left_semi")
-    deployed = launched.select(
-        "pipeline_id",
-        F.col("deployment_name").alias("pipeline_name"),
-        now.alias("deployed_time"),
-    )
-    new_runs, missing = schedule.activated_runs(
-        deployed, inventory_names, activations, tick_start, now
-    )
-    attempts = launch_attempts(launches, results, missing)
-    dispatched = apply_dispatch_results(catalog, attempts, materialize(new_runs), tick_end, now)
-    cleaned = cleanup_existing(dispatched.catalog, status, now)
-    metrics = append_rows(cleaned.catalog["scheduler_metrics"], tick.metrics)
-    unhandled = _told(tick.rejected, "rejected_launch", "id")
-    unhandled = unhandled.union(_told(dispatched.rejected, "rejected_attempt", "attempt_id"))
-    unhandled = unhandled.union(_told(cleaned.quarantined, "quarantined_run", "aws_id"))
+    spark = results.sparkSession
+
+    def stage(name: str, names: list[str], make: Callable[[], Tables]) -> Tables:
+        return make() if work is None else finished_once(spark, work, name, names, make)
+
+    def schedule_stage() -> Tables:
+        tick = schedule_tick(catalog, tick_end, now, prefix, max_pipelines)
+        launches = tick.launches if work else materialize(tick.launches)
+        rejected = _told(tick.rejected, "rejected_launch", "id")
+        return {"launches": launches, "metrics": tick.metrics, "unhandled": rejected}
+
+    tick = stage("scheduled", ["launches", "metrics", "unhandled"], schedule_stage)
+    launches = tick["launches"]
+
+    def launch_stage() -> Tables:
+        launched = launches.join(results.where("ok"), "pipeline_id", "left_semi")
+        deployed = launched.select(
+            "pipeline_id",
+            F.col("deployment_name").alias("pipeline_name"),
+            now.alias("deployed_time"),
+        )
+        new_runs, missing = schedule.activated_runs(
+            deployed, inventory_names, activations, tick_start, now
+        )
+        attempts = launch_attempts(launches, results, missing)
+        return {"attempts": attempts, "new_runs": new_runs if work else materialize(new_runs)}
+
+    told = stage("launched", ["attempts", "new_runs"], launch_stage)
+
+    def last_stage() -> Tables:
+        dispatched = apply_dispatch_results(
+            catalog, told["attempts"], told["new_runs"], tick_end, now
+        )
+        cleaned = cleanup_existing(dispatched.catalog, status, now)
+        unhandled = tick["unhandled"]
+        unhandled = unhandled.union(_told(dispatched.rejected, "rejected_attempt", "attempt_id"))
+        unhandled = unhandled.union(_told(cleaned.quarantined, "quarantined_run", "aws_id"))
+        metrics = append_rows(cleaned.catalog["scheduler_metrics"], tick["metrics"])
+        return {
+            **cleaned.catalog,
+            "scheduler_metrics": metrics,
+            "events": dispatched.events,
+            "actions": cleaned.actions,
+            "unhandled": unhandled,
+        }
+
+    done = stage("cycle", [*catalog, "events", "actions", "unhandled"], last_stage)
     return Cycle(
-        {**cleaned.catalog, "scheduler_metrics": metrics},
+        {name: done[name] for name in catalog},
         launches,
-        dispatched.events,
-        cleaned.actions,
-        unhandled,
+        done["events"],
+        done["actions"],
+        done["unhandled"],
     )
 
 
