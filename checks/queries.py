@@ -35,6 +35,7 @@ from fleetmill.session import scratch_path
 from fleetmill.sources import catalog as catalogs
 from fleetmill.sources import changes, inventory, run_log
 from fleetmill.sources import datums as datum_sink
+from fleetmill.sources.due_store import DueStore
 from fleetmill.sources.keyed_store import KeyedStore
 from fleetmill.streaming import reports as stream_reports
 from fleetmill.streaming.streaks import stored_counters, stream_failure_streaks
@@ -428,6 +429,44 @@ def _(t: Inputs) -> DataFrame:
     )
 
 
+@check(
+    "k1_added_keys",
+    """SELECT pipeline_id, count(*) AS row_count FROM (
+           SELECT pipeline_id FROM {fx_counters}
+           UNION ALL SELECT CASE WHEN user_id % 31 <> 0 THEN user_id END FROM {events}
+           WHERE event_type = 'signup' AND value >= 100)
+       GROUP BY pipeline_id HAVING count(*) > 1 OR pipeline_id IS NULL""",
+)
+def _(t: Inputs) -> DataFrame:
+    signups = t["events"].where("event_type = 'signup' AND value >= 100")
+    owner = F.when(F.col("user_id") % 31 != 0, F.col("user_id"))
+    added = signups.select(owner.alias("pipeline_id"))
+    return constraints.added_pk_violations(t["fx_counters"], added, ["pipeline_id"])
+
+
+@check(
+    "k3_changed_orphans",
+    """WITH parents AS (SELECT id FROM {fx_pipelines} WHERE end_time IS NULL)
+       SELECT aws_id, pipeline_id FROM {fx_runs}
+       WHERE pipeline_id NOT IN (SELECT id FROM parents)
+       UNION ALL SELECT aws_id, owner FROM (
+           SELECT aws_id, CASE WHEN pipeline_id % 7 = 0 THEN -pipeline_id ELSE pipeline_id END
+                  AS owner FROM {fx_new_runs}) AS n
+       WHERE owner NOT IN (SELECT id FROM parents)""",
+)
+def _(t: Inputs) -> DataFrame:
+    pipelines = t["fx_pipelines"]
+    owner = F.col("pipeline_id")
+    added = t["fx_new_runs"].withColumn("pipeline_id", F.when(owner % 7 == 0, -owner).otherwise(owner))
+    orphans = constraints.changed_orphans(
+        t["fx_runs"],
+        added,
+        pipelines.where("end_time IS NULL"),
+        pipelines.where("end_time IS NOT NULL").select("id"),
+    )
+    return orphans.select("aws_id", "pipeline_id")
+
+
 @check(
     "k4_cascade_delete",
     f"""WITH rows AS ({CATALOG_ROWS}), gone AS (
@@ -468,6 +507,37 @@ def _(t: Inputs) -> DataFrame:
     return due.select("id", "next_run_time", "end_time")
 
 
+def stored_by_month(t: Inputs) -> DueStore:
+    pipelines = t["fx_pipelines"]
+    path = scratch_path(t.spark, "by_month")
+    return DueStore(t.spark, path, pipelines.schema, "month").create(pipelines)
+
+
+@check("f1_due_stored", f"SELECT id, next_run_time, end_time FROM {{fx_pipelines}} WHERE {DUE}")
+def _(t: Inputs) -> DataFrame:
+    return stored_by_month(t).due(TICK_END).select("id", "next_run_time", "end_time")
+
+
+LATER = "2002-06-20 00:00:00"
+
+
+@check(
+    "f1_due_after_a_tick",
+    f"""WITH moved AS (
+            SELECT id, is_active, end_time,
+                   CASE WHEN NOT ({DUE}) OR ({DUE}) IS NULL THEN next_run_time
+                        WHEN id % 3 <> 0 THEN next_run_time + INTERVAL 400 DAY END AS next_run_time
+            FROM {{fx_pipelines}})
+        SELECT id, next_run_time FROM moved
+        WHERE {NEXT_WHEN.format(LATER)} AND is_active""",
+)
+def _(t: Inputs) -> DataFrame:
+    store = stored_by_month(t)
+    later = F.when(F.col("id") % 3 != 0, F.col("next_run_time") + F.expr("INTERVAL '400' DAY"))
+    store.advance(store.due(TICK_END).withColumn("next_run_time", later), TICK_END)
+    return store.due(LATER).select("id", "next_run_time")
+
+
 @check("f2_active", "SELECT id, name FROM {fx_pipelines} WHERE is_active")
 def _(t: Inputs) -> DataFrame:
     return retention.active_pipelines(t["fx_pipelines"]).select("id", "name")
@@ -975,6 +1045,22 @@ def _(t: Inputs) -> DataFrame:
     return taken.select("id", "next_run_time")
 
 
+@check(
+    "o1_take_due_cut",
+    """SELECT o_orderkey AS id, o_orderdate AS next_run_time FROM {orders}
+       ORDER BY o_orderdate, o_orderkey LIMIT 1200""",
+)
+def _(t: Inputs) -> DataFrame:
+    waiting = t["orders"].select(
+        F.col("o_orderkey").alias("id"),
+        F.col("o_orderdate").alias("next_run_time"),
+        F.lit(None).cast("timestamp_ntz").alias("end_time"),
+        F.lit(True).alias("is_active"),
+    )
+    taken = schedule.take_due(waiting, ts(AS_OF), max_pipelines=1200)
+    return taken.select("id", "next_run_time")
+
+
 @check(
     "o2_latest_starts",
     """SELECT pipeline_id, actual_start, run_count, start_rank FROM (

@@ -31,6 +31,9 @@ UNIT_MICROS = {
 # meets a century year that is not one within 400 years, i.e. within 50 visits 3 steps apart.
 _SETTLED = 151
 
+#: Lengths of months that can be too short for a day of the month, the longest first.
+_SHORT = (30, 29, 28)
+
 
 def as_timestamp(value: datetime | str | Column) -> Column:
     """A zone-free timestamp from a literal or a column."""
@@ -158,14 +161,52 @@ def _month_number(ts: Column) -> Column:
     return F.year(ts) * 12 + F.month(ts)
 
 
-def calendar_step(start: Column, months: Column, k: Column) -> Column:
-    """The k-th iterate (k >= 0) of ``start`` by ``months``; ``months`` may be negative."""
-    anchored = plus_months(start, k * months)
+def month_ends(start: Column, months: Column) -> Column:
+    """At which step a series first meets a month of 30, 29 and 28 days; 0 where it never does.
+
+    These three numbers tell the least length among the months visited up to any step. Null where
+    no month is too short for ``start``, or the period is not one of months.
+    """
+    first = (_month_number(start) - 1).cast("bigint")
     lengths = F.transform(
-        F.sequence(F.lit(0), F.least(k, F.lit(_SETTLED)).cast("int")),
-        lambda j: F.day(F.last_day(plus_months(start, j * months))),
+        F.sequence(F.lit(0), F.lit(_SETTLED)), lambda j: _month_length(first + j * months)
+    )
+    met = F.transform(
+        F.array(lengths),
+        lambda seen: F.struct(*[F.array_position(seen, F.lit(n)).alias(f"of_{n}") for n in _SHORT]),
     )
-    too_late = F.greatest(F.lit(0), F.day(anchored) - F.array_min(lengths))
+    return F.when((F.day(start) > 28) & months.isNotNull(), met[0])
+
+
+def _month_length(number: Column) -> Column:
+    """Days of a month, counted from January of the year 0."""
+    month = F.pmod(number, F.lit(12)) + 1
+    year = F.call_function("div", number - month + 1, F.lit(12).cast("bigint"))
+    leap = (F.pmod(year, F.lit(4)) == 0) & (
+        (F.pmod(year, F.lit(100)) != 0) | (F.pmod(year, F.lit(400)) == 0)
+    )
+    return (
+        F.when(month == 2, F.when(leap, 29).otherwise(28))
+        .when(month.isin(4, 6, 9, 11), 30)
+        .otherwise(31)
+    )
+
+
+def calendar_step(
+    start: Column, months: Column, k: Column, ends: Column | None = None
+) -> Column:
+    """The k-th iterate (k >= 0) of ``start`` by ``months``; ``months`` may be negative.
+
+    ``ends`` are the :func:`month_ends` of the series, if a column has them.
+    """
+    anchored = plus_months(start, k * months)
+    if ends is None:
+        ends = month_ends(start, months)
+    least = F.lit(31)
+    for n in _SHORT:
+        step = ends[f"of_{n}"]
+        least = F.when((step > 0) & (step <= k + 1), n).otherwise(least)
+    too_late = F.greatest(F.lit(0), F.day(anchored) - least)
     return F.when(F.day(start) <= 28, anchored).otherwise(
         anchored - F.make_dt_interval(days=too_late)
     )
@@ -199,11 +240,16 @@ def steps_back(start: Column, now: Column, months: Column, micros: Column) -> Co
     return F.when(start > now, steps).when(start <= now, F.lit(0).cast("bigint"))
 
 
-def step_at(start: Column, k: Column, months: Column, micros: Column) -> Column:
-    """``start`` after ``k`` steps, backward for a negative ``k``."""
+def step_at(
+    start: Column, k: Column, months: Column, micros: Column, ends: Column | None = None
+) -> Column:
+    """``start`` after ``k`` steps, backward for a negative ``k``.
+
+    ``ends``, if a column has them, are the :func:`month_ends` in the direction of the steps.
+    """
     direction = F.when(k < 0, -months).otherwise(months)
     return F.when(micros.isNotNull(), plus_micros(start, k * micros)).otherwise(
-        calendar_step(start, direction, F.abs(k))
+        calendar_step(start, direction, F.abs(k), ends)
     )
 
 

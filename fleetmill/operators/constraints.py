@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetmill.operators.ordered import number_rows
 from fleetmill.schema import CHILD_TABLES, TableSpec
+from fleetmill.session import lookup
 from fleetmill.sources.catalog import Catalog
 
 
@@ -50,6 +51,46 @@ def orphan_rows(child: DataFrame, pipelines: DataFrame) -> DataFrame:
     return child.join(parents, "pipeline_id", "left_anti")
 
 
+def added_pk_violations(table: DataFrame, added: DataFrame, key: list[str]) -> DataFrame:
+    """K1 of ``table`` together with the rows ``added``, where ``table`` alone keeps the rule.
+
+    Only keys that are added can break it, so the table is neither grouped nor shuffled as long as
+    the added keys are few: its key columns are looked up among them.
+    """
+    keys = lookup(added.groupBy(*key).agg(F.count(F.lit(1)).alias("_added")))
+    there = table.select(*key).join(keys.select(*key), key, "left_semi")
+    has_null = F.lit(False)
+    for name in key:
+        has_null = has_null | F.col(name).isNull()
+    rows = F.col("_added") + F.coalesce("_there", F.lit(0))
+    return (
+        keys.join(there.withColumn("_there", F.lit(1)), key, "left")
+        .select(*key, rows.alias("row_count"))
+        .where((F.col("row_count") > 1) | has_null)
+    )
+
+
+def changed_orphans(
+    child: DataFrame, added: DataFrame, pipelines: DataFrame, deleted: DataFrame
+) -> DataFrame:
+    """K3 after a change: of the rows ``added``, and of those whose pipeline went.
+
+    ``child`` are the rows before, which had their pipelines; ``pipelines`` is the table after the
+    change and ``deleted (id)`` what it lost. An id that was deleted and is there again is no loss.
+    """
+    owners = lookup(added.select(F.col("pipeline_id").alias("id")).distinct())
+    new = orphan_rows(added, lookup(_among(pipelines, owners)))
+    lost = lookup(deleted.select("id").distinct())
+    back = _among(pipelines, lost)
+    gone = lookup(lost.join(back, "id", "left_anti").select(F.col("id").alias("pipeline_id")))
+    left = child.join(gone, "pipeline_id", "left_semi")
+    return left.unionByName(new)
+
+
+def _among(pipelines: DataFrame, ids: DataFrame) -> DataFrame:
+    return pipelines.select("id").join(ids, "id", "left_semi")
+
+
 def cascade_delete(catalog: Catalog, ids: DataFrame) -> Catalog:
     """K4: the catalog without the pipelines in ``ids`` (column ``id``) and all their rows."""
     owners = ids.select(F.col("id").alias("pipeline_id"))

@@ -121,25 +121,31 @@ def expand_runs(plan: DataFrame) -> DataFrame:
 
     A plan row may owe millions of runs, so it is first cut into chunks of run numbers. The
     chunks are spread over all tasks before they are expanded; no row ever holds a long array.
+    Which months are too short for a series is found once per plan row, and only looked up per run.
     """
     size = F.lit(INSTANTS_PER_CHUNK).cast("bigint")
     one = F.lit(1).cast("bigint")
+    ends = times.month_ends(F.col("first_run"), F.col("period_months"))
     chunks = plan.select(
         "pipeline_id",
         "first_run",
         "times",
         "period_months",
         "period_micros",
+        ends.alias("month_ends"),
+    ).select(
+        "*",
         F.explode(
             F.sequence(F.lit(0).cast("bigint"), F.call_function("div", F.col("times") - one, size))
         ).alias("chunk"),
     ).repartition(shuffle_partitions(plan.sparkSession), "pipeline_id", "chunk")
     first = F.col("chunk") * size
     numbers = F.sequence(first, F.least(first + size, F.col("times")) - one)
+    run_time = times.step_at(
+        F.col("first_run"), F.col("run_number"), *_period(), F.col("month_ends")
+    )
     return chunks.select("*", F.explode(numbers).alias("run_number")).select(
-        "pipeline_id",
-        "run_number",
-        times.step_at(F.col("first_run"), F.col("run_number"), *_period()).alias("run_time"),
+        "pipeline_id", "run_number", run_time.alias("run_time")
     )
 
 

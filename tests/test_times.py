@@ -211,3 +211,36 @@ def test_tick_windows(spark, zone):
     for ts, (start, end, following) in found.items():
         hour = ts.replace(minute=0, second=0, microsecond=0)
         assert (start, end, following) == (hour, hour + timedelta(hours=1), hour + timedelta(hours=1))
+
+
+def test_expand_runs_late_in_the_month(spark):
+    """Days 29 to 31 against stepping one by one, and no list of months made per run."""
+    dice = random.Random(5)
+    plans = []
+    for i in range(60):
+        start = D(dice.choice([1896, 1999, 2000, 2096]), dice.choice([1, 3, 8, 12]), dice.choice([29, 30, 31]))
+        plans.append((i, start, dice.randint(1, 200), dice.choice([1, 2, 3, 5, 11, 12, 16, 48]), None))
+    plans.append((60, D(2000, 2, 29), 2, times.MAX_MONTHS // 2, None))
+    plans.append((61, D(2000, 1, 31), 40, None, times.MICROS_PER_DAY))
+    plan = spark.createDataFrame(
+        plans,
+        "pipeline_id bigint, first_run timestamp_ntz, times bigint, period_months int, "
+        "period_micros bigint",
+    )
+    runs = schedule.expand_runs(plan)
+    last_projection = runs._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert "transform(" not in last_projection
+    found = {(r.pipeline_id, r.run_number): r.run_time for r in runs.where("pipeline_id <> 60").collect()}
+    expected = {}
+    for i, at, count, months, micros in plans:
+        for k in range(count):
+            if i != 60:
+                expected[i, k] = at
+            if micros:
+                at += timedelta(microseconds=micros)
+            elif i != 60:
+                month = at.month - 1 + months
+                year, month = at.year + month // 12, month % 12 + 1
+                at = at.replace(year=year, month=month, day=min(at.day, monthrange(year, month)[1]))
+    assert found == expected
+    assert runs.where("pipeline_id = 60").count() == 2
