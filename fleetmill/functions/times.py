@@ -197,15 +197,21 @@ def calendar_step(
 ) -> Column:
     """The k-th iterate (k >= 0) of ``start`` by ``months``; ``months`` may be negative.
 
-    ``ends`` are the :func:`month_ends` of the series, if a column has them.
+    ``ends`` are the :func:`month_ends` of the series, if a column has them; many steps of one
+    series should share them. A single step looks at the months up to it by itself.
     """
     anchored = plus_months(start, k * months)
     if ends is None:
-        ends = month_ends(start, months)
-    least = F.lit(31)
-    for n in _SHORT:
-        step = ends[f"of_{n}"]
-        least = F.when((step > 0) & (step <= k + 1), n).otherwise(least)
+        lengths = F.transform(
+            F.sequence(F.lit(0), F.least(k, F.lit(_SETTLED)).cast("int")),
+            lambda j: F.day(F.last_day(plus_months(start, j * months))),
+        )
+        least = F.array_min(lengths)
+    else:
+        least = F.lit(31)
+        for n in _SHORT:
+            step = ends[f"of_{n}"]
+            least = F.when((step > 0) & (step <= k + 1), n).otherwise(least)
     too_late = F.greatest(F.lit(0), F.day(anchored) - least)
     return F.when(F.day(start) <= 28, anchored).otherwise(
         anchored - F.make_dt_interval(days=too_late)

@@ -1,4 +1,4 @@
-"""Checkpointing and shared scratch space.
+"""Written intermediates and shared scratch space.
 
 Both live in the folder the cluster names in ``spark.checkpoint.dir``: shared storage that
 every executor reaches, so a lost executor costs a re-read and nothing else.
@@ -12,8 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows of a written and counted table that are broadcast.
+#: Most rows, and most bytes of files, of a written table that is broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,23 +41,28 @@ def remove_folder(spark: SparkSession, path: str) -> None:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the checkpoint folder once and returns a reader of what was written."""
+    """Writes ``df`` as Parquet below the shared folder once and returns a reader of the files.
+
+    What reads it scans the columns it needs, and filters reach the files.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def lookup(df: DataFrame) -> DataFrame:
     """``df``, with one row per key, written out as the side of a join that is looked up.
 
-    It is broadcast if it was counted to be small. If not, both sides of the join come from a
-    shuffle of their own, which is what adaptive execution needs to split a key that holds much
-    of the other side: it cannot do so while this side is still the output of an aggregation or
-    of another join on the same key.
+    It is broadcast if its rows and the size of its files are small. If not, both sides of the join
+    come from a shuffle of their own, which is what adaptive execution needs to split a key that
+    holds much of the other side: it cannot do so while this side is still the output of an
+    aggregation or of another join on the same key.
     """
     written = materialize(df)
-    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+    size = int(str(written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    small = size <= BROADCAST_BYTES and written.count() <= BROADCAST_ROWS
+    return F.broadcast(written) if small else written
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -33,3 +33,19 @@ def test_own_folder_in_local_mode():
 
 def test_scratch_paths_differ(spark):
     assert session.scratch_path(spark, "x") != session.scratch_path(spark, "x")
+
+
+def test_only_needed_columns_of_a_written_table_are_read(spark):
+    written = session.materialize(spark.range(10).selectExpr("id", "id * 2 AS twice"))
+    plan = written.where("twice > 10").select("twice")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<twice:bigint>" in plan and "GreaterThan(twice,10)" in plan
+
+
+def test_broadcast_is_bounded_by_bytes(spark, monkeypatch):
+    def is_hinted(df):
+        return "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+
+    rows = spark.range(10)
+    assert is_hinted(session.lookup(rows))
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 10)
+    assert not is_hinted(session.lookup(rows))
