@@ -29,6 +29,8 @@ from fleetmill.session import scratch_path
 LEVEL, CHUNK = 4, 1 << 18
 #: Payload bytes after which a task begins another archive.
 ARCHIVE_BYTES = 1 << 27
+#: Most tasks that archives are dealt to, for each core.
+TASKS_PER_CORE = 8
 #: All records bear one date: pages have none, and a task that runs again writes the same bytes.
 DATE = "1970-01-01T00:00:00Z"
 
@@ -175,14 +177,27 @@ def decide(records: DataFrame, least_bytes: int) -> DataFrame:
     )
 
 
-def normalise(decisions: DataFrame, folder: str) -> DataFrame:
+def spread_over(records: DataFrame) -> int:
+    """So many partitions that tasks get about one archive of ``records``, or a few per core.
+
+    The rows that name the records are few bytes, so that their size would put all archives into one
+    task, which reads and writes them whole.
+    """
+    archives = records.select("path").distinct().count()
+    cores = records.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(2 * archives, TASKS_PER_CORE * cores))
+
+
+def normalise(decisions: DataFrame, folder: str, archives: int) -> DataFrame:
     """Rewrites each archive of ``decisions`` record by record; ``INDEX`` rows of what was written.
 
+    ``archives`` is the number of tasks they are dealt to.
+
     ``decisions (path, ordinal, revisit, refers_to)`` has a row for every record. The rows of a file
     are streamed in order along with its records; neither is held whole.
     """
-    ordered = decisions.select("path", "ordinal", "revisit", "refers_to").repartition("path")
-    ordered = ordered.sortWithinPartitions("path", "ordinal")
+    decided = decisions.select("path", "ordinal", "revisit", "refers_to")
+    ordered = decided.repartition(archives, "path").sortWithinPartitions("path", "ordinal")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = records = out = None
@@ -258,7 +273,7 @@ def inflate(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
                 at = 0
 
 
-def read_archives(index: DataFrame) -> DataFrame:
+def read_archives(index: DataFrame, archives: int | None = None) -> DataFrame:
     """Reads records by their places: one row each, with what its own headers and payload say.
 
     Of a response, size and digest are those of the payload that was read; a payload that does not
@@ -268,7 +283,8 @@ def read_archives(index: DataFrame) -> DataFrame:
         "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, "
         "refers_to bigint"
     )
-    ordered = index.select("path", "offset", "length").repartition("path")
+    ordered = index.select("path", "offset", "length")
+    ordered = ordered.repartition(archives or spread_over(index), "path")
     ordered = ordered.sortWithinPartitions("path", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +335,7 @@ def archive(pages: DataFrame, least_bytes: int = 0, folder: str | None = None) -
         store.create_dir(f"{root}/{part}", recursive=True)
     records = written(write_archives(pages, f"{folder}/raw"), "records")
     decisions = decide(records, least_bytes)
-    index = normalise(decisions, f"{folder}/records")
+    index = normalise(decisions, f"{folder}/records", spread_over(records))
     index.write.parquet(f"{folder}/index")
     store.delete_dir(f"{root}/raw")
     return pages.sparkSession.read.schema(index.schema).parquet(f"{folder}/index"), folder
