@@ -15,6 +15,7 @@ It lets some through, which the count then sorts out, and drops none that is fre
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -47,13 +48,15 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)  # an odd constant that spreads bits
 #: Between pieces stands a word that no piece can hold.
 _STOP = b"."
 _UPPER, _STOPS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b".,;:!?\n\x0b\x0c\r"
+#: What ends every text, and is all of one without words or stops.
+_BLANK = b" ." * OVERLAP
 _TABLE = bytes.maketrans(_UPPER + _STOPS + b"\t", _UPPER.lower() + _STOP * len(_STOPS) + b" ")
 
 
 def _prepared(text: str) -> bytes:
     """The words of all pieces with spaces and stops between them, and stops at the end."""
     raw = text.encode("utf-8", "surrogatepass").translate(_TABLE)
-    return raw.replace(_STOP, b" . ").strip() + b" ." * OVERLAP
+    return raw.replace(_STOP, b" . ").strip() + _BLANK
 
 
 class _Hashes:
@@ -117,6 +120,10 @@ def parse(docs: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             texts = [_prepared(x) for x in batch.column("text").to_pylist()]
+            full = [x != _BLANK for x in texts]  # a text of spaces has no words, not an empty one
+            if not any(full):
+                continue
+            batch, texts = batch.filter(pa.array(full)), list(compress(texts, full))
             split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
             begins = split.offsets.to_numpy()[:-1]
             words = split.values.view(pa.binary()).dictionary_encode()
@@ -234,7 +241,8 @@ def bitmap(phrases: DataFrame) -> np.ndarray:
     The driver gets numbers, not phrases: at most ``MAP_BITS`` bits however many phrases there are.
     """
     n = max(phrases.count(), 1)
-    size = min(MAP_BITS, 1 << int(16 * n - 1).bit_length())
+    # One whole number at least: it is looked up by as many bits as its numbers have.
+    size = min(MAP_BITS, max(64, 1 << int(16 * n - 1).bit_length()))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -251,7 +259,7 @@ def bitmap(phrases: DataFrame) -> np.ndarray:
 
     marked = phrases.mapInArrow(take, "at bigint, bits bigint").groupBy("at").agg(F.expr("bit_or(bits)").alias("bits"))
     table = marked.toArrow()
-    found = np.zeros(max(size // 64, 1), np.uint64)
+    found = np.zeros(size // 64, np.uint64)
     found[table.column("at").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
     return found
 

@@ -77,6 +77,18 @@ def test_top_of_a_language_with_many_phrases(spark, monkeypatch):
     assert found == plain(docs, 1)
 
 
+def test_texts_of_spaces_have_no_words(spark):
+    docs = [("a b", "en")] * 30 + [(" ", "en"), ("\t \t", "en"), ("  ", "fr"), (" . ", "fr"), ("\n", "de")]
+    assert mined(spark, docs) == plain(docs, 30) == [("en", 1, "a b", 30, 30, 30, 60, 1_000_000)]
+
+
+def test_languages_with_a_single_frequent_word(spark):
+    # Of one or two frequent words, the map has fewer bits than one of its numbers.
+    for k in range(12):
+        docs = [(f"w{k} " * 9, "en")] * 12
+        assert mined(spark, docs) == plain(docs, 30) != []
+
+
 def test_no_documents(spark):
     assert mined(spark, []) == []
     assert mined(spark, [(None, None), ("", "en")]) == []
