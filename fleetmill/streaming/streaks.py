@@ -1,4 +1,7 @@
-"""ST1: failure streaks over a stream of attempts, with a counter per pipeline as keyed state."""
+"""ST1: failure streaks over a stream of attempts, with a counter per pipeline as keyed state.
+
+The counters lie in map states of pipelines' buckets, so that a task is called once per bucket.
+"""
 
 from __future__ import annotations
 
@@ -21,40 +24,48 @@ _RESULT = (
     "attempt_id bigint, pipeline string, attempt_time timestamp_ntz, ok boolean, log string, "
     "failure_number bigint, counter int, event string"
 )
+#: Pipelines are dealt to so many buckets, and a bucket's attempts are replayed together: a call per
+#: pipeline costs some 30 ms, whatever it does. It is part of the stored state and must stay.
+BUCKETS = 512
 
 
 class StreakCounter(StatefulProcessor):
-    """Replays the attempts of one pipeline in a micro-batch on top of its stored counter.
+    """Replays the attempts of a bucket's pipelines in a micro-batch on top of their stored counters.
 
-    The state is there only while failures are open: a success removes it.
+    A pipeline has its own entry in the bucket's state, while failures are open: a success removes it.
     """
 
     def __init__(self, max_failures: int, idle_ms: int | None):
         self._most, self._idle_ms = max_failures, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._counter = handle.getValueState(_COUNTER, _STATE, self._idle_ms)
+        self._counters = handle.getMapState(_COUNTER, "pipeline string", _STATE, self._idle_ms)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        for count, updated in zip(
-            initialState["failure_count"], initialState["updated_at"], strict=True
-        ):
-            self._counter.update((int(count), updated))
+        columns = (initialState[c] for c in ("pipeline", "failure_count", "updated_at"))
+        for pipeline, count, updated in zip(*columns, strict=True):
+            self._counters.updateValue((pipeline,), (int(count), updated))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # A micro-batch's attempts of one pipeline; the source's options bound a micro-batch.
-        attempts = pd.concat(list(rows)).sort_values(["attempt_time", "attempt_id"])
-        before = self._counter.get()
+        # A micro-batch's attempts of one bucket; the source's options bound a micro-batch.
+        attempts = pd.concat(list(rows)).sort_values(["pipeline", "attempt_time", "attempt_id"])
+        pipeline = attempts["pipeline"].to_numpy(object)
+        first = np.append(True, pipeline[1:] != pipeline[:-1])
+        begins = np.flatnonzero(first)
+        known = [self._counters.getValue((p,)) for p in pipeline[begins]]
+        prior = np.array([k[0] if k else 0 for k in known])
         ok = attempts["ok"].eq(True).to_numpy(bool, na_value=False)
         fails = np.cumsum(~ok)
         # Failures so far at the last success, or minus the stored ones where none came yet.
-        start = np.maximum.accumulate(np.where(ok, fails, -before[0] if before else 0))
+        start = fails.copy()
+        start[begins] -= np.where(ok[begins], 0, 1 + prior)
+        start = start[np.maximum.accumulate(np.where(ok | first, np.arange(len(ok)), 0))]
         number = np.minimum(fails - start, self._most + 1)
         counter = np.where(ok, 0, np.minimum(number, self._most))
         yield pd.DataFrame(
             {
                 "attempt_id": attempts["attempt_id"].array,
-                "pipeline": key[0],
+                "pipeline": pipeline,
                 "attempt_time": attempts["attempt_time"].array,
                 "ok": ok,
                 "log": attempts["log"].array,
@@ -63,11 +74,13 @@ class StreakCounter(StatefulProcessor):
                 "event": np.where(ok, CLEARED, np.where(number > self._most, DEACTIVATED, FAILED)),
             }
         )
-        if counter[-1]:
-            updated = attempts["attempt_time"].iloc[-1].to_pydatetime()
-            self._counter.update((int(counter[-1]), updated))
-        else:
-            self._counter.clear()
+        ends = np.append(begins[1:], len(ok)) - 1
+        times = (t.to_pydatetime() for t in attempts["attempt_time"].iloc[ends])
+        for p, count, updated, before in zip(pipeline[ends], counter[ends], times, prior, strict=True):
+            if count:
+                self._counters.updateValue((p,), (int(count), updated))
+            elif before:
+                self._counters.removeKey((p,))
 
     def close(self) -> None:
         pass
@@ -95,16 +108,19 @@ def stream_failure_streaks(
     spark.conf.set(_PROVIDER, _ROCKSDB)
     # As text: a number column with nulls would come to Python as floating point.
     pipeline = F.coalesce(F.col("pipeline_id").cast("string"), F.lit(_NO_PIPELINE)).alias("pipeline")
+    bucket = F.pmod(F.xxhash64("pipeline"), F.lit(BUCKETS)).cast("int").alias("bucket")
     known = counters.select(pipeline, "failure_count", "updated_at").where("failure_count > 0")
+    known = known.select(bucket, "*")
     streaks = (
         attempts.select(pipeline, "attempt_id", "attempt_time", "ok", "log")
-        .groupBy("pipeline")
+        .select(bucket, "*")
+        .groupBy("bucket")
         .transformWithStateInPandas(
             StreakCounter(max_failures, None if idle is None else idle * 1000),
             outputStructType=_RESULT,
             outputMode="Append",
             timeMode="None" if idle is None else "ProcessingTime",
-            initialState=known.groupBy("pipeline"),
+            initialState=known.groupBy("bucket"),
         )
     )
     return streaks.select(
@@ -123,7 +139,7 @@ def stored_counters(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The counter table as of the last finished micro-batch of the stream with this checkpoint."""
     state = spark.read.format("statestore").option("stateVarName", _COUNTER).load(checkpoint)
     return state.select(
-        F.col("key.pipeline").try_cast("bigint").alias("pipeline_id"),
-        F.col("value.failure_count").alias("failure_count"),
-        F.col("value.updated_at").alias("updated_at"),
+        F.col("user_map_key.pipeline").try_cast("bigint").alias("pipeline_id"),
+        F.col("user_map_value.failure_count").alias("failure_count"),
+        F.col("user_map_value.updated_at").alias("updated_at"),
     )

@@ -5,6 +5,7 @@ import time
 from datetime import datetime, timedelta
 
 from fleetmill.operators import streaks
+from fleetmill.streaming import streaks as stream_module
 from fleetmill.streaming.reports import append_to, stream_counter_deltas, stream_metric_report
 from fleetmill.streaming.streaks import stored_counters, stream_failure_streaks
 
@@ -62,6 +63,31 @@ def test_streaks_carry_over_batches_and_restarts(spark, tmp_path):
     assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, ended.collect()))
 
 
+def test_pipelines_that_share_a_bucket_have_counters_of_their_own(spark, tmp_path, monkeypatch):
+    # A group per pipeline took 30 ms each, in every micro-batch.
+    monkeypatch.setattr(stream_module, "BUCKETS", 3)
+    rng = random.Random(2)
+    rows = [
+        (i, rng.choice([*range(40), None]), T0 + timedelta(minutes=rng.randrange(200)),
+         rng.choice([True, False, False, None]), rng.choice(["log", None]))
+        for i in range(900)
+    ]
+    rows.sort(key=lambda r: (r[2], r[0]))
+    counters = spark.createDataFrame([(k, k % 4, T0) for k in range(0, 60, 2)], COUNTERS)
+    fed, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    for part in (rows[:300], rows[300:]):
+        feed(spark, part, ATTEMPTS, fed, 2)
+        finish(append_to(out, stream_failure_streaks(source(spark, fed, ATTEMPTS), counters)), log)
+    batch = streaks.failure_streaks(spark.createDataFrame(rows, ATTEMPTS), counters)
+    found = spark.read.parquet(out).select(batch.columns).collect()
+    assert sorted(map(tuple, found), key=str) == sorted(map(tuple, batch.collect()), key=str)
+    ended = streaks.final_counters(batch.where("pipeline_id is not null"), counters).where("failure_count > 0")
+    kept = stored_counters(spark, log).where("pipeline_id is not null")
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, ended.collect()))
+    state = spark.read.format("statestore").option("stateVarName", "counter").load(log)
+    assert state.select("key").distinct().count() <= 3 < kept.count()
+
+
 def test_a_batch_touches_only_the_counters_of_its_pipelines(spark, tmp_path):
     counters = spark.createDataFrame([(k, 1, T0) for k in range(500)], COUNTERS)
     fed, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))
