@@ -35,8 +35,11 @@ def schedule_tick(
     """Which pipelines are launched in this tick, and for how many runs each.
 
     With ``jar_locations(jar, location)`` each launch gets the place its jar was resolved to.
+
+    The due pipelines are written out: all results are made of the same ones, and what tells a period
+    from a useless one, a test of texts, is not moved into what the pipeline table is made of.
     """
-    due = schedule.take_due(catalog["pipelines"], tick_end, max_pipelines)
+    due = materialize(schedule.take_due(catalog["pipelines"], tick_end, max_pipelines))
     usable, rejected = schedule.parse_periods(due)
     launches = schedule.backfill_plan(usable, tick_end, now, prefix)
     if jar_locations is not None:

@@ -73,6 +73,18 @@ def test_tick(spark):
     assert {r.pipeline_id for r in first.collect()} == {1, 9}
 
 
+def test_a_tick_reads_the_pipelines_once(spark, tmp_path):
+    # Periods used to be parsed in the scans of whatever the pipeline table is made of.
+    stored = catalog_of(spark, [pipeline(1), pipeline(2, period="3 moons"), pipeline(3, next_run_time=T)])
+    stored["pipelines"].write.parquet(str(tmp_path / "pipelines"))
+    stored["pipelines"] = spark.read.parquet(str(tmp_path / "pipelines"))
+    tick = schedule_tick(stored, ts(T), ts(T), "sp_", max_pipelines=None)
+    for made in (tick.launches, tick.rejected, tick.metrics):
+        assert not set(made.inputFiles()) & set(stored["pipelines"].inputFiles())
+    assert [r.pipeline_id for r in tick.launches.collect()] == [1]
+    assert [r.id for r in tick.rejected.collect()] == [2]
+
+
 def test_due_filter_reaches_the_scan(spark, tmp_path):
     catalogs.save_catalog(catalog_of(spark, [pipeline(1)]), str(tmp_path / "c"))
     stored = catalogs.load_catalog(spark, str(tmp_path / "c"))["pipelines"]
