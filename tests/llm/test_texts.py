@@ -395,6 +395,29 @@ def test_rows_that_are_all_alike_and_ties_have_an_estimate(spark):
     assert quality.distances(groups["two"], *found["two"])[60:].min() > 100 * 7
 
 
+def test_bounded_groups_take_no_jobs_per_step_and_end_alike(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    groups = {f"g{n}": rng.normal(size=(n, 7)) * rng.uniform(0.5, 2, 7) for n in (60, 501, 1_500)}
+    groups["g1500"][:300] += 8
+
+    def found():
+        rows = quality.estimates(vectors(spark, groups)).collect()
+        return {r.grp: np.concatenate([r["mean"], r["inverse"]]) for r in rows}
+
+    with monkeypatch.context() as patch:
+        patch.setattr(quality, "WHOLE_ROWS", 500)  # of the three groups, two are taken in steps
+        apart = found()
+
+    def refuse(*_):
+        raise AssertionError("a job per step")
+
+    monkeypatch.setattr(quality, "_edges", refuse)
+    whole = found()
+    assert set(whole) == set(apart) == set(groups)
+    for name, own in whole.items():
+        assert np.allclose(own, apart[name], rtol=1e-9, atol=1e-9)
+
+
 def ordinary(rng, n, words):
     return [" ".join(rng.choices(words, k=rng.randint(60, 90))) + "." for _ in range(n)]
 
