@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -51,6 +54,54 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
             yield batch.slice(start)
 
 
+def in_tasks(
+    df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema
+) -> DataFrame:
+    """``mapInArrow``, after which a task's memory goes back to the system.
+
+    Python workers outlive their tasks. What one has freed and not returned, or holds for tasks that
+    do not come any more, would count on top of what the next stages need.
+    """
+    stage = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _hold_for(stage)
+        yield from work(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+#: What this worker holds from one task to the next, and the stage of :func:`in_tasks` that it is for.
+_held: dict[tuple, Any] = {}
+_held_for = ""
+
+
+def held(make: Callable[..., Any], *args: Any) -> Any:
+    """``make(*args)``, made once in a worker for all tasks of a stage of :func:`in_tasks`."""
+    key = (make, *args)
+    if key not in _held:
+        _held[key] = make(*args)
+    return _held[key]
+
+
+def _hold_for(stage: str) -> None:
+    """Drops what was held for another stage."""
+    global _held_for
+    if _held_for != stage:
+        _held.clear()
+        _held_for = stage
+        give_back()
+
+
+def give_back() -> None:
+    """Freed memory that Arrow and the C library hold for later goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``edges (a, b)``; the root is the least node reachable.
 

@@ -13,7 +13,6 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from fleetmill.llm.common import slices, written
+from fleetmill.llm.common import held, in_tasks, slices, written
 from fleetmill.llm.tokens import PartEncoder, quiet_threads, runs
 
 #: Pieces of one length that are ranked together, and the most such groups of a length.
@@ -43,7 +42,7 @@ class WordBpe:
         self._tokenizer = Tokenizer.from_file(path)
         self._end = self._tokenizer.token_to_id(_SEPARATOR)
         # The same model for words that need no normalising.
-        self._of_words = Tokenizer.from_file(path)
+        self._of_words = Tokenizer(self._tokenizer.model)
         self._of_words.normalizer = normalizers.Sequence([])
         self._of_words.pre_tokenizer = pre_tokenizers.Sequence(
             [
@@ -108,11 +107,6 @@ def _parts(text: str) -> list[str]:
     return text.split(" ")
 
 
-@cache
-def word_bpe(path: str) -> WordBpe:
-    return WordBpe(path)
-
-
 def pieces_of(
     docs: DataFrame, path: str, capacity: int, *, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -123,7 +117,7 @@ def pieces_of(
     schema = f"{id_col} bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = word_bpe(path)
+        bpe = held(WordBpe, path)
         for batch in slices(batches, text_col):
             texts = [x or "" for x in batch.column(text_col).to_pylist()]
             rows = []
@@ -143,7 +137,8 @@ def pieces_of(
             ]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(docs[id_col].cast("bigint").alias(id_col), text_col).mapInArrow(cut, schema)
+    own = docs.select(docs[id_col].cast("bigint").alias(id_col), text_col)
+    return in_tasks(own, cut, schema)
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -212,11 +207,10 @@ def pack(pieces: DataFrame, capacity: int, *, id_col: str = "doc_id") -> DataFra
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = plan_bins(counts, capacity)
     spark = pieces.sparkSession
-    groups = spark.createDataFrame(
-        [(n, min(MOST_GROUPS, -(-c // GROUP_PIECES))) for n, c in counts.items()],
-        "length bigint, groups bigint",
-    )
-    # At most ``capacity`` rows.
+    # At most ``capacity`` rows; as an Arrow table they need no Python workers of their own.
+    lengths = pa.array(list(counts), pa.int64())
+    of_length = pa.array([min(MOST_GROUPS, -(-c // GROUP_PIECES)) for c in counts.values()], pa.int64())
+    groups = spark.createDataFrame(pa.table({"length": lengths, "groups": of_length}))
     dealt = pieces.join(F.broadcast(groups), "length").withColumn(
         "group", F.expr(f"pmod(xxhash64({id_col}, piece), groups)")
     )
@@ -256,7 +250,7 @@ def _take_slots(ranked: DataFrame, slots: list[tuple[int, int, int, int, int]])
             columns = [batch.column(n) for n in names] + [pa.array(bins), pa.array(places)]
             yield pa.RecordBatch.from_arrays(columns, [*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(take, schema + ", sequence_id bigint, offset bigint")
+    return in_tasks(ranked, take, schema + ", sequence_id bigint, offset bigint")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048) -> DataFrame:

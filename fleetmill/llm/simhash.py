@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetmill.llm.common import components, drop_written, slices, written
+from fleetmill.llm.common import components, drop_written, in_tasks, slices, written
 
 SHINGLE, SEED = 3, 42
 #: Fingerprints of a bucket that are compared in one go. Larger buckets are cut into chunks and
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays(columns, [id_col, "fp"])
 
     ids = docs[id_col].cast("bigint").alias(id_col)
-    return docs.select(ids, text_col).mapInArrow(take, f"{id_col} bigint, fp bigint")
+    return in_tasks(docs.select(ids, text_col), take, f"{id_col} bigint, fp bigint")
 
 
 def bit_sliced_links(
@@ -197,7 +197,7 @@ def links(fps: DataFrame, radius: int = 3, blocks: int | None = None, chunk: int
             columns = [pa.array(own[found]), pa.array(own[forest.roots[found]])]
             yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
 
-    return rows.mapInArrow(compare, "a bigint, b bigint")
+    return in_tasks(rows, compare, "a bigint, b bigint")
 
 
 def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:

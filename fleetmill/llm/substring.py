@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetmill.llm.common import drop_written, slices, written
+from fleetmill.llm.common import drop_written, in_tasks, slices, written
 from fleetmill.llm.fm_index import DEPTH, earliest_places
 
 #: Words of a window and of an anchor.
@@ -130,7 +130,7 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
                 ["route", "anchor", "d", "tie", "first", "last", "known"],
             )
 
-    rows = docs.select("d", "tie", "text").mapInArrow(take, schema).repartition("route")
+    rows = in_tasks(docs.select("d", "tie", "text"), take, schema).repartition("route")
     rows = rows.sortWithinPartitions("known", "anchor").drop("route")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +159,7 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
             if first[0] >= 0 and (known[0] or before):
                 yield _places(d, tie, anchor, first, last)
 
-    return rows.mapInArrow(pair, "d bigint, tie bigint, anchor bigint, first int, last int")
+    return in_tasks(rows, pair, "d bigint, tie bigint, anchor bigint, first int, last int")
 
 
 def _places(*columns: np.ndarray) -> pa.RecordBatch:
@@ -187,7 +187,7 @@ def segments(dealt: DataFrame) -> DataFrame:
                         least[segment] = anchor, d, tie, first
             yield _segments(least)
 
-    return dealt.select("d", "tie", "packed", "places").mapInArrow(take, _SEGMENTS)
+    return in_tasks(dealt.select("d", "tie", "packed", "places"), take, _SEGMENTS)
 
 
 _SEGMENTS = "anchor bigint, d bigint, tie bigint, first int, words binary"
@@ -220,7 +220,7 @@ def single_windows(found: DataFrame) -> DataFrame:
                         least[part] = route, d, tie, first + k
             yield _segments(least)
 
-    return found.mapInArrow(cut, _SEGMENTS)
+    return in_tasks(found, cut, _SEGMENTS)
 
 
 def without_heavy(found: DataFrame, total: int) -> DataFrame:
@@ -264,7 +264,7 @@ def first_windows(dealt: DataFrame) -> DataFrame:
             [pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["d", "tie", "begin", "end"]
         )
 
-    return dealt.mapInArrow(search, "d bigint, tie bigint, begin int, end int")
+    return in_tasks(dealt, search, "d bigint, tie bigint, begin int, end int")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -280,7 +280,8 @@ def _packed(docs: DataFrame) -> DataFrame:
             columns = [batch.column(n) for n in names] + [pa.array(packed, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, [*names, "packed"])
 
-    return docs.select(*(c for c in docs.columns if c != "text"), "text").mapInArrow(pack, schema)
+    text_last = docs.select(*(c for c in docs.columns if c != "text"), "text")
+    return in_tasks(text_last, pack, schema)
 
 
 def _with_keys(docs: DataFrame) -> tuple[DataFrame, bool]:
@@ -379,7 +380,7 @@ def _without(joined: DataFrame, docs: DataFrame) -> DataFrame:
             columns = [new[n] if n in new else batch.column(n) for n in (*names, *added)]
             yield pa.RecordBatch.from_arrays(columns, [*names, *added])
 
-    return joined.mapInArrow(remove, schema)
+    return in_tasks(joined, remove, schema)
 
 
 def _gone(n: int, begin: np.ndarray, end: np.ndarray, stays: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetmill.llm.common import slices, written
+from fleetmill.llm.common import in_tasks, slices, written
 
 #: Most labelled rows that the model is fitted on, taken by a hash of their ids, and most terms.
 SAMPLE, TERMS = 20_000, 800
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 if counts:
                     yield pa.RecordBatch.from_arrays(columns, ["term", "n"])
 
-        found = rows.select("text").mapInArrow(count, "term string, n bigint")
+        found = in_tasks(rows.select("text"), count, "term string, n bigint")
         return found.groupBy("term").agg(F.sum("n").alias("n"))
 
     toxic = counted(sample.where("toxic = 1"), None).where(F.col("n") >= LEAST_TEXTS)
@@ -210,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             columns = [batch.column("toxic"), pa.array(hits, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, ["toxic", "hits"])
 
-    table = sample.mapInArrow(vote, "toxic int, hits array<int>").toArrow()
+    table = in_tasks(sample, vote, "toxic int, hits array<int>").toArrow()
     y = table.column("toxic").to_numpy()
     votes = np.zeros((len(y), len(terms)), np.uint8)
     hits = table.column("hits").combine_chunks()
@@ -233,7 +233,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score"])
 
     own = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text")
-    return own.mapInArrow(take, "doc_id bigint, score double")
+    return in_tasks(own, take, "doc_id bigint, score double")
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -265,4 +265,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             clean = [scorer(x or "") < 0.5 for x in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(keep, schema)
+    return in_tasks(docs, keep, schema)
