@@ -33,8 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without words that are covered by an earlier equal window."""
-    found = substring.deduplicated(docs)
-    return _measured(found.select(*docs.columns))
+    return _measured(substring.deduplicated(docs, docs.columns))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,9 +18,8 @@ class WaveletMatrix:
 
     def __init__(self, symbols: np.ndarray, kinds: int):
         self._levels = []
-        row = symbols
-        self._bits = max(1, int(kinds - 1).bit_length())
-        for bit in reversed(range(self._bits)):
+        row, every = symbols.astype(np.int32), np.arange(kinds, dtype=np.int32)
+        for bit in reversed(range(max(1, int(kinds - 1).bit_length()))):
             ones = (row >> bit & 1).astype(bool)
             padded = np.zeros((len(row) // 64 + 1) * 64, np.uint8)
             padded[: len(row)] = ones
@@ -28,8 +27,12 @@ class WaveletMatrix:
             before = np.concatenate([[0], np.cumsum(np.bitwise_count(words))[:-1]]).astype(np.int32)
             self._levels.append((bit, words, before, len(row) - int(ones.sum())))
             row = np.concatenate([row[~ones], row[ones]])
-        every = np.arange(kinds)
-        self._starts = self._descend(every, np.zeros(kinds, np.int64))
+            ones = (every >> bit & 1).astype(bool)
+            every = np.concatenate([every[~ones], every[ones]])
+        # Symbols stand below the last level as their kinds do, each as often as it comes.
+        counts = np.bincount(symbols, minlength=kinds)[every]
+        self._starts = np.empty(kinds, np.int64)
+        self._starts[every] = np.cumsum(counts) - counts
 
     def _descend(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
         for bit, words, before, zeros in self._levels:
@@ -71,10 +74,18 @@ class FmIndex:
         self._smaller = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=kinds))[:-1]])
 
     def extend(self, words: np.ndarray, low: np.ndarray, high: np.ndarray):
-        """Intervals of the patterns with one more word before."""
-        base = self._smaller[words]
-        both = self._wavelet.rank(np.tile(words, 2), np.concatenate([low, high]))
-        return base + both[: len(words)], base + both[len(words) :]
+        """Intervals of the patterns with one more word before, all of which the text has.
+
+        An interval of one place keeps one place, so its end needs no rank of its own.
+        """
+        base, many = self._smaller[words], np.flatnonzero(high - low > 1)
+        both = self._wavelet.rank(
+            np.concatenate([words, words[many]]), np.concatenate([low, high[many]])
+        )
+        low = base + both[: len(words)]
+        high = low + 1
+        high[many] = base[many] + both[len(words) :]
+        return low, high
 
     def shorten(self, low: np.ndarray, high: np.ndarray):
         """Intervals of patterns of twenty words without their last."""
@@ -88,24 +99,24 @@ def _runs(same_as_before: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(begin, sizes), np.repeat(begin + sizes, sizes)
 
 
-def earliest_places(segments: list[np.ndarray], kinds: int) -> list[np.ndarray]:
+def earliest_places(words: np.ndarray, sizes: np.ndarray, kinds: int) -> list[np.ndarray]:
     """For each segment, for each window of twenty words, whether it is the first such window.
 
-    ``segments`` are in the order in which first is meant. They are indexed as one text and then
-    streamed from their ends, all at once: after twenty words, each word adds one before and drops
-    one after, and the interval holds every place of the window.
+    ``words`` are the numbered words of all segments, ``sizes`` how many each has; segments are in the
+    order in which first is meant. They are indexed as one text and then streamed from their ends,
+    all at once: after twenty words, each word adds one before and drops one after, and the interval
+    holds every place of the window.
     """
-    sizes = np.array([len(x) for x in segments], np.int64)
-    text = np.zeros(int(sizes.sum()) + len(segments), np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    for start, segment in zip(starts.tolist(), segments, strict=True):
-        text[start : start + len(segment)] = segment
+    text = np.zeros(len(words) + len(sizes), np.int64)
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    text[np.arange(len(words)) + np.repeat(np.arange(len(sizes)), sizes)] = words
     index = FmIndex(text, kinds)
     first = np.zeros(len(text), bool)
     lanes = np.argsort(-sizes, kind="stable")
+    ordered = -sizes[lanes]
     low, high = np.zeros(len(lanes), np.int64), np.full(len(lanes), len(text))
     for step in range(int(sizes.max(initial=0))):
-        n = int(np.searchsorted(-sizes[lanes], -step, "left"))  # lanes of more words than that
+        n = int(np.searchsorted(ordered, -step, "left"))  # lanes of more words than that
         lanes, low, high = lanes[:n], low[:n], high[:n]
         if step >= DEPTH:
             low, high = index.shorten(low, high)
@@ -113,4 +124,5 @@ def earliest_places(segments: list[np.ndarray], kinds: int) -> list[np.ndarray]:
         low, high = index.extend(text[at], low, high)
         if step >= DEPTH - 1:
             first[at] = index.earliest[low] == at
-    return [first[a : a + max(0, n - DEPTH + 1)] for a, n in zip(starts, sizes, strict=True)]
+    ends = starts + np.maximum(0, sizes - DEPTH + 1)
+    return [first[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]

@@ -14,13 +14,13 @@ around it, single windows are dealt out by a hash of all their words.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
-from itertools import count
+from collections.abc import Iterator, Sequence
+from itertools import compress, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -45,50 +45,70 @@ _LAST, _LAST_TIE = (1 << 63) - 1, 1 << 62
 TOLD_IDS = 100_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # an odd constant that spreads bits
 _HIGH = np.uint64(0xFFFFFFFF00000000)
-
-
-class Anchors:
-    """Segments of texts: the anchor, its first and its last window."""
-
-    def __init__(self) -> None:
-        self._hashes: dict[bytes, int] = {}
-
-    def __call__(self, texts: list[list[bytes]]) -> list[tuple[np.ndarray, ...]]:
-        """For each text: hash and place of its anchors, first and last window of each."""
-        if len(self._hashes) > 300_000:
-            self._hashes.clear()
-        return [self._of(words) for words in texts]
-
-    def _of(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
-        n = len(words) - WINDOW + 1
-        if n < 1:
-            none = np.empty(0, np.int64)
-            return none.view(np.uint64), none, none, none
-        known = self._hashes
-        found = list(map(known.get, words))
-        if None in found:
-            digest = xxhash.xxh64_intdigest
-            for k, value in enumerate(found):
-                if value is None:
-                    found[k] = known[words[k]] = digest(words[k])
-        hashes = np.array(found, np.uint64)
-        grams = np.zeros(len(words) - GRAM + 1, np.uint64)
-        for k in range(GRAM):
-            grams = grams * _MIX + hashes[k : k + len(grams)]
-        grams ^= grams >> np.uint64(32)
+_SPACE = 0x20
+#: Which bytes are in words, and a number for each byte from which a word's hash is made.
+_LETTERS = ~np.isin(np.arange(256), [_SPACE, *range(0x09, 0x0E)])
+_VALUES = np.array([xxhash.xxh64_intdigest(bytes([k])) for k in range(256)], np.uint64)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word, one text's after the other's, and where each text's begin; null: none."""
+    texts = pc.fill_null(texts, "").cast(pa.string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    if offsets[-1] == offsets[0]:
+        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets.astype(np.int64) - offsets[0]
+    letter = _LETTERS[data]
+    # Words begin after space or with a text.
+    begins = letter.copy()
+    begins[1:] &= ~letter[:-1]
+    cuts = offsets[offsets < len(data)]
+    begins[cuts] = letter[cuts]
+    kept = np.flatnonzero(letter)
+    begins_at = np.flatnonzero(begins)
+    starts = np.flatnonzero(begins[kept])
+    if not len(starts):
+        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+    sizes = np.diff(np.append(starts, len(kept)))
+    powers = np.cumprod(np.full(int(sizes.max()), _MIX))
+    values = _VALUES[data[kept]]
+    values *= powers[np.arange(len(kept)) - np.repeat(starts, sizes)]
+    hashes = np.add.reduceat(values, starts)
+    hashes ^= hashes >> np.uint64(32)
+    hashes *= _MIX
+    hashes ^= hashes >> np.uint64(29)
+    return hashes, np.searchsorted(begins_at, offsets)
+
+
+def anchors(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """Of every anchor: its text's number, its hash, and its first and its last window."""
+    hashes, offsets = word_hashes(texts)
+    if len(hashes) < WINDOW:
+        none = np.empty(0, np.int64)
+        return none, none.view(np.uint64), none, none
+    grams = np.zeros(len(hashes) - GRAM + 1, np.uint64)
+    for k in range(GRAM):
         grams *= _MIX
-        grams ^= grams >> np.uint64(29)
-        # Half of a hash over its place: the least of thirteen is the leftmost of the least hashes.
-        least = (grams & _HIGH) | np.arange(len(grams), dtype=np.uint64)
-        for reach in (1, 2, 4, WINDOW - GRAM - 7):
-            least = np.minimum(least[:-reach], least[reach:])
-        at = (least & ~_HIGH).astype(np.int64)
-        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        return grams[at[first]], at[first], first, np.append(first[1:], n) - 1
-
-
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").split()  # of bytes: at ASCII space
+        grams += hashes[k : k + len(grams)]
+    grams ^= grams >> np.uint64(32)
+    grams *= _MIX
+    grams ^= grams >> np.uint64(29)
+    # Half of a hash over its place: the least of thirteen is the leftmost of the least hashes.
+    least = (grams & _HIGH) | np.arange(len(grams), dtype=np.uint64)
+    for reach in (1, 2, 4, WINDOW - GRAM - 7):
+        least = np.minimum(least[:-reach], least[reach:])
+    # Windows that lie within one text. Those of two texts have no anchor in common.
+    sizes = np.diff(offsets)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    windows = np.flatnonzero(text[: len(least)] == text[WINDOW - 1 :])
+    if not len(windows):
+        return windows, windows.view(np.uint64), windows, windows
+    at = (least[windows] & ~_HIGH).astype(np.int64)
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    last = np.append(first[1:], len(windows)) - 1
+    text = text[windows[first]]
+    return text, grams[at[first]], windows[first] - offsets[text], windows[last] - offsets[text]
 
 
 def repeated_anchors(docs: DataFrame) -> DataFrame:
@@ -101,15 +121,12 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
     schema = "route bigint, anchor bigint, d bigint, tie bigint, first int, last int, known boolean"
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors = Anchors()
         for batch in slices(batches, "text"):
-            found = anchors([_words(x) for x in batch.column("text").to_pylist()])
-            sizes = [len(x[0]) for x in found]
-            if not sum(sizes):
+            text, grams, first, last = anchors(batch.column("text"))
+            if not len(text):
                 continue
-            grams = np.concatenate([x[0] for x in found])
-            first, last = (np.concatenate([x[k] for x in found]).astype(np.int32) for k in (2, 3))
-            ids, ties = (np.repeat(batch.column(k).to_numpy(), sizes) for k in ("d", "tie"))
+            first, last = first.astype(np.int32), last.astype(np.int32)
+            ids, ties = (batch.column(k).to_numpy()[text] for k in ("d", "tie"))
             kinds, kind, counts = np.unique(grams, return_inverse=True, return_counts=True)
             again = counts[kind] > 1
             once, told = ~again, kinds[counts > 1].view(np.int64)
@@ -170,7 +187,8 @@ def _places(*columns: np.ndarray) -> pa.RecordBatch:
 def segments(dealt: DataFrame) -> DataFrame:
     """``(anchor, d, tie, first, words)`` of repeated anchors; equal segments of a slice once, the first.
 
-    ``dealt`` has documents with their compressed texts and the places of their repeated anchors.
+    ``dealt`` has documents with their compressed words, one space between them, and the places of
+    their repeated anchors.
     """
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,12 +197,20 @@ def segments(dealt: DataFrame) -> DataFrame:
             least: dict[bytes, tuple] = {}
             columns = [batch.column(k).to_pylist() for k in ("d", "tie", "packed")]
             lists = batch.column("places")
-            for k, (d, tie, packed) in enumerate(zip(*columns, strict=True)):
-                words, places = inflate(packed).split(), lists[k].values.flatten()
-                for anchor, first, last in zip(*(x.to_pylist() for x in places), strict=True):
-                    segment = b" ".join(words[first : last + WINDOW])
-                    if segment not in least or least[segment][1:] > (d, tie, first):
-                        least[segment] = anchor, d, tie, first
+            edges = lists.offsets.to_numpy()
+            own = [x.to_numpy() for x in lists.values.flatten()]
+            for d, tie, packed, a, b in zip(*columns, edges[:-1], edges[1:], strict=True):
+                text = inflate(packed)
+                anchor, first, last = (x[a:b] for x in own)
+                spaces = np.flatnonzero(np.frombuffer(text, np.uint8) == _SPACE)
+                begins = np.append(0, spaces + 1)[first].tolist()
+                ends = np.append(spaces, len(text))[last + (WINDOW - 1)].tolist()
+                for route, start, begin, end in zip(
+                    anchor.tolist(), first.tolist(), begins, ends, strict=True
+                ):
+                    segment = text[begin:end]
+                    if segment not in least or least[segment][1:] > (d, tie, start):
+                        least[segment] = route, d, tie, start
             yield _segments(least)
 
     return in_tasks(dealt.select("d", "tie", "packed", "places"), take, _SEGMENTS)
@@ -252,9 +278,12 @@ def first_windows(dealt: DataFrame) -> DataFrame:
             return
         ordered = sorted(least, key=least.__getitem__)
         number: dict[bytes, int] = defaultdict(count(1).__next__)
-        coded = [np.array([number[w] for w in x.split(b" ")], np.int64) for x in ordered]
+        words = b" ".join(ordered).split(b" ")
+        numbers = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        sizes = np.array([x.count(b" ") + 1 for x in ordered], np.int64)
         rows = []
-        for text, firsts in zip(ordered, earliest_places(coded, len(number) + 1), strict=True):
+        found = earliest_places(numbers, sizes, len(number) + 1)
+        for text, firsts in zip(ordered, found, strict=True):
             d, tie, start = least[text]
             edges = np.flatnonzero(np.diff(np.concatenate([[False], firsts, [False]]).astype(np.int8)))
             rows += [(d, tie, start + a, start + b) for a, b in edges.reshape(-1, 2).tolist()]
@@ -267,17 +296,19 @@ def first_windows(dealt: DataFrame) -> DataFrame:
     return in_tasks(dealt, search, "d bigint, tie bigint, begin int, end int")
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """``docs`` with the text compressed, as it is shuffled."""
+def _packed(docs: DataFrame, only_words: bool = False) -> DataFrame:
+    """``docs`` with the text, or its words and one space between them, compressed to be shuffled."""
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.drop("text").dtypes) + ", packed binary"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        deflate = zstandard.ZstdCompressor(level=3).compress
+        deflate = zstandard.ZstdCompressor(level=1).compress
         for batch in slices(batches, "text"):
-            texts = batch.column("text").to_pylist()
-            packed = [deflate((x or "").encode("utf-8", "surrogatepass")) for x in texts]
+            texts = pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_pylist()
+            if only_words:
+                texts = [b" ".join(x.split()) for x in texts]
             names = [n for n in batch.schema.names if n != "text"]
-            columns = [batch.column(n) for n in names] + [pa.array(packed, pa.binary())]
+            columns = [batch.column(n) for n in names]
+            columns.append(pa.array(list(map(deflate, texts)), pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, [*names, "packed"])
 
     text_last = docs.select(*(c for c in docs.columns if c != "text"), "text")
@@ -311,13 +342,14 @@ def _with_keys(docs: DataFrame) -> tuple[DataFrame, bool]:
     return (named if nameless.isEmpty() else named.unionByName(nameless)), bool(number)
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``docs``, texts without the words covered by a window that starts earlier somewhere else.
 
     Earlier is a smaller ``doc_id``, or an earlier start in the same document; windows are judged on
     the texts as they come. Adds ``kept_words`` (binary: kept words, one space between them),
     ``n_words`` and ``n_removed``; a column of the name of these is replaced. The text of a document
-    that loses words becomes its kept words, others stay as they are, null ones too.
+    that loses words becomes its kept words, others stay as they are, null ones too. ``columns``
+    are those returned, all if not given; others are not made.
 
     Null and short texts have no windows and lose nothing. Null ids come after all others; each is a
     document of its own, in the order the rows are read. Rows that repeat an id and text are one
@@ -332,7 +364,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     collect = F.collect_set if repeated else F.collect_list
     places = written(repeated_anchors(own), "anchors")
     grouped = places.groupBy(*key).agg(collect(F.struct("anchor", "first", "last")).alias("places"))
-    found = written(segments(_packed(own.select(*key, "text")).join(grouped, key)), "segments")
+    found = written(segments(_packed(own.select(*key, "text"), True).join(grouped, key)), "segments")
     total = found.count()
     # A segment has about 27 words.
     spark = docs.sparkSession
@@ -344,41 +376,47 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     again = places.select(*key, F.col("first").alias("begin"), (F.col("last") + 1).alias("end"))
     told = again.withColumn("stays", F.lit(False)).union(firsts.withColumn("stays", F.lit(True)))
     told = told.groupBy(*key).agg(collect(F.struct("begin", "end", "stays")).alias("told"))
-    return _without(_packed(own).join(told, key, "left").drop(*key), docs)
+    return _without(_packed(own).join(told, key, "left").drop(*key), docs, columns)
 
 
-def _without(joined: DataFrame, docs: DataFrame) -> DataFrame:
+def _without(joined: DataFrame, docs: DataFrame, columns: Sequence[str] | None) -> DataFrame:
     added = {"kept_words": "binary", "n_words": "bigint", "n_removed": "bigint"}
-    names = [c for c in docs.columns if c not in added]
-    types = dict(docs.dtypes)
+    types = dict(docs.dtypes) | added
+    names = list(columns or [*(c for c in docs.columns if c not in added), *added])
     schema = ", ".join(f"`{n}` {types[n]}" for n in names)
-    schema += ", " + ", ".join(f"{n} {t}" for n, t in added.items())
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inflate = zstandard.ZstdDecompressor().decompress
         for batch in slices(batches, "packed"):
-            packed = [inflate(x) for x in batch.column("packed").to_pylist()]
-            words = [x.split() for x in packed]
-            texts, kept_words, removed = [], [], []
+            texts, kept_words, sizes, removed = [], [], [], []
             told = batch.column("told")
-            for text, own, says in zip(packed, words, told, strict=True):
-                if says.is_valid:
-                    gone = _gone(len(own), *(x.to_numpy(zero_copy_only=False) for x in says.values.flatten()))
-                    removed.append(int(gone.sum()))
-                    own = [w for w, g in zip(own, gone.tolist(), strict=True) if not g]
-                else:
-                    removed.append(0)
-                kept = b" ".join(own)
-                kept_words.append(kept)
-                texts.append((kept if removed[-1] else text).decode("utf-8", "surrogatepass"))
+            own_runs = [x.to_numpy(zero_copy_only=False) for x in told.values.flatten()]
+            edges = told.offsets.to_numpy()
+            packed = batch.column("packed").to_pylist()
+            for packed_text, a, b in zip(packed, edges[:-1], edges[1:], strict=True):
+                text = inflate(packed_text)
+                words = text.split()  # of bytes: at ASCII space
+                sizes.append(len(words))
+                removed.append(0)
+                if b > a:
+                    gone = _gone(len(words), *(x[a:b] for x in own_runs))
+                    removed[-1] = int(gone.sum())
+                    if removed[-1]:
+                        words = compress(words, (~gone).tolist())
+                kept_words.append(b" ".join(words))
+                if "text" in names:
+                    whole = kept_words[-1] if removed[-1] else text
+                    texts.append(whole.decode("utf-8", "surrogatepass"))
             new = {
-                "text": pa.array(texts, pa.string()),
                 "kept_words": pa.array(kept_words, pa.binary()),
-                "n_words": pa.array([len(w) for w in words], pa.int64()),
+                "n_words": pa.array(sizes, pa.int64()),
                 "n_removed": pa.array(removed, pa.int64()),
             }
-            columns = [new[n] if n in new else batch.column(n) for n in (*names, *added)]
-            yield pa.RecordBatch.from_arrays(columns, [*names, *added])
+            if "text" in names:
+                new["text"] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [new[n] if n in new else batch.column(n) for n in names], names
+            )
 
     return in_tasks(joined, remove, schema)
 
@@ -399,7 +437,8 @@ def _covered(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def word_digests(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256``, one row per row of ``docs``."""
-    found = deduplicated(docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text"))
+    own = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text")
+    found = deduplicated(own, ["doc_id", "n_words", "n_removed", "kept_words"])
     return found.select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256")
     )
